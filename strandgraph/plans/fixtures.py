@@ -235,3 +235,5 @@ def with_views(query: str, *names: str) -> str:
     if body[:5].upper() == "WITH ":
         return f"WITH {views}, {body[5:]}"
     return f"WITH {views} {body}"
+
+MANUAL = {"nation_7": "NATION_8", "promo finish": "red ring", "old rod": None, "small finish": None}
