@@ -50,10 +50,9 @@ def with_group_ordinal(
 ) -> DataFrame:
     """Position inside a group, without bringing a (possibly huge) group into one task."""
     placed = with_ordinal(df, [*groups, *order], name="_pos")
-    first = placed.groupBy(*groups).agg(F.min("_pos").alias("_first"))
-    same = [placed[g].eqNullSafe(first[g]) for g in groups]
-    kept = [placed[c] for c in df.columns]
-    return placed.join(first, same).select(*kept, (F.col("_pos") - F.col("_first") + start).alias(name))
+    first = placed.groupBy(*[F.col(g).alias(f"_g_{g}") for g in groups]).agg(F.min("_pos").alias("_first"))
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
+    return placed.join(first, same).select(*df.columns, (F.col("_pos") - F.col("_first") + start).alias(name))
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFrame:
@@ -94,9 +93,14 @@ def chunks(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
     )
 
 
+def seeded_draw(key: Column | str, seed: int) -> Column:
+    """A repeatable pseudo-random sort key: the digest of seed and key."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), column(key).cast("string")))
+
+
 def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """A repeatable sample of ``n`` rows without replacement, sorted by ``key``."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n).orderBy(key)
+    return df.orderBy(seeded_draw(key, seed), key).limit(n).orderBy(key)
 
 
 def length_groups(df: DataFrame, length: str, key: str, batch: int, world: int, seed: int) -> DataFrame:
@@ -109,7 +113,7 @@ def length_groups(df: DataFrame, length: str, key: str, batch: int, world: int,
     blocks come at the end. Adds ``batch_id`` and ``slot``.
     """
     size = batch * world
-    rows = df.withColumn("_modality", F.signum(length).cast("int")).withColumn("_draw", F.xxhash64(F.lit(seed), F.col(key)))
+    rows = df.withColumn("_modality", F.signum(length).cast("int")).withColumn("_draw", seeded_draw(key, seed))
     placed = with_group_ordinal(rows, ["_modality"], ["_draw", key], name="_pos")
     block = F.floor(F.col("_pos") / F.lit(size))
     # A block has at most world x batch rows, so this window is bounded.

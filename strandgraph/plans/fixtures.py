@@ -141,9 +141,9 @@ def kg_edges(spark: SparkSession, folder: str) -> DataFrame:
 TERMS = {
     "Widgets": ["widget", "ring"],
     "Nothing": ["no such name"],
+    "Suppliers": ["supplier#00000000"],
     "Nations": ["nation_1", "nation_2", "ation"],
     "Rods": ["old rod", "rod", "large rod"],
-    "Suppliers": ["supplier#00000000"],
 }
 
 # --- views as SQL ------------------------------------------------------------
@@ -237,3 +237,63 @@ def with_views(query: str, *names: str) -> str:
     return f"WITH {views} {body}"
 
 MANUAL = {"nation_7": "NATION_8", "promo finish": "red ring", "old rod": None, "small finish": None}
+
+# --- images ------------------------------------------------------------------
+
+IMAGE_URL = "https://images.example.org/files/"
+
+
+def image_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order line is an image of its order's study; returnflag and linestatus ride along."""
+    line = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    return line.join(orders, line.l_orderkey == orders.o_orderkey).select(
+        (F.col("o_custkey") + 10000).cast("string").alias("subject_id"),
+        _s("l_orderkey").alias("study_id"),
+        F.concat_ws("-", _s("l_partkey"), _s("l_suppkey"), _s("l_linenumber"), _s("l_orderkey")).alias("dicom_id"),
+        "l_returnflag",
+        "l_linestatus",
+    )
+
+
+def image_files(spark: SparkSession, folder: str) -> DataFrame:
+    from strandgraph.operators.assembly import image_path
+
+    return image_metadata(spark, folder).where(F.col("l_returnflag") != "R").select(
+        image_path("subject_id", "study_id", "dicom_id").alias("rel_path")
+    )
+
+
+def image_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Images of the orders with an urgent or high priority have a split; the others fall back."""
+    meta = image_metadata(spark, folder)
+    orders = table(spark, folder, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(_s("o_orderkey").alias("study_id"))
+    return meta.join(orders, "study_id", "left_semi").select(
+        "subject_id", "study_id", "dicom_id", F.when(F.col("l_linestatus") == "O", "val").otherwise("test").alias("split")
+    )
+
+
+def label_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Explanation rows with ten label triples taken from base-4 digits of the line's ordinal."""
+    rows = rows_nle(spark, folder)
+    digits = F.array(*[F.pmod(F.floor(F.col("l_orderkey") / F.lit(4**i)) + F.col("l_linenumber") * (i % 3), F.lit(4)) for i in range(10)])
+    flags = F.transform(
+        digits,
+        lambda g: F.array((g == 0).cast("int"), ((g == 1) | (g == 3)).cast("int"), ((g == 2) | (g == 3)).cast("int")),
+    )
+    return rows.select(
+        "sentence_id", F.col("study_id").alias("report_id"), "patient_id", "nle", F.array("triplet").alias("triplets"), "ord", "l_suppkey", flags.alias("img_labels")
+    )
+
+
+add_view(
+    "fx_meta",
+    """
+    SELECT CAST(o_custkey + 10000 AS VARCHAR) AS subject_id, CAST(l_orderkey AS VARCHAR) AS study_id,
+           l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || l_orderkey AS dicom_id, l_returnflag, l_linestatus, o_orderpriority,
+           'p' || substr(CAST(o_custkey + 10000 AS VARCHAR), 1, 2) || '/p' || (o_custkey + 10000) || '/s' || l_orderkey || '/'
+               || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || l_orderkey || '.jpg' AS rel_path
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+)
+_DIGITS = ", ".join(f"(l_orderkey // {4**i} + l_linenumber * {i % 3}) % 4" for i in range(10))
+add_view("fx_label_rows", f"SELECT *, [{_DIGITS}] AS digits FROM fx_nle", ["fx_nle"])

@@ -62,6 +62,7 @@ def compare(df, con, sql: str | None) -> tuple[int, str]:
     b = sorted(tuple(_plain(v) for v in row) for row in theirs)
     if a == b:
         return len(mine), ""
-    only_a = [x for x in a if x not in set(b)][:3]
-    only_b = [x for x in b if x not in set(a)][:3]
+    set_a, set_b = set(a), set(b)
+    only_a = [x for x in a if x not in set_b][:3]
+    only_b = [x for x in b if x not in set_a][:3]
     return len(mine), f"spark {len(a)} rows, oracle {len(b)}; only spark {str(only_a)[:900]}; only oracle {str(only_b)[:900]}"
