@@ -126,28 +126,39 @@ def normalize_section_name(name: Column | str) -> Column:
     return F.coalesce(F.try_element_at(aliases, n), contained, described, n)
 
 
-def clean_sections(sections: Column) -> Column:
-    """Normalise names, drop blank main sections, split off a last paragraph if none remain."""
-    named = F.transform(sections, lambda s: F.struct(normalize_section_name(s["name"]).alias("name"), s["text"].alias("text")))
-    kept = F.filter(named, lambda s: ~(s["name"].isin(KEPT_SECTIONS) & (t.strip(s["text"]) == "")))
-    last = F.element_at(kept, -1)
-    pieces = F.split(last["text"], PARAGRAPH_BREAK)
-    head = F.struct(last["name"].alias("name"), F.element_at(pieces, 1).alias("text"))
+def with_sections(reports: DataFrame) -> DataFrame:
+    """Add ``sections``: names normalised, blank main sections dropped, a last paragraph split off if none remain.
+
+    Each step is a column of its own, so it is evaluated once per report.
+    """
+    named = F.transform("_raw", lambda s: F.struct(normalize_section_name(s["name"]).alias("name"), s["text"].alias("text")))
+    kept = F.filter("_named", lambda s: ~(s["name"].isin(KEPT_SECTIONS) & (t.strip(s["text"]) == "")))
+    has_main = F.exists("_kept", lambda s: s["name"].isin(KEPT_SECTIONS))
+    last = F.element_at("_kept", -1)
+    pieces = F.when(~has_main & last["text"].contains(PARAGRAPH_BREAK), F.split(last["text"], PARAGRAPH_BREAK))
+    head = F.struct(last["name"].alias("name"), F.element_at("_pieces", 1).alias("text"))
     tail = F.struct(
         F.lit("last_paragraph").alias("name"),
-        F.array_join(F.slice(pieces, F.lit(2), F.size(pieces)), PARAGRAPH_BREAK).alias("text"),
+        F.array_join(F.slice("_pieces", F.lit(2), F.size("_pieces")), PARAGRAPH_BREAK).alias("text"),
+    )
+    with_tail = F.concat(F.slice("_kept", F.lit(1), F.size("_kept") - 1), F.array(head, tail))
+    return (
+        reports.withColumn("_raw", raw_sections("text"))
+        .withColumn("_named", named)
+        .withColumn("_kept", kept)
+        .withColumn("_pieces", F.when(F.size("_kept") > 0, pieces))
+        .withColumn("sections", F.when(F.col("_pieces").isNotNull(), with_tail).otherwise(F.col("_kept")))
+        .drop("_raw", "_named", "_kept", "_pieces")
     )
-    with_tail = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(head, tail))
-    has_main = F.exists(kept, lambda s: s["name"].isin(KEPT_SECTIONS))
-    splits = ~has_main & last["text"].contains(PARAGRAPH_BREAK)
-    return F.when(F.size(kept) == 0, kept).otherwise(F.when(splits, with_tail).otherwise(kept))
 
 
 def split_sections(reports: DataFrame) -> DataFrame:
     """reports(patient_id, report_id, text) -> patient_id, report_id, pos, name, text."""
-    return reports.select(
-        "patient_id", "report_id", F.posexplode(clean_sections(raw_sections("text"))).alias("pos", "_s")
-    ).select("patient_id", "report_id", "pos", F.col("_s.name").alias("name"), F.col("_s.text").alias("text"))
+    return (
+        with_sections(reports)
+        .select("patient_id", "report_id", F.posexplode("sections").alias("pos", "_s"))
+        .select("patient_id", "report_id", "pos", F.col("_s.name").alias("name"), F.col("_s.text").alias("text"))
+    )
 
 
 def main_text(sections: Column) -> Column:
@@ -166,7 +177,7 @@ def sentences(text: Column) -> Column:
 
 def split_sentences(reports: DataFrame) -> DataFrame:
     """reports(patient_id, report_id, text) -> sentence_id, patient_id, report_id, sentence."""
-    parsed = reports.select("patient_id", "report_id", main_text(clean_sections(raw_sections("text"))).alias("_text"))
+    parsed = with_sections(reports).select("patient_id", "report_id", main_text(F.col("sections")).alias("_text"))
     return (
         parsed.where(F.col("_text").isNotNull())
         .select("patient_id", "report_id", F.posexplode(sentences(F.col("_text"))).alias("_i", "sentence"))

@@ -297,3 +297,32 @@ add_view(
 )
 _DIGITS = ", ".join(f"(l_orderkey // {4**i} + l_linenumber * {i % 3}) % 4" for i in range(10))
 add_view("fx_label_rows", f"SELECT *, [{_DIGITS}] AS digits FROM fx_nle", ["fx_nle"])
+
+# --- generated texts ---------------------------------------------------------
+
+FRAGMENTS = ["tion", "ment", "ungen", "lly", "shwh", "reau", "cion", "schen", "the", "ando"]
+
+
+def text_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as reference; labelled ones have an answer: the text without every seventh word."""
+    from strandgraph.functions import text as t
+    from strandgraph.operators.textmetrics import align
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id")
+    kept = F.filter("_w", lambda w, i: F.pmod(i, F.lit(7)) != 3)
+    answers = (
+        docs.join(labels, "doc_id", "left_semi")
+        .withColumn("_w", t.words("text"))
+        .select(F.col("doc_id").alias("question_id"), F.array_join(kept, " ").alias("text"))
+    )
+    return align(docs.select(F.col("doc_id").alias("ord"), F.col("text").alias("ref")), answers).withColumnRenamed("ord", "id")
+
+
+add_view(
+    "pairs",
+    r"""
+    SELECT d.doc_id AS id, text AS ref, CASE WHEN l.doc_id IS NULL THEN '' ELSE array_to_string(list_filter(
+               list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), lambda w, i: (i - 1) % 7 <> 3), ' ') END AS hyp
+    FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+)
