@@ -60,8 +60,13 @@ def word_tokens(c: Column | str) -> Column:
 
 
 def _tokenized(pairs: DataFrame, tokens) -> DataFrame:
-    """id, h, r token arrays, partitioned by id."""
-    return pairs.select("id", "hyp", "ref").repartition("id").select("id", tokens("hyp").alias("h"), tokens("ref").alias("r"))
+    """id, h, r token arrays, partitioned by id.
+
+    The partition count is given, because adaptive execution would merge partitions
+    by the size of the texts and not by the work of the n-grams made from them.
+    """
+    width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("id", "hyp", "ref").repartition(width, "id").select("id", tokens("hyp").alias("h"), tokens("ref").alias("r"))
 
 
 def ngram_counts(tokenized: DataFrame, max_n: int = MAX_N) -> DataFrame:
