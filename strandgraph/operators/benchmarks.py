@@ -408,12 +408,12 @@ def soft_vqa_rows(df: DataFrame) -> DataFrame:
 
 def st_vqa_rows(df: DataFrame) -> DataFrame:
     """df(id, pred, answers) -> id, accuracy (any normalised match), anls."""
-    return df.select(
-        "id",
-        F.when(
-            F.exists(F.transform("answers", s.evalai_normalize), lambda a: a == s.evalai_normalize("pred")), F.lit(1.0)
-        ).otherwise(F.lit(0.0)).alias("accuracy"),
-        s.anls("pred", "answers").alias("anls"),
+    normalized = df.select(
+        "id", "pred", "answers", s.evalai_normalize("pred").alias("p"), F.transform("answers", s.evalai_normalize).alias("a")
+    )
+    match = F.array_contains("a", F.col("p"))
+    return normalized.select(
+        "id", F.when(match, F.lit(1.0)).otherwise(F.lit(0.0)).alias("accuracy"), s.anls("pred", "answers").alias("anls")
     )
 
 

@@ -74,11 +74,11 @@ def prepare(nodes: DataFrame, edges: DataFrame, ord: str = "ord") -> tuple[DataF
 
 def undirected(edges: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """src, dst, rel_type (+extra) in both directions; a self loop appears once."""
-    out = edges.select(F.col("start_id").alias("src"), F.col("end_id").alias("dst"), "rel_type", *extra)
-    back = edges.where(F.col("start_id") != F.col("end_id")).select(
-        F.col("end_id").alias("src"), F.col("start_id").alias("dst"), "rel_type", *extra
-    )
-    return out.unionByName(back)
+    there = F.struct(F.col("start_id").alias("src"), F.col("end_id").alias("dst"))
+    back = F.struct(F.col("end_id").alias("src"), F.col("start_id").alias("dst"))
+    # One pass over the edges; a union would compute them twice.
+    ways = F.when(F.col("start_id") == F.col("end_id"), F.array(there)).otherwise(F.array(there, back))
+    return edges.select(F.explode(ways).alias("_w"), "rel_type", *extra).select("_w.src", "_w.dst", "rel_type", *extra)
 
 
 # --- counts ------------------------------------------------------------------

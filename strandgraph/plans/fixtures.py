@@ -124,18 +124,20 @@ def kg_edges(spark: SparkSession, folder: str) -> DataFrame:
     ]
     out = None
     for kind, rel, shown, left, right, ends in kinds:
-        for way in (0, 1):
-            place = F.lit(kind * 10 + way) * F.lit(10**16) + F.col("a").cast("long") * F.lit(10**8) + F.col("b").cast("long")
-            a, b = concat(left, _s("a")), concat(right, _s("b"))
-            one = ends.select(
-                F.lit(rel).alias("rel_type"),
-                F.lit(shown).alias("display_relation"),
-                (b if way else a).alias("start_id"),
-                (a if way else b).alias("end_id"),
-                place.alias("ord"),
-            )
-            out = one if out is None else out.unionByName(one)
-    return out
+        one = ends.select(
+            F.lit(kind).alias("kind"), F.lit(rel).alias("rel_type"), F.lit(shown).alias("display_relation"),
+            concat(left, _s("a")).alias("l"), concat(right, _s("b")).alias("r"),
+            F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"),
+        )
+        out = one if out is None else out.unionByName(one)
+    backward = F.col("way") == 1
+    return out.withColumn("way", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "rel_type",
+        "display_relation",
+        F.when(backward, F.col("r")).otherwise(F.col("l")).alias("start_id"),
+        F.when(backward, F.col("l")).otherwise(F.col("r")).alias("end_id"),
+        ((F.col("kind") * 10 + F.col("way")) * F.lit(10**16) + F.col("a") * F.lit(10**8) + F.col("b")).alias("ord"),
+    )
 
 
 TERMS = {

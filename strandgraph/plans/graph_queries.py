@@ -8,9 +8,9 @@ from strandgraph.functions import text as t
 from strandgraph.operators import graph as G
 from strandgraph.operators import linking as L
 from strandgraph.operators import triplets as T
-from strandgraph.operators.ordinal import top_per_group
 from strandgraph.plans import fixtures as fx
 from strandgraph.plans.fixtures import add_view, with_views
+from strandgraph.session import materialize
 
 _EDGE_COLUMNS = ["rel_type", "display_relation", "start_id", "end_id", "edge_id"]
 
@@ -20,6 +20,12 @@ def graph(spark, d):
     return nodes, edges.withColumnRenamed("ord", "edge_id").select(*_EDGE_COLUMNS)
 
 
+def stored_graph(spark, d):
+    """The cleaned graph written once, for queries that use its edges several times."""
+    nodes, edges = graph(spark, d)
+    return nodes, materialize(edges)
+
+
 def kg_clean_nodes(spark, d):
     return G.clean_nodes(fx.kg_nodes(spark, d))
 
@@ -78,13 +84,13 @@ def kg_one_hop_disease(spark, d):
 
 
 def kg_two_hop(spark, d):
-    nodes, edges = graph(spark, d)
+    nodes, edges = stored_graph(spark, d)
     path = [("disease_phenotype_positive", "effect__phenotype"), ("phenotype_phenotype", "effect__phenotype")]
     return G.hop(nodes, edges, G.best_seed(_matches(spark, d, 5)), path)
 
 
 def kg_reachable(spark, d):
-    nodes, edges = graph(spark, d)
+    nodes, edges = stored_graph(spark, d)
     seeds = G.best_seed(_matches(spark, d, 5))
     return G.reachable(edges, seeds)
 
@@ -95,7 +101,7 @@ def kg_exposure(spark, d):
 
 
 def _subgraph(spark, d):
-    nodes, edges = graph(spark, d)
+    nodes, edges = stored_graph(spark, d)
     # Nations are the hubs, so the seeds are the matched suppliers and the parts they drop out with.
     terms = {k: v for k, v in fx.TERMS.items() if k in ("Suppliers", "Rods")}
     return G.subgraph(nodes, edges, G.find_nodes(nodes, terms))
@@ -110,7 +116,7 @@ def kg_subgraph_nodes(spark, d):
 
 
 def kg_neighbors(spark, d):
-    out = G.neighbors(*graph(spark, d))
+    out = G.neighbors(*stored_graph(spark, d))
     return out.select("node_name", "edge", "neighbor", F.col("rank").cast("long").alias("rank"))
 
 
@@ -128,7 +134,7 @@ def entity_links(spark, d):
 
 
 def _chain_table(spark, d):
-    nodes, edges = graph(spark, d)
+    nodes, edges = stored_graph(spark, d)
     links = entity_links(spark, d)
     names = links.where(F.col("canonical").isNotNull()).select(F.col("canonical").alias("node_name"))
     return G.chains(_chain_rows(spark, d), links, G.neighbors(nodes, edges, names))
@@ -229,7 +235,7 @@ def chain_coverage(spark, d):
     """Coverage of node names of the chains in the order's explanation text."""
     rows = fx.rows_nle(spark, d)
     texts = rows.groupBy(F.col("study_id").alias("img_id")).agg(F.max_by("nle", "ord").alias("text"))
-    nodes, edges = graph(spark, d)
+    nodes, edges = stored_graph(spark, d)
     # Chains as entity lists: the neighbours of the order's triplet objects, first three per order.
     ends = rows.select(F.col("study_id").alias("img_id"), t.parse_triplet("triplet")["obj"].alias("obj")).where("obj IS NOT NULL").distinct()
     near = G.neighbors(nodes, edges, ends.select(F.col("obj").alias("node_name")), k=3)

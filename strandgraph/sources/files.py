@@ -14,10 +14,7 @@ def read_reports(spark: SparkSession, root: str, patients: DataFrame | list[str]
     ``patients`` is a list of ids or a table with patient_id.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "s*.txt")
-        .text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="s*.txt")
         .select("value", F.col("_metadata.file_path").alias("_path"))
     )
     found = files.where(F.col("_path").rlike(REPORT_FILE)).select(

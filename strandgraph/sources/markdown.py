@@ -16,7 +16,7 @@ HEADER_WITHIN = 30
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no, line of every file."""
-    whole = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     return whole.select("path", F.posexplode(F.split("value", "\r\n|\n")).alias("line_no", "line"))
 
 

@@ -33,7 +33,9 @@ def read_records(
         kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
         if tolerant:
             wide = T.StructType([*kind.fields, T.StructField(CORRUPT, T.StringType())])
-            return spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(paths)
+            options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+            lines = spark.read.text(paths).where(t.strip("value") != "")
+            return lines.select(F.from_json("value", wide, options).alias("_r")).select("_r.*")
         return spark.read.schema(kind).option("mode", "FAILFAST").json(paths)
     ddl = schema if isinstance(schema, str) else schema.simpleString()
     if layout == "array":
@@ -51,14 +53,8 @@ def read_records(
 
 
 def count_corrupt(df: DataFrame) -> DataFrame:
-    """One row: rows, corrupt, for a tolerantly read table.
-
-    A column of the record is kept in the plan, since Spark refuses to scan the corrupt column alone.
-    """
-    first = next(c for c in df.columns if c != CORRUPT)
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col(CORRUPT).isNotNull() | (F.col(first).isNull() & F.lit(False))).alias("corrupt")
-    )
+    """One row: rows, corrupt, for a tolerantly read table."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count(CORRUPT).alias("corrupt"))
 
 
 def good_records(df: DataFrame) -> DataFrame:
