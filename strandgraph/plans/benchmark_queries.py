@@ -10,6 +10,7 @@ from strandgraph.operators import benchmarks as B
 from strandgraph.operators import gains as N
 from strandgraph.plans import fixtures as fx
 from strandgraph.plans.fixtures import add_view, with_views
+from strandgraph.sources.markdown import read_markdown_table
 
 # --- multiple choice: parts as problems ---------------------------------------
 
@@ -291,7 +292,27 @@ def _metrics(spark, d):
 
 def gains(spark, d):
     out = N.gains(_metrics(spark, d), base="R")
-    return out.select("condition", "model", "metric", F.round("base", 4).alias("base"), F.round("gain", 4).alias("gain"))
+    # Adding zero turns a negative zero into a plain one.
+    return out.select("condition", "model", "metric", F.round("base", 4).alias("base"), (F.round("gain", 4) + F.lit(0.0)).alias("gain"))
+
+
+def markdown_table(spark, d):
+    """A metric table written as markdown lines from the tables and read back; blank model cells are filled down."""
+    line = fx.table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_quantity")
+    supplier = fx.table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    nation = fx.table(spark, d, "nation").select("n_nationkey", "n_name")
+    joined = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    cells = joined.groupBy("n_nationkey", "n_name", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("q"))
+    first = F.col("l_returnflag") == "A"
+    name = F.when(first, t.concat("**", F.col("n_name"), "**")).otherwise("")
+    shown = t.concat("| ", name, " | ", F.col("l_returnflag"), " | ", F.col("n").cast("string"), " | **", F.col("q").cast("string"), "**/5 |")
+    place = F.col("n_nationkey") * 10 + F.when(first, 1).when(F.col("l_returnflag") == "N", 2).otherwise(3) + 10
+    body = cells.select(F.lit("table.md").alias("path"), place.alias("line_no"), shown.alias("line"))
+    head = spark.createDataFrame(
+        [("table.md", 0, "## Counts"), ("table.md", 2, "| Model | Flag | rows | quantity |"), ("table.md", 3, "|---|---|---|---|"), ("table.md", 10**9, "## End")],
+        "path string, line_no int, line string",
+    )
+    return read_markdown_table(head.unionByName(body), "## Counts", ["rows", "quantity"], ["A", "N", "R"])
 
 
 def gain_summary(spark, d):
@@ -315,7 +336,7 @@ QUERIES = {
     for f in (
         mcq_prompt, mcq_conversations, few_shot, few_shot_chat, mcq_accuracy, ensemble, option_rounds, confusion, pope,
         accuracy_rollup, vqa_soft, st_vqa, evalai_normalize, textvqa, submissions, submission_gqa, review_parse,
-        review_summary, review_prompt, table_review, resume_skip, judge_parse, judge_summary, align_variants, gains,
+        review_summary, review_prompt, table_review, resume_skip, judge_parse, judge_summary, align_variants, gains, markdown_table,
         gain_summary, gain_observations,
     )
 }
@@ -440,6 +461,10 @@ _ROWS = " UNION ALL ".join(
 )
 
 ORACLE = {
+    "markdown_table": """
+        WITH c AS (SELECT n_name AS model, l_returnflag AS condition, CAST(count(*) AS DOUBLE) AS n, CAST(CAST(sum(l_quantity) AS BIGINT) AS DOUBLE) AS q
+                   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)
+        SELECT 'table.md' AS path, model, condition, 'rows' AS metric, n AS value FROM c UNION ALL SELECT 'table.md', model, condition, 'quantity', q FROM c""",
     "mcq_conversations": with_views(
         f"""
         SELECT id, CASE WHEN image IS NOT NULL THEN id || '/' || image END AS image,
@@ -570,7 +595,7 @@ ORACLE = {
     "gains": with_views(
         """
         WITH u AS (SELECT model, condition, unnest(['overall', 'cider', 'hallucination_rate']) AS metric, unnest([overall, cider, hallucination_rate]) AS value FROM metr)
-        SELECT c.condition, c.model, c.metric, round(b.value, 4) AS base, round(CASE WHEN c.metric = 'hallucination_rate' THEN b.value - c.value ELSE c.value - b.value END, 4) AS gain
+        SELECT c.condition, c.model, c.metric, round(b.value, 4) AS base, round(CASE WHEN c.metric = 'hallucination_rate' THEN b.value - c.value ELSE c.value - b.value END, 4) + 0.0 AS gain
         FROM u c JOIN u b ON b.model = c.model AND b.metric = c.metric AND b.condition = 'R' WHERE c.condition <> 'R'""",
         "metr",
     ),
