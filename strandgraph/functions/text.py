@@ -13,7 +13,6 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-_SPACE_CLASS = "[" + WHITESPACE + "]"
 # Line ends as str.splitlines() sees them.
 LINE_END = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 IMAGE_MARK = "<image>"
@@ -34,7 +33,9 @@ def rstrip(c: Column | str, chars: str = WHITESPACE) -> Column:
 
 def words(c: Column | str) -> Column:
     """Whitespace tokens; an empty or blank text has none."""
-    return F.filter(F.split(column(c), _SPACE_CLASS + "+"), lambda w: w != "")
+    # A split on one plain character needs no pattern, which would be compiled for every row.
+    spaced = F.translate(column(c), WHITESPACE, " " * len(WHITESPACE))
+    return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
 def squeeze(c: Column | str) -> Column:
