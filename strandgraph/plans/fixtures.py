@@ -56,6 +56,9 @@ def rows_nle(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity"
     )
     kind = F.lower("p_type")
+    # Lines of an order may repeat part and supplier, so quantity and flags take part in the position.
+    place = F.col("l_linenumber") * F.lit(10**13) + F.col("l_partkey") * F.lit(10**6) + F.col("l_suppkey")
+    flags = (F.ascii("l_returnflag") - 65) * 2 + F.when(F.col("l_linestatus") == "O", 1).otherwise(0)
     obj = (
         F.when(F.col("l_returnflag") == "A", F.col("p_name"))
         .when(F.col("l_returnflag") == "N", concat("nation_", F.pmod(F.col("l_suppkey"), F.lit(25)).cast("string")))
@@ -73,7 +76,7 @@ def rows_nle(spark: SparkSession, folder: str) -> DataFrame:
             F.when(F.col("l_quantity") < 3, F.col("p_name"))
             .otherwise(concat(kind, " suggestive of ", obj))
             .alias("triplet"),
-            (F.col("l_linenumber") * F.lit(10**13) + F.col("l_partkey") * F.lit(10**6) + F.col("l_suppkey")).alias("ord"),
+            (place * 4000 + F.col("l_quantity").cast("long") * 40 + flags).alias("ord"),
             "l_orderkey",
             "l_linenumber",
             "l_suppkey",
@@ -178,7 +181,8 @@ CTE = {
                CASE WHEN l_quantity < 3 THEN p_name ELSE lower(p_type) || ' suggestive of ' ||
                     CASE l_returnflag WHEN 'A' THEN p_name WHEN 'N' THEN 'nation_' || (l_suppkey % 25)
                                       ELSE lower(p_type) || ' finish' END END AS triplet,
-               l_linenumber * CAST(10000000000000 AS BIGINT) + l_partkey * 1000000 + l_suppkey AS ord,
+               (l_linenumber * CAST(10000000000000 AS BIGINT) + l_partkey * 1000000 + l_suppkey) * 4000 + CAST(l_quantity AS BIGINT) * 40
+                   + (ascii(l_returnflag) - 65) * 2 + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS ord,
                l_orderkey, l_linenumber, l_suppkey
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
     "fx_nodes": """

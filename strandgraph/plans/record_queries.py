@@ -284,12 +284,13 @@ _NAMES = "[" + ", ".join(f"'{n}'" for n in lab.DIAGNOSES) + "]"
 add_view(
     "decoded",
     f"""
-    SELECT sentence_id, ord, coalesce(string_agg(s, ', ' ORDER BY i, lvl), '') AS pathologies,
-           coalesce({_NAMES}[min(CASE WHEN g >= 2 THEN i END)], 'None') AS first_positive,
+    SELECT sentence_id, ord,
+           array_to_string(list_filter(flatten(list_transform(digits, lambda g, i: [
+               CASE WHEN g IN (1, 3) THEN 'uncertain ' || {_NAMES}[i] END, CASE WHEN g IN (2, 3) THEN 'positive ' || {_NAMES}[i] END])),
+               lambda x: x IS NOT NULL), ', ') AS pathologies,
+           coalesce({_NAMES}[list_position(list_transform(digits, lambda g: g >= 2), true)], 'None') AS first_positive,
            CASE digits[1] WHEN 0 THEN 'Negative' WHEN 1 THEN 'Uncertain' WHEN 2 THEN 'Positive' ELSE 'Invalid' END AS status
-    FROM (SELECT *, CASE WHEN lvl = 1 AND g IN (1, 3) THEN 'uncertain ' || {_NAMES}[i] WHEN lvl = 2 AND g IN (2, 3) THEN 'positive ' || {_NAMES}[i] END AS s
-          FROM (SELECT sentence_id, ord, digits, digits[i] AS g, i, lvl FROM fx_label_rows, (SELECT unnest(range(1, 11)) AS i), (SELECT unnest([1, 2]) AS lvl)))
-    GROUP BY sentence_id, ord, digits""",
+    FROM fx_label_rows""",
     ["fx_label_rows"],
 )
 add_view(
@@ -329,7 +330,7 @@ add_view(
     ch AS (SELECT sentence_id, trim(min(nle)) AS a, trim(max(nle)) AS b FROM fx_nle GROUP BY 1),
     j AS (SELECT u.*, cap, pathologies, concat_ws('; ', nullif(a, ''), nullif(b, '')) AS chains,
                  CASE WHEN cap IS NOT NULL THEN 'retrieved' WHEN contains(triplet, ' suggestive of ') THEN 'row' ELSE 'none' END AS branch
-          FROM u LEFT JOIN got USING (img_id) JOIN decoded dd ON dd.sentence_id = u.sentence_id AND dd.ord = u.ord LEFT JOIN ch ON ch.sentence_id = u.sentence_id)
+          FROM u LEFT JOIN got USING (img_id) JOIN (SELECT DISTINCT sentence_id, ord, pathologies FROM decoded) dd ON dd.sentence_id = u.sentence_id AND dd.ord = u.ord LEFT JOIN ch ON ch.sentence_id = u.sentence_id)
     SELECT img_id AS id, split, rel_path AS image, sentence_id, branch, nle, chains,
            E'<image>\\nThe image-specific triplets from the knowledge graph are: ' ||
            CASE branch WHEN 'retrieved' THEN cap || '; opacity; edema' WHEN 'row' THEN triplet ELSE '' END || '. ' AS head,
