@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm import mixing, sharding
+from strandgraph.llm import mixing, sharding, spotsigs
 from strandgraph.llm.common import table, word_count
 from strandgraph.session import materialize
 
@@ -13,6 +13,20 @@ SHARDS = 8
 WEIGHTS = [5, 2, 1]
 
 
+def op2_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = spotsigs.with_next(spotsigs.with_fingerprint(docs, "text", "fingerprint"), "doc_id", "text")
+    n = F.length("text")
+    edited = pairs.withColumn("edited", F.expr("concat(left(text, length(text) - length(text) div 4), left(head, cast(length(text) div 4 as int)))"))
+    edited = edited.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "edited", "fingerprint", "next_fingerprint")
+    both = spotsigs.with_fingerprint(edited, "edited", "edited_fingerprint")
+    return both.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        spotsigs.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        spotsigs.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op4_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     rows = materialize(

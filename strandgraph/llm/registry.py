@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from strandgraph.llm import queries
+from strandgraph.llm import oracles, queries
 
 QUERIES = {
+    "op2_spotsigs": queries.op2_spotsigs,
     "op4_mix": queries.op4_mix,
     "op8_shard": queries.op8_shard,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_spotsigs": oracles.OP2,
+}
