@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm import mixing, sharding, spotsigs
+from strandgraph.llm import mixing, sharding, simhash, spotsigs
 from strandgraph.llm.common import table, word_count
 from strandgraph.session import materialize
 
@@ -41,3 +41,8 @@ def op8_shard(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_by_bytes(rows, "doc_id", "size", "digest", SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_components(table(spark, folder, "documents"), "doc_id", "text")
+    return found.select("doc_id", simhash.hexadecimal("print").alias("fingerprint"), "component_id")

@@ -8,6 +8,7 @@ QUERIES = {
     "op2_spotsigs": queries.op2_spotsigs,
     "op4_mix": queries.op4_mix,
     "op8_shard": queries.op8_shard,
+    "op9_simhash": queries.op9_simhash,
 }
 ORACLE = {
     "op2_spotsigs": oracles.OP2,
