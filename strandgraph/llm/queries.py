@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm import mixing, sharding, simhash, spotsigs
+from strandgraph.llm import hyperlang, mixing, sharding, simhash, spotsigs
 from strandgraph.llm.common import table, word_count
 from strandgraph.session import materialize
 
@@ -36,6 +36,13 @@ def op4_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    profiles = hyperlang.train(docs.where(~hyperlang.held_out(F.col("doc_id"))), "text", "lang", "doc_id")
+    found = hyperlang.predict(docs.select("doc_id", "text"), "text", profiles)
+    return found.select("doc_id", hyperlang.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_shard(spark: SparkSession, folder: str) -> DataFrame:
     rows = materialize(sharding.text_sizes(table(spark, folder, "documents")), "sizes")
     return sharding.shard_by_bytes(rows, "doc_id", "size", "digest", SHARDS).select(

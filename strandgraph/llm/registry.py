@@ -7,6 +7,7 @@ from strandgraph.llm import oracles, queries
 QUERIES = {
     "op2_spotsigs": queries.op2_spotsigs,
     "op4_mix": queries.op4_mix,
+    "op5_language": queries.op5_language,
     "op8_shard": queries.op8_shard,
     "op9_simhash": queries.op9_simhash,
 }
