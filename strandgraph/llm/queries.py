@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm import hyperlang, mixing, sharding, simhash, spotsigs
+from strandgraph.llm import hyperlang, mixing, sharding, simhash, spotsigs, toxicity
 from strandgraph.llm.common import table, word_count
 from strandgraph.session import materialize
 
@@ -27,6 +27,12 @@ def op2_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.predict(docs, "text", model).select("doc_id", "severity", "grade", (F.col("toxic_chance") >= 0.5).alias("toxic"))
+
+
 def op4_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     rows = materialize(

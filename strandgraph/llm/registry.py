@@ -6,6 +6,7 @@ from strandgraph.llm import oracles, queries
 
 QUERIES = {
     "op2_spotsigs": queries.op2_spotsigs,
+    "op3_toxicity": queries.op3_toxicity,
     "op4_mix": queries.op4_mix,
     "op5_language": queries.op5_language,
     "op8_shard": queries.op8_shard,
