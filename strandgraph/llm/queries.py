@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm import hyperlang, mixing, sharding, simhash, spotsigs, toxicity
+from strandgraph.llm import bpe, hyperlang, mixing, pieces, sharding, simhash, spotsigs, tokencounts, toxicity
 from strandgraph.llm.common import table, word_count
 from strandgraph.session import materialize
 
@@ -49,6 +49,20 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", hyperlang.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def piece_model() -> pieces.Pieces:
+    import public_tokenizers
+
+    return pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.with_tokens(table(spark, folder, "documents").select("doc_id", "text"), "text", piece_model())
+
+
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencounts.with_counts(table(spark, folder, "documents").select("doc_id", "text"), "text", piece_model())
+
+
 def op8_shard(spark: SparkSession, folder: str) -> DataFrame:
     rows = materialize(sharding.text_sizes(table(spark, folder, "documents")), "sizes")
     return sharding.shard_by_bytes(rows, "doc_id", "size", "digest", SHARDS).select(

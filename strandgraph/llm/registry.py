@@ -9,6 +9,8 @@ QUERIES = {
     "op3_toxicity": queries.op3_toxicity,
     "op4_mix": queries.op4_mix,
     "op5_language": queries.op5_language,
+    "op6_pieces": queries.op6_pieces,
+    "op7_token_counts": queries.op7_token_counts,
     "op8_shard": queries.op8_shard,
     "op9_simhash": queries.op9_simhash,
 }
