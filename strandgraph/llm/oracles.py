@@ -41,3 +41,13 @@ SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edite
   {_likeness("fingerprint", "edited_fingerprint")} AS near_edited, {_likeness("fingerprint", "next_fingerprint")} AS near_next
 FROM prints
 """
+
+OP10 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+q AS (SELECT page_id, octet_length(payload) AS n, sha256(payload) AS digest FROM p),
+r AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first FROM q)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM r
+"""

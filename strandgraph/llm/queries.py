@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm import bpe, hyperlang, mixing, pieces, sharding, simhash, spotsigs, tokencounts, toxicity
+from strandgraph.llm import bpe, hyperlang, mixing, pieces, sharding, simhash, spotsigs, tokencounts, toxicity, warc
 from strandgraph.llm.common import table, word_count
-from strandgraph.session import materialize
+from strandgraph.session import materialize, shared_path
 
 SHARDS = 8
 WEIGHTS = [5, 2, 1]
@@ -73,3 +73,16 @@ def op8_shard(spark: SparkSession, folder: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_components(table(spark, folder, "documents"), "doc_id", "text")
     return found.select("doc_id", simhash.hexadecimal("print").alias("fingerprint"), "component_id")
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    warc.register(spark)
+    path = shared_path(spark, "archive")
+    warc.as_records(table(spark, folder, "pages"), "page_id", "url", "html").write.format("warc").mode("append").save(path)
+    read = spark.read.format("warc")
+    full = read.load(path).where("record_type = 'response'")
+    slim = read.schema(warc.SCHEMA.removesuffix(", payload binary")).load(path).where("record_type = 'revisit'")
+    named = [warc.key_of("record_id").alias("page_id")]
+    responses = full.select(*named, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", warc.key_of("refers_to").alias("refers_to"))
+    revisits = slim.select(*named, F.col("payload_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type", warc.key_of("refers_to").alias("refers_to"))
+    return responses.union(revisits)

@@ -13,7 +13,9 @@ QUERIES = {
     "op7_token_counts": queries.op7_token_counts,
     "op8_shard": queries.op8_shard,
     "op9_simhash": queries.op9_simhash,
+    "op10_warc": queries.op10_warc,
 }
 ORACLE = {
     "op2_spotsigs": oracles.OP2,
+    "op10_warc": oracles.OP10,
 }
