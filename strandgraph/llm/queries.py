@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm import bpe, hyperlang, mixing, pieces, sharding, simhash, spotsigs, tokencounts, toxicity, warc
+from strandgraph.llm import bpe, hilbert, hyperlang, mixing, pieces, sharding, simhash, spotsigs, tokencounts, toxicity, warc
 from strandgraph.llm.common import table, word_count
 from strandgraph.session import materialize, shared_path
 
@@ -13,6 +13,10 @@ SHARDS = 8
 WEIGHTS = [5, 2, 1]
 
 
+def op1_hilbert(spark: SparkSession, folder: str) -> DataFrame:
+    return hilbert.nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+
+
 def op2_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     pairs = spotsigs.with_next(spotsigs.with_fingerprint(docs, "text", "fingerprint"), "doc_id", "text")

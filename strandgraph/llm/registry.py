@@ -5,6 +5,7 @@ from __future__ import annotations
 from strandgraph.llm import oracles, queries
 
 QUERIES = {
+    "op1_hilbert": queries.op1_hilbert,
     "op2_spotsigs": queries.op2_spotsigs,
     "op3_toxicity": queries.op3_toxicity,
     "op4_mix": queries.op4_mix,
