@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from strandgraph.llm.pieces import SPACE, Pieces
 
 #: Encoded segments and compared pairs that a task keeps, and the longest segment it keeps.
 KEPT, KEPT_LENGTH = 400_000, 48
+#: Texts whose ids are held at a time.
+ROWS = 256
 
 
 class Encoder:
@@ -171,19 +174,20 @@ def with_tokens(df: DataFrame, text: str, pieces: Pieces, decoded: bool = False,
             _ENCODERS[model] = Encoder(pieces)
         encoder = _ENCODERS[model]
         seen, miss = encoder.seen.get, encoder.entry
-        for batch in batches:
-            rows = []
+        for batch in (part.slice(at, ROWS) for part in batches for at in range(0, part.num_rows, ROWS)):
+            results: list[list] = [[] for _ in added]
             for value in batch.column(text):
                 entries = [seen(s) or miss(s) for s in pieces.segments(value.as_py() or "")]
                 listed = ",".join([e[0] for e in entries])
                 back = "".join([e[2] for e in entries])[1:]  # every text begins with the space put in front
                 row = [sum([e[1] for e in entries]), _sha(listed), _sha(back)]
                 if ids:
-                    row.append([int(i) for i in listed.split(",")] if listed else [])
+                    row.append(np.array(listed.split(",") if listed else [], dtype=np.int32))
                 if decoded:
                     row.append(back)
-                rows.append(row)
-            columns = [pa.array([r[k] for r in rows], kind) for k, (_, _, kind) in enumerate(added)]
+                for result, item in zip(results, row):
+                    result.append(item)
+            columns = [pa.array(result, kind) for result, (_, _, kind) in zip(results, added)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *(name for name, _, _ in added)])
 
     return df.select(*kept, text).mapInArrow(run, schema)

@@ -32,3 +32,11 @@ def counted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     """
     small = right.count() <= limit
     return left.join(F.broadcast(right) if small else right, list(keys), how)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -168,13 +168,13 @@ def train(df: DataFrame, text: str, lang: str, key: str, texts: int = TRAIN_TEXT
     return Profiles(names, rows_ / np.where(norms > 0, norms, 1))
 
 
-def predict(df: DataFrame, text: str, profiles: Profiles, name: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Replace the text column by the predicted language and the cosine, cut to 0 and 1.
+def predict(df: DataFrame, text: str, profiles: Profiles, name: str = "lang_pred", score: str = "score", keep: bool = False) -> DataFrame:
+    """Replace the text column (or with ``keep`` follow all columns) by the predicted language and the cosine, cut to 0 and 1.
 
     ``und`` and 0 where the text is null or has no letter, or nothing was learned.
     Ties go to the first name. Nothing but the text is looked at.
     """
-    kept = [c for c in df.columns if c != text]
+    kept = [c for c in df.columns if keep or c != text]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())])
     names, prototypes = profiles.names, profiles.rows.astype(np.float32)
 
@@ -193,4 +193,4 @@ def predict(df: DataFrame, text: str, profiles: Profiles, name: str = "lang_pred
             columns = [*(batch.column(c) for c in kept), pa.array(found, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, name, score])
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return df.select(*kept, *([] if keep else [text])).mapInArrow(run, schema)

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandgraph.llm.common import BROADCAST_ROWS
 from strandgraph.llm.components import components
 from strandgraph.session import materialize
 
@@ -161,3 +162,86 @@ def near_components(documents: DataFrame, key: str, text: str, words: int = 3, r
 def hexadecimal(print_column: str):
     """Sixteen lower-case hex digits of a fingerprint."""
     return F.lower(F.lpad(F.hex(print_column), 16, "0"))
+
+
+# --- near copies, decided by their shingles ----------------------------------
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashes of the word shingles of a text; fewer words make one shingle of them all, none make none."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(0, dtype=np.int64)
+    shingles = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) >= words else [b" ".join(found)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64)).view(np.int64)
+
+
+def with_shingles(df: DataFrame, text: str, words: int, name: str = "shingles") -> DataFrame:
+    """Replace the text column by the sorted distinct hashes of its shingles."""
+    from pyspark.sql import types as T
+
+    kept = [c for c in df.columns if c != text]
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = pa.array([shingle_hashes(value.as_py(), words) for value in batch.column(text)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), hashes], names=[*kept, name])
+
+    return df.select(*kept, text).mapInArrow(run, schema)
+
+
+def copies(documents: DataFrame, key: str, text: str, words: int = 2, radius: int = 3, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, digest) of the documents that are copies of another one that stays.
+
+    Equal texts are one node. Texts whose fingerprints of ``words`` words are at most
+    ``radius`` bits apart are candidates; a link is a candidate pair whose sets of
+    shingles of ``shingle`` words have at least this Jaccard similarity. Of each
+    component the text with the smallest key stays, under that key. Texts of one
+    fingerprint are compared with one of them, pairs of fingerprints by one text of
+    each, so there is one comparison per link of fingerprints and not one per pair
+    of documents.
+    """
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    ids = materialize(with_fingerprint(documents.select(F.col(key).alias("key"), digest.alias("digest"), text), text, words), "prints")
+    nodes = materialize(ids.groupBy("digest", "print").agg(F.min("key").alias("smallest")), "nodes")
+    prints = materialize(nodes.groupBy("print").agg(F.min("digest").alias("one"), F.count(F.lit(1)).alias("n")), "one")
+    found = links(prints.select("print"), radius)
+    near = found.join(prints.select(F.col("print").alias("a"), F.col("one").alias("left")), "a").join(
+        prints.select(F.col("print").alias("b"), F.col("one").alias("right")), "b"
+    )
+    same = nodes.join(prints.where("n > 1"), "print").where("digest <> one").select(F.col("one").alias("left"), F.col("digest").alias("right"))
+    pairs = materialize(near.select("left", "right").union(same), "pairs")
+
+    ends = materialize(pairs.select(F.explode(F.array("left", "right")).alias("digest")).distinct(), "ends")
+    few = ends.count() <= BROADCAST_ROWS
+    texts = documents.select(digest.alias("digest"), text).join(F.broadcast(ends) if few else ends, "digest").dropDuplicates(["digest"])
+    sets = materialize(with_shingles(texts, text, shingle), "shingles")
+    both = pairs.join(sets.select(F.col("digest").alias("left"), F.col("shingles").alias("x")), "left").join(
+        sets.select(F.col("digest").alias("right"), F.col("shingles").alias("y")), "right"
+    )
+    shared = F.size(F.array_intersect("x", "y"))
+    true = both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("left", "right")
+
+    linked = components(true, "left", "right").select(F.col("node").alias("digest"), "component")
+    group = materialize(nodes.join(linked, "digest", "left").select("digest", "smallest", F.coalesce("component", "digest").alias("component")), "groups")
+    stays = group.groupBy("component").agg(F.min(F.struct("smallest", "digest")).alias("stays"))
+    named = materialize(group.join(stays, "component").select("digest", "stays"), "stays")
+    other = (F.col("digest") != F.col("stays.digest")) | ~F.col("key").eqNullSafe(F.col("stays.smallest"))
+    return ids.select("key", "digest").distinct().join(named, "digest").where(other).select("key", "digest")
+
+
+def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``documents`` without the copies of others: one document of each group stays, the one with the smallest key.
+
+    All columns stay as they are. Rows that repeat key and text count once; null
+    keys are larger than none, so a document with a key stays if there is one; null
+    texts are empty texts, and all empty texts are one group.
+    """
+    lost = materialize(copies(documents, key, text, **how), "lost")
+    lost = F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost
+    digest = F.sha2(F.coalesce(documents[text], F.lit("")), 256)
+    left = documents.join(lost, documents[key].eqNullSafe(lost["key"]) & (digest == lost["digest"]), "left_anti")
+    if documents.groupBy(key).count().where("count > 1").limit(1).count():
+        left = left.dropDuplicates([key, text])
+    return left

@@ -150,13 +150,16 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     return Model(dict(zip(place, weights.tolist())), cuts.tolist())
 
 
-def predict(df: DataFrame, text: str, model: Model) -> DataFrame:
-    """Replace the text column by ``severity`` (expected grade), ``toxic_chance`` (of grade 1 or more) and ``grade`` (the likeliest).
+NAMES = ("severity", "toxic_chance", "grade")
+
+
+def predict(df: DataFrame, text: str, model: Model, names: tuple[str, str, str] = NAMES, keep: bool = False) -> DataFrame:
+    """Replace the text column (or with ``keep`` follow all columns) by the expected grade, the chance of grade 1 or more and the likeliest grade.
 
     Null and empty texts have no feature and are clean; without a model all are 0.
     """
-    kept = [c for c in df.columns if c != text]
-    added = [("severity", T.DoubleType(), pa.float64()), ("toxic_chance", T.DoubleType(), pa.float64()), ("grade", T.IntegerType(), pa.int32())]
+    kept = [c for c in df.columns if keep or c != text]
+    added = [(names[0], T.DoubleType(), pa.float64()), (names[1], T.DoubleType(), pa.float64()), (names[2], T.IntegerType(), pa.int32())]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, kind) for name, kind, _ in added])
     weights, cuts = model.weights, np.array(model.cuts)
 
@@ -173,4 +176,4 @@ def predict(df: DataFrame, text: str, model: Model) -> DataFrame:
             columns = [*(batch.column(c) for c in kept), *(pa.array(r, kind) for r, (_, _, kind) in zip(results, added))]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(name for name, _, _ in added)])
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return df.select(*kept, *([] if keep else [text])).mapInArrow(run, schema)
