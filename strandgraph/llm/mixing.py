@@ -134,24 +134,23 @@ def balance(rows: DataFrame, weights: list[int], cap: int = 3, seed: int = 7) ->
 
     taken = F.sum(F.col("copies") * F.col("size"))
     gaps = first.groupBy("named", "source").agg((F.round(F.first("target")) - taken).cast("long").alias("gap")).where("gap <> 0")
-    can = ((F.col("gap") > 0) & (F.col("copies") < cap)) | ((F.col("gap") < 0) & (F.col("copies") > 0))
-    spare = counted_join(first.where("size > 0"), materialize(gaps, "gaps"), ["named", "source"]).where(can & (F.col("size") <= F.abs("gap")))
+    spare = counted_join(first.where("size > 0"), materialize(gaps, "gaps"), ["named", "source"]).where(F.col("size") < 2 * F.abs("gap"))
     by_class = W.partitionBy("named", "source", "class").orderBy("draw", "key", "row")
     spare = spare.withColumn("class", F.floor(F.log2("size"))).withColumn("draw", draw(F.col("key"), seed + 1))
     spare = spare.withColumn("_n", F.row_number().over(by_class)).where(F.col("_n") <= SPARE)
     listed = spare.groupBy("named", "source", "gap").agg(
-        F.sort_array(F.collect_list(F.struct("size", F.col("draw").alias("draw"), "row")), asc=False).alias("spare")  # at most SPARE per class
+        F.sort_array(F.collect_list(F.struct("size", "draw", "row", "copies")), asc=False).alias("spare")  # at most SPARE per class
     )
-    state = F.struct(F.abs(F.col("gap")).alias("left"), F.expr("cast(array() as array<bigint>)").alias("rows"))
-    chosen = F.aggregate(
-        "spare",
-        state,
-        lambda acc, x: F.when(
-            x["size"] <= acc["left"],
-            F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["rows"], F.array(x["row"])).alias("rows")),
-        ).otherwise(acc),
-        lambda acc: acc["rows"],
-    )
-    mended = materialize(listed.select(F.explode(chosen).alias("row"), F.signum("gap").cast("long").alias("more")), "mended")
+    start = F.struct(F.col("gap").alias("left"), F.expr("cast(array() as array<struct<row: bigint, more: bigint>>)").alias("rows"))
+
+    def step(acc: Column, x: Column) -> Column:
+        sign = F.signum(acc["left"]).cast("long")
+        left = acc["left"] - sign * x["size"]
+        can = F.when(sign > 0, x["copies"] < cap).otherwise(x["copies"] > 0)
+        more = F.struct(x["row"].alias("row"), sign.alias("more"))
+        return F.when(can & (F.abs(left) < F.abs(acc["left"])), F.struct(left.alias("left"), F.concat(acc["rows"], F.array(more)).alias("rows"))).otherwise(acc)
+
+    chosen = F.aggregate("spare", start, step, lambda acc: acc["rows"])
+    mended = materialize(listed.select(F.inline(chosen)), "mended")
     final = counted_join(first, mended, ["row"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
     return final.select("row", "key", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

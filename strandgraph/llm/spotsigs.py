@@ -68,14 +68,15 @@ def with_fingerprint(df: DataFrame, text: str, name: str, chain: int = CHAIN) ->
 
 def signatures(fingerprint: Column) -> Column:
     """The signatures of a fingerprint, sorted."""
-    last = (F.length(fingerprint) / WIDTH).cast("int") - 1
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(fingerprint, i * WIDTH + 1, F.lit(WIDTH)))
+    return F.regexp_extract_all(fingerprint, F.lit(f".{{{WIDTH}}}"), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two fingerprints; those of very unlike length still give the exact value."""
     shared = F.size(F.array_intersect(signatures(a), signatures(b)))
-    return F.when(a == b, 1.0).otherwise(shared / ((F.length(a) + F.length(b)) / WIDTH - shared))
+    both = (F.length(a) + F.length(b)) / WIDTH
+    ratio = F.transform(F.array(shared), lambda n: n / (both - n))[0]  # so that the sets are compared once
+    return F.when(a == b, 1.0).otherwise(ratio)
 
 
 def with_next(docs: DataFrame, key: str, text: str, portion: int = 4) -> DataFrame:
@@ -88,7 +89,7 @@ def with_next(docs: DataFrame, key: str, text: str, portion: int = 4) -> DataFra
     one key is followed by itself.
 
     Texts are shuffled once, by key, and both joins use that exchange; only heads
-    and fingerprints move a second time. Positions come from prefix sums over the
+    and fingerprints (packed to bytes) move a second time. Positions come from prefix sums over the
     keys alone.
     """
     digest = F.unhex(F.sha2(text, 256))
@@ -100,11 +101,13 @@ def with_next(docs: DataFrame, key: str, text: str, portion: int = 4) -> DataFra
     follows = keys.select(F.col(key).alias("next_key"), F.col("digest").alias("next_digest"), "position")
     owners = keys.select(F.col(key).alias("owner"), "need", F.pmod(F.col("position") + 1, n).alias("position"))
     links = materialize(owners.join(follows, "position").drop("position"), "links")
+    docs = docs.withColumn("fingerprint", F.unhex("fingerprint"))
     heads = docs.join(links, docs[key].eqNullSafe(links["next_key"])).where(digest == F.col("next_digest") if repeated else F.lit(True))
     heads = heads.select("owner", F.expr(f"left({text}, need)").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
     if repeated:
         heads = heads.dropDuplicates(["owner"])
-    return docs.join(heads, docs[key].eqNullSafe(heads["owner"])).drop("owner")
+    both = docs.join(heads, docs[key].eqNullSafe(heads["owner"])).drop("owner")
+    return both.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "next_fingerprint")})
 
 
 def near_links(prints: DataFrame, key: str, fingerprint: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:

@@ -91,8 +91,8 @@ def test_op4(spark, folder, docs):
         assert row["target"] == pytest.approx(target[source[i]], rel=1e-9)
         assert 0 <= row["taken"] <= 3 * row["size"]
         taken[source[i]] += row["taken"]
-    for s in names:
-        assert abs(taken[s] - target[s]) <= 0.02 * target[s] + 30
+    for s in names:  # a source of ten documents cannot come nearer than its smaller ones allow
+        assert abs(taken[s] - target[s]) <= 0.02 * target[s] + min(n for i, n in sizes.items() if source[i] == s)
 
 
 def test_op5(spark, folder, docs):
