@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.functions import text as t
 from strandgraph.functions.labels import decode_labels
-from strandgraph.operators.ordinal import first_by, latest_by, seeded_draw, with_ordinal
+from strandgraph.operators.ordinal import first_by, latest_by, one_per_key, seeded_draw, with_ordinal
 from strandgraph.session import column
 
 # --- fixed values ------------------------------------------------------------
@@ -106,9 +106,12 @@ def two_turns(human: Column, gpt: Column) -> Column:
     return F.array(turn("human", human), turn("gpt", gpt))
 
 
-def with_triplet_source(rows: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """Add blocks and branch: the image's retrieved blocks, else the row's own, else none."""
-    found = retrieved.select("img_id", t.text_blocks("captions", True).alias("_found"))
+def with_triplet_source(rows: DataFrame, retrieved: DataFrame, order: str | None = None) -> DataFrame:
+    """Add blocks and branch: the image's retrieved blocks, else the row's own, else none.
+
+    The last retrieval of an image under ``order`` counts; without it a repeated image is an error.
+    """
+    found = one_per_key(retrieved, ["img_id"], order).select("img_id", t.text_blocks("captions", True).alias("_found"))
     joined = rows.join(found, "img_id", "left")
     own = t.text_blocks("triplets", True)
     has = F.coalesce(F.size("_found") > 0, F.lit(False))
@@ -123,17 +126,20 @@ def build_conversations(
     multihop: bool = False,
     templates: Sequence[str] = (QUESTION_TEMPLATE,),
     seed: int = 0,
+    retrieved_order: str | None = None,
+    chains_order: str | None = None,
 ) -> DataFrame:
     """rows(img_id, rel_path, split, sentence_id, img_labels, nle, triplets, ord) -> id, split, image, sentence_id, branch, conversations.
 
     The first row per (image, sentence) counts. ``chains`` (img_id = sentence id,
-    chains) enter the prompt only with ``multihop``.
+    chains) enter the prompt only with ``multihop``. Of repeated images and chains the
+    last one under the given order column counts; without one a repeat is an error.
     """
     unique = first_by(rows, ["img_id", "sentence_id"], "ord")
-    sourced = with_triplet_source(unique, retrieved)
+    sourced = with_triplet_source(unique, retrieved, retrieved_order)
     extra = None
     if multihop and chains is not None:
-        table = chains.select(F.col("img_id").alias("sentence_id"), F.col("chains").alias("_chains"))
+        table = one_per_key(chains, ["img_id"], chains_order).select(F.col("img_id").alias("sentence_id"), F.col("chains").alias("_chains"))
         sourced = sourced.join(table, "sentence_id", "left")
         extra = F.coalesce("_chains", F.array().cast(TEXT))
     asked = question(decode_labels("img_labels"), "img_id", seed, templates)
@@ -148,10 +154,10 @@ def build_conversations(
     )
 
 
-def attach_first_k(rows: DataFrame, retrieved: DataFrame, k: int = 7) -> DataFrame:
-    """The last row per image with its first ``k`` retrieved captions."""
+def attach_first_k(rows: DataFrame, retrieved: DataFrame, k: int = 7, order: str | None = None) -> DataFrame:
+    """The last row per image with its first ``k`` retrieved captions, of the image's last retrieval under ``order``."""
     last = latest_by(rows, ["img_id"], "ord")
-    found = retrieved.select("img_id", F.slice("captions", 1, k).alias("_k"))
+    found = one_per_key(retrieved, ["img_id"], order).select("img_id", F.slice("captions", 1, k).alias("_k"))
     return last.join(found, "img_id", "left").withColumn("kg_triplets", F.coalesce("_k", F.array().cast(TEXT))).drop("_k")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.functions import scoring as s
 from strandgraph.functions import text as t
-from strandgraph.operators.ordinal import latest_by, with_group_ordinal
+from strandgraph.operators.ordinal import latest_by, one_per_key, with_group_ordinal
 
 # --- fixed values ------------------------------------------------------------
 
@@ -228,14 +228,16 @@ def option_rounds(rows: DataFrame, all_rounds: bool = True, letters: Sequence[st
 # --- joins -------------------------------------------------------------------
 
 
-def align_variants(variants: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+def align_variants(variants: dict[str, tuple[DataFrame, DataFrame]], order: str | None = None) -> DataFrame:
     """{name: (data(question_id, image, question, reference), answers(question_id, text))} -> image, question, reference, variants MAP<name, text>, is_complete, texts_match.
 
-    Within a variant the last question id of a key counts. Three missing texts match.
+    Sorted by image and question. Within a variant the last question id of a key
+    counts, and of a question the last answer under ``order`` (without it a repeated
+    question is an error). Three missing texts match.
     """
     parts = []
     for name, (data, answers) in variants.items():
-        texts = answers.select("question_id", F.col("text").alias("_text"))
+        texts = one_per_key(answers, ["question_id"], order).select("question_id", F.col("text").alias("_text"))
         parts.append(
             data.join(texts, "question_id", "left").select("image", "question", "reference", "question_id", F.lit(name).alias("_v"), "_text")
         )
@@ -254,7 +256,8 @@ def align_variants(variants: dict[str, tuple[DataFrame, DataFrame]]) -> DataFram
     pairs = [F.struct(F.lit(name).alias("key"), F.col(f"_s{i}.text").alias("value"), F.col(f"_s{i}").isNotNull().alias("has")) for i, name in enumerate(variants)]
     present = F.filter(F.array(*pairs), lambda p: p["has"])
     table = F.map_from_entries(F.transform(present, lambda p: F.struct(p["key"], p["value"])))
-    return grouped.select("image", "question", "reference", table.alias("variants"), complete.alias("is_complete"), (complete & same).alias("texts_match"))
+    out = grouped.select("image", "question", "reference", table.alias("variants"), complete.alias("is_complete"), (complete & same).alias("texts_match"))
+    return out.orderBy("image", "question", "reference")
 
 
 def resume_skip(questions: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -317,23 +320,26 @@ def accuracy(df: DataFrame, correct: Column, by: str, total: str = "all") -> Dat
     return counted.select(name.alias(by), "n", "correct", F.round(100 * F.try_divide("correct", "n"), 2).alias("pct"))
 
 
-def seed_accuracy(questions: DataFrame, results: DataFrame, data_type: str | None = None) -> DataFrame:
+def seed_accuracy(questions: DataFrame, results: DataFrame, data_type: str | None = None, order: str | None = None) -> DataFrame:
     """questions(question_id, question_type_id, data_type, answer), results(question_id, text): accuracy per type and total.
 
     Ids may be numbers or text on either side; an unanswered question stays in the count.
+    The last result of a question under ``order`` counts; without it a repeat is an error.
     """
     asked = questions if data_type is None else questions.where(F.col("data_type") == data_type)
-    answers = results.select(F.col("question_id").cast("string").alias("_id"), F.col("text").alias("_text"))
+    named = results.withColumn("_id", F.col("question_id").cast("string"))
+    answers = one_per_key(named, ["_id"], order).select("_id", F.col("text").alias("_text"))
     joined = asked.join(answers, F.col("question_id").cast("string") == F.col("_id"), "left")
     return accuracy(joined, F.coalesce(F.col("_text") == F.col("answer"), F.lit(False)), "question_type_id")
 
 
-def mcq_accuracy(problems: DataFrame, predictions: DataFrame) -> DataFrame:
+def mcq_accuracy(problems: DataFrame, predictions: DataFrame, order: str | None = None) -> DataFrame:
     """problems(id, choices, answer), predictions(id, text, prompt): one row with overall and image-subset accuracy.
 
-    A missing prediction is FAILED and counts as wrong.
+    A missing prediction is FAILED and counts as wrong. The last prediction of a problem
+    under ``order`` counts; without it a repeat is an error.
     """
-    found = predictions.select("id", F.col("text").alias("_text"), F.col("prompt").alias("_prompt"))
+    found = one_per_key(predictions, ["id"], order).select("id", F.col("text").alias("_text"), F.col("prompt").alias("_prompt"))
     joined = problems.join(found, "id", "left")
     letter = s.mcq_letter(F.coalesce("_text", F.lit("FAILED")))
     right = s.option_index(letter, F.size("choices")) == F.col("answer")
@@ -351,16 +357,20 @@ def mcq_accuracy(problems: DataFrame, predictions: DataFrame) -> DataFrame:
     )
 
 
-def ensemble(problems: DataFrame, ours: DataFrame, partner: DataFrame, requery: DataFrame | None = None) -> DataFrame:
+def ensemble(
+    problems: DataFrame, ours: DataFrame, partner: DataFrame, requery: DataFrame | None = None, order: str | None = None
+) -> DataFrame:
     """problems(id, choices, answer), ours/partner/requery(id, text): one row of counts.
 
     A partner that states no answer falls back to ours; the upper bound counts either
     one right. An unreadable answer is index -1, never a guess. With ``requery`` its
-    answer replaces ours where it states one.
+    answer replaces ours where it states one. The last answer of a problem under
+    ``order`` counts; without it a repeat is an error.
     """
+    ours, partner = one_per_key(ours, ["id"], order), one_per_key(partner, ["id"], order)
     joined = problems.join(ours.select("id", F.col("text").alias("_o")), "id").join(partner.select("id", F.col("text").alias("_p")), "id")
     if requery is not None:
-        joined = joined.join(requery.select("id", F.col("text").alias("_q")), "id", "left")
+        joined = joined.join(one_per_key(requery, ["id"], order).select("id", F.col("text").alias("_q")), "id", "left")
     n = F.size("choices")
     staged = joined.select(
         "answer",
@@ -399,7 +409,7 @@ def soft_vqa_rows(df: DataFrame) -> DataFrame:
 
     Every answer is scored by the mean over annotators of min(1, matching others / 3).
     """
-    normalized = df.select("id", s.evalai_normalize("pred").alias("p"), F.transform("answers", s.evalai_normalize).alias("a"))
+    normalized = df.select("id", s.evalai_normalize("pred").alias("p"), F.transform("answers", lambda a: s.evalai_normalize(a)).alias("a"))
     c = F.size(F.filter("a", lambda x: x == F.col("p")))
     score = (c * F.least(F.lit(1.0), (c - 1) / 3) + (10 - c) * F.least(F.lit(1.0), c / 3)) / 10
     checked = F.when(F.size("a") != 10, F.raise_error(F.lit("ten answers expected")).cast("double"))
@@ -409,7 +419,7 @@ def soft_vqa_rows(df: DataFrame) -> DataFrame:
 def st_vqa_rows(df: DataFrame) -> DataFrame:
     """df(id, pred, answers) -> id, accuracy (any normalised match), anls."""
     normalized = df.select(
-        "id", "pred", "answers", s.evalai_normalize("pred").alias("p"), F.transform("answers", s.evalai_normalize).alias("a")
+        "id", "pred", "answers", s.evalai_normalize("pred").alias("p"), F.transform("answers", lambda a: s.evalai_normalize(a)).alias("a")
     )
     match = F.array_contains("a", F.col("p"))
     return normalized.select(
@@ -476,9 +486,12 @@ def to_submission(df: DataFrame, kind: str) -> DataFrame:
     raise ValueError(f"unknown submission: {kind}")
 
 
-def submission_join(questions: DataFrame, results: DataFrame, required: bool = False) -> DataFrame:
-    """questions(question_id, ...) with their result text; a missing one is empty, or an error when ``required``."""
-    found = results.select("question_id", F.col("text").alias("_text"))
+def submission_join(questions: DataFrame, results: DataFrame, required: bool = False, order: str | None = None) -> DataFrame:
+    """questions(question_id, ...) with their result text; a missing one is empty, or an error when ``required``.
+
+    The last result of a question under ``order`` counts; without it a repeat is an error.
+    """
+    found = one_per_key(results, ["question_id"], order).select("question_id", F.col("text").alias("_text"))
     joined = questions.join(found, "question_id", "left")
     missing = F.raise_error(t.concat("no result for question ", F.col("question_id").cast("string"))).cast("string") if required else F.lit("")
     return joined.withColumn("text", F.coalesce("_text", missing)).drop("_text")

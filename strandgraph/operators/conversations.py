@@ -109,17 +109,17 @@ def normalize_images(conv: DataFrame, wrap: tuple[str, str] | None = None, tag:
     return conv.withColumn("turns", fixed)
 
 
-def mask_spans(conversations: DataFrame, target: str = "assistant") -> DataFrame:
+def mask_spans(conversations: DataFrame, target: str = "assistant", human: str = "user") -> DataFrame:
     """conv_id, turn, span_start, span_end, masked in words; only complete rounds keep their target.
 
     Spans are half-open word positions inside the conversation. A target turn
-    counts when a human turn comes right before it.
+    counts when a turn of ``human`` comes right before it.
     """
     w = W.partitionBy("conv_id").orderBy("turn")
     n = t.word_count("text").cast("long")
     counted = conversations.withColumn("_n", n).withColumn("_prev", F.lag("role").over(w))
     end = F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0))
-    keeps = (F.col("role") == target) & F.coalesce(F.col("_prev") == "user", F.lit(False))
+    keeps = (F.col("role") == target) & F.coalesce(F.col("_prev") == human, F.lit(False))
     return counted.select(
         "conv_id", "turn", (end - F.col("_n")).alias("span_start"), end.alias("span_end"), (~keeps).alias("masked")
     )

@@ -365,14 +365,17 @@ def chains(
     A triplet's object (then its subject, with ``use_subject``) is looked up in
     entity_map(entity, canonical) as written, then lowered; an empty or null name
     is no match. Every (node, edge, neighbour) is used once per row, in
-    first-seen order. Rows without chains are kept.
+    first-seen order. Every row gives one row, also one without chains or with an
+    image id that repeats; rows of equal image and triplets are worked out once.
 
     Neighbours are folded into one bounded array per node and then per distinct
     entity text, so the large side is joined once and grouped once, by row.
     """
     ends = F.array("_p.obj", "_p.subj") if use_subject else F.array("_p.obj")
-    parsed = rows.select("img_id", F.posexplode_outer("triplets").alias("_i", "_t")).select(
-        "img_id", "_i", "_t", t.parse_triplet("_t").alias("_p")
+    alike = rows.groupBy("img_id", "triplets").agg(F.count(F.lit(1)).alias("_times"))
+    digest = F.md5(F.coalesce(F.to_json("triplets"), F.lit("")))
+    parsed = alike.select("img_id", digest.alias("_row"), "_times", F.posexplode_outer("triplets").alias("_i", "_t")).select(
+        "img_id", "_row", "_times", "_i", "_t", t.parse_triplet("_t").alias("_p")
     )
     looked = F.when(F.col("_p.rel").isNotNull(), ends)
     asked = parsed.select("*", F.posexplode_outer(looked).alias("_j", "_text"))
@@ -396,7 +399,8 @@ def chains(
     key = F.lower("_name") if fold_node_case else F.col("_name")
     lookup = names.withColumn("_node", key).join(lists, "_node").select("_text", "_name", "_near")
 
-    joined = asked.join(lookup, "_text", "left").groupBy("img_id").agg(
+    joined = asked.join(lookup, "_text", "left").groupBy("img_id", "_row").agg(
+        F.max("_times").alias("_times"),
         F.array_sort(F.collect_list(F.struct("_i", "_j", "_t", "_p", "_name", "_near"))).alias("_all")
     )
     found = F.flatten(
@@ -412,9 +416,10 @@ def chains(
         )
     )
     firsts = F.filter("_all", lambda a: a["_t"].isNotNull() & F.coalesce(a["_j"] == 0, F.lit(True)))
-    out = joined.select("img_id", F.transform(firsts, lambda a: a["_t"]).alias("triplets"), found.alias("_found"))
+    out = joined.select("img_id", "_times", F.transform(firsts, lambda a: a["_t"]).alias("triplets"), found.alias("_found"))
     unique = t.dedupe_by(F.col("_found"), lambda f: f["key"])
-    return out.select("img_id", "triplets", F.transform(unique, lambda f: f["text"]).alias("chains"))
+    once = out.select("img_id", "triplets", F.transform(unique, lambda f: f["text"]).alias("chains"), "_times")
+    return once.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("_times")
 
 
 def chain_stats(chain_rows: DataFrame) -> DataFrame:

@@ -65,6 +65,22 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFra
     return _pick(df, keys, order, F.min_by)
 
 
+def one_per_key(side: DataFrame, keys: Sequence[str], order: Column | str | None = None) -> DataFrame:
+    """The lookup side of a join with one row per key, so that the join cannot multiply rows.
+
+    With ``order`` the last row of a key counts, as a later line of an answer file
+    replaces an earlier one. Without it a key that repeats is an error, because
+    nothing says which of its rows is meant.
+    """
+    if order is not None:
+        return latest_by(side, keys, order)
+    rest = [c for c in side.columns if c not in keys]
+    grouped = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_row"))
+    twice = F.raise_error(F.concat(F.lit("repeated key without an order: "), F.to_json(F.struct(*keys))))
+    checked = grouped.withColumn("_row", F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.when(twice.isNull(), F.col("_row"))))
+    return checked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in side.columns])
+
+
 def _pick(df: DataFrame, keys: Sequence[str], order: Column | str, pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     chosen = df.groupBy(*keys).agg(pick(F.struct(*rest), column(order)).alias("_row"))

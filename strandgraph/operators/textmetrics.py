@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.functions import text as t
 from strandgraph.functions.text import entities_loose
+from strandgraph.operators.ordinal import one_per_key
 
 # --- fixed values ------------------------------------------------------------
 
@@ -45,9 +46,12 @@ MAX_N = 4
 HOT_SHARE = 1000  # an n-gram is hot when it has at least 1/HOT_SHARE of all (id, n-gram) rows
 
 
-def align(refs: DataFrame, answers: DataFrame) -> DataFrame:
-    """refs(ord, ref), answers(question_id, text) -> ord, hyp, ref; a missing answer is empty."""
-    found = answers.select(F.col("question_id").alias("ord"), F.col("text").alias("_hyp"))
+def align(refs: DataFrame, answers: DataFrame, order: str | None = None) -> DataFrame:
+    """refs(ord, ref), answers(question_id, text) -> ord, hyp, ref; a missing answer is empty.
+
+    The last answer of a question under the column ``order`` counts; without it a repeated question is an error.
+    """
+    found = one_per_key(answers, ["question_id"], order).select(F.col("question_id").alias("ord"), F.col("text").alias("_hyp"))
     return refs.join(found, "ord", "left").select("ord", F.coalesce("_hyp", F.lit("")).alias("hyp"), "ref")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.functions import text as t
+from strandgraph.operators.ordinal import one_per_key
 from strandgraph.operators.reports import report_key
 
 NO_TRIPLETS = "array<string>"
@@ -23,10 +24,13 @@ def report_triplets(annotations: DataFrame) -> DataFrame:
     return annotations.select("report_id", triplets.alias("triplets"))
 
 
-def attach_triplets(rows: DataFrame, by_report: DataFrame) -> DataFrame:
-    """Left join on the report key; a row without a match gets an empty array."""
+def attach_triplets(rows: DataFrame, by_report: DataFrame, order: str | None = None) -> DataFrame:
+    """Left join on the report key; a row without a match gets an empty array.
+
+    The last entry of a report under ``order`` counts; without it a repeated report is an error.
+    """
     keyed = rows.withColumn("_key", report_key("report_id", "sentence_id"))
-    lookup = by_report.select(F.col("report_id").alias("_key"), F.col("triplets").alias("_found"))
+    lookup = one_per_key(by_report, ["report_id"], order).select(F.col("report_id").alias("_key"), F.col("triplets").alias("_found"))
     return (
         keyed.join(lookup, "_key", "left")
         .withColumn("triplets", F.coalesce("_found", F.array().cast(NO_TRIPLETS)))

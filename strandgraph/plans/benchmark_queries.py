@@ -76,11 +76,11 @@ def few_shot_chat(spark, d):
 
 
 def mcq_accuracy(spark, d):
-    return B.mcq_accuracy(problems(spark, d), _answers(spark, d, 0, 6))
+    return B.mcq_accuracy(problems(spark, d), fx.with_stale(_answers(spark, d, 0, 6)), "seen")
 
 
 def ensemble(spark, d):
-    return B.ensemble(problems(spark, d), _answers(spark, d, 0, 1), _answers(spark, d, 2, 1), _answers(spark, d, 1, 8))
+    return B.ensemble(problems(spark, d), *(fx.with_stale(_answers(spark, d, *way)) for way in ((0, 1), (2, 1), (1, 8))), order="seen")
 
 
 def option_rounds(spark, d):
@@ -131,7 +131,7 @@ def accuracy_rollup(spark, d):
         F.when(F.col("n_chars") > 1500, "A").otherwise("B").alias("answer"),
     )
     results = fx.table(spark, d, "labels").select(F.col("doc_id").alias("question_id"), F.when(F.col("quality") == 1, "A").otherwise("B").alias("text"))
-    return B.seed_accuracy(questions, results)
+    return B.seed_accuracy(questions, fx.with_stale(results), order="seen")
 
 
 # --- VQA answers ---------------------------------------------------------------
@@ -180,7 +180,7 @@ def submissions(spark, d):
     """VQA-style submission: every document is a question, labelled ones have a result."""
     docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("question_id"))
     results = _binary(spark, d).select(F.col("doc_id").alias("question_id"), t.concat("The ", F.col("lang"), ", one!").alias("text"))
-    return B.to_submission(B.submission_join(docs, results), "vqa")
+    return B.to_submission(B.submission_join(docs, fx.with_stale(results), order="seen"), "vqa")
 
 
 def submission_gqa(spark, d):

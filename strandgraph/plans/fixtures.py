@@ -309,6 +309,12 @@ add_view("fx_label_rows", f"SELECT *, [{_DIGITS}] AS digits FROM fx_nle", ["fx_n
 FRAGMENTS = ["tion", "ment", "ungen", "lly", "shwh", "reau", "cion", "schen", "the", "ando"]
 
 
+def with_stale(answers: DataFrame, column: str = "text") -> DataFrame:
+    """Every answer twice, as in a file that was written again: an outdated one first (seen 0), then the real one (seen 1)."""
+    old = answers.withColumn(column, F.lit("outdated").cast(answers.schema[column].dataType) if answers.schema[column].dataType.simpleString() == "string" else F.slice(column, 1, 0))
+    return old.withColumn("seen", F.lit(0)).unionByName(answers.withColumn("seen", F.lit(1)))
+
+
 def text_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as reference; labelled ones have an answer: the text without every seventh word."""
     from strandgraph.functions import text as t
@@ -322,7 +328,7 @@ def text_pairs(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("_w", t.words("text"))
         .select(F.col("doc_id").alias("question_id"), F.array_join(kept, " ").alias("text"))
     )
-    return align(docs.select(F.col("doc_id").alias("ord"), F.col("text").alias("ref")), answers).withColumnRenamed("ord", "id")
+    return align(docs.select(F.col("doc_id").alias("ord"), F.col("text").alias("ref")), with_stale(answers), "seen").withColumnRenamed("ord", "id")
 
 
 add_view(

@@ -102,9 +102,7 @@ def kg_exposure(spark, d):
 
 def _subgraph(spark, d):
     nodes, edges = stored_graph(spark, d)
-    # Nations are the hubs, so the seeds are the matched suppliers and the parts they drop out with.
-    terms = {k: v for k, v in fx.TERMS.items() if k in ("Suppliers", "Rods")}
-    return G.subgraph(nodes, edges, G.find_nodes(nodes, terms))
+    return G.subgraph(nodes, edges, G.find_nodes(nodes, fx.TERMS))  # nations, the hubs, among the seeds
 
 
 def kg_subgraph(spark, d):
@@ -236,10 +234,10 @@ def chain_coverage(spark, d):
     rows = fx.rows_nle(spark, d)
     texts = rows.groupBy(F.col("study_id").alias("img_id")).agg(F.max_by("nle", "ord").alias("text"))
     nodes, edges = stored_graph(spark, d)
-    # Chains as entity lists: the neighbours of the order's triplet objects, first three per order.
+    # Chains as entity lists of two and three: the neighbours of the order's triplet objects.
     ends = rows.select(F.col("study_id").alias("img_id"), t.parse_triplet("triplet")["obj"].alias("obj")).where("obj IS NOT NULL").distinct()
-    near = G.neighbors(nodes, edges, ends.select(F.col("obj").alias("node_name")), k=3)
-    hits = ends.join(near, ends.obj == near.node_name).select("img_id", F.array("node_name", "neighbor").alias("entities"))
+    near = G.neighbors(nodes, edges, ends.select(F.col("obj").alias("node_name")), k=10)
+    hits = ends.join(near, ends.obj == near.node_name).select("img_id", F.when(F.col("rank") % 2 == 0, F.array("node_name", "neighbor", "edge")).otherwise(F.array("node_name", "neighbor")).alias("entities"))
     made = hits.groupBy("img_id").agg(F.collect_list(F.struct("entities")).alias("chains"))
     return G.chain_coverage(texts, made)
 
@@ -313,7 +311,7 @@ add_view(
     "seed_nodes",
     """
     SELECT DISTINCT m.node_index FROM matches20 m JOIN nodes n ON n.node_index = m.node_index
-    WHERE label = 'disease' AND diagnosis IN ('Suppliers', 'Rods')""",
+    WHERE label = 'disease'""",
     ["matches20", "nodes"],
 )
 _MANUAL = ", ".join(f"('{k}', {'NULL' if v is None else repr(v)})" for k, v in fx.MANUAL.items())
@@ -536,12 +534,13 @@ ORACLE = {
     ),
     "chain_coverage": with_views(
         """
-        WITH n AS (SELECT node_name, neighbor FROM near WHERE rank <= 3),
+        WITH n AS (SELECT node_name, neighbor, CASE WHEN rank % 2 = 0 THEN edge END AS edge FROM near WHERE rank <= 10),
         e AS (SELECT DISTINCT study_id AS img_id, substr(triplet, instr(triplet, ' suggestive of ') + 15) AS obj FROM fx_nle WHERE contains(triplet, ' suggestive of ')),
         x AS (SELECT study_id AS img_id, arg_max(nle, ord) AS text FROM fx_nle GROUP BY 1),
-        h AS (SELECT e.img_id, max(CASE WHEN contains(lower(text), lower(node_name)) OR contains(lower(text), lower(neighbor)) THEN 1 ELSE 0 END) AS hit
+        h AS (SELECT e.img_id, sum(CASE WHEN edge IS NULL THEN 1 ELSE 2 END) AS depth, count(*) AS chains,
+                     max(CASE WHEN contains(lower(text), lower(node_name)) OR contains(lower(text), lower(neighbor)) OR contains(lower(text), lower(coalesce(edge, node_name))) THEN 1 ELSE 0 END) AS hit
               FROM e JOIN n ON n.node_name = e.obj JOIN x ON x.img_id = e.img_id GROUP BY 1)
-        SELECT round(100 * avg(hit), 2) AS coverage_pct, CAST(1 AS DOUBLE) AS avg_hop_depth FROM h""",
+        SELECT round(100 * avg(hit), 2) AS coverage_pct, round(CAST(sum(depth) AS DOUBLE) / sum(chains), 4) AS avg_hop_depth FROM h""",
         "near",
         "fx_nle",
     ),

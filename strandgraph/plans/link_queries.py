@@ -44,7 +44,7 @@ def link_fuzzy(spark, d):
 
 
 def link_cascade(spark, d):
-    """Manual, concept candidates, exact and fuzzy in this order over all mentions."""
+    """Manual, exact, concept candidates and fuzzy in this order over all mentions."""
     nodes = vocabulary_nodes(spark, d)
     mentions = entities(spark, d)
     manual = L.manual_stage(spark, {"and": None, "the": "A", "with": "WITHOUT"})
@@ -54,8 +54,8 @@ def link_cascade(spark, d):
         mentions,
         [
             ("manual", manual),
-            ("concept", L.concept_stage(concepts, nodes)),
             ("exact", L.exact_stage(nodes)),
+            ("concept", L.concept_stage(concepts, nodes)),
             ("fuzzy", L.fuzzy_stage(mentions, _keys(spark, d))),
         ],
     )
@@ -102,10 +102,13 @@ ORACLE = {
     "link_fuzzy": with_views("SELECT entity, canonical FROM fuzz", "fuzz"),
     "link_cascade": with_views(
         """
-        SELECT m.entity, CASE WHEN k.k IS NOT NULL THEN k.v WHEN c.n > 0 THEN c.name WHEN n.key IS NOT NULL THEN n.canonical ELSE f.canonical END AS canonical,
-               CASE WHEN k.k IS NOT NULL THEN 'manual' WHEN c.n > 0 THEN 'concept' WHEN n.key IS NOT NULL THEN 'exact' WHEN f.entity IS NOT NULL THEN 'fuzzy' END AS stage
-        FROM mentions m LEFT JOIN (VALUES ('and', NULL), ('the', 'A'), ('with', 'WITHOUT')) k(k, v) ON k.k = m.entity
-             LEFT JOIN names n ON n.key = m.entity LEFT JOIN fuzz f ON f.entity = m.entity LEFT JOIN concept c ON contains(m.entity, 'tion')""",
+        WITH f AS MATERIALIZED (SELECT entity, canonical FROM fuzz),
+        c AS MATERIALIZED (SELECT name, n FROM concept),
+        m AS (SELECT entity, CASE WHEN contains(entity, 'tion') THEN (SELECT n FROM c) ELSE 0 END AS found FROM mentions)
+        SELECT m.entity, CASE WHEN k.k IS NOT NULL THEN k.v WHEN n.key IS NOT NULL THEN n.canonical WHEN found > 0 THEN (SELECT name FROM c) ELSE f.canonical END AS canonical,
+               CASE WHEN k.k IS NOT NULL THEN 'manual' WHEN n.key IS NOT NULL THEN 'exact' WHEN found > 0 THEN 'concept' WHEN f.entity IS NOT NULL THEN 'fuzzy' END AS stage
+        FROM m LEFT JOIN (VALUES ('and', NULL), ('the', 'A'), ('with', 'WITHOUT')) k(k, v) ON k.k = m.entity
+             LEFT JOIN names n ON n.key = m.entity LEFT JOIN f ON f.entity = m.entity""",
         "mentions",
         "fuzz",
         "concept",

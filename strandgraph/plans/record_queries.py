@@ -92,7 +92,7 @@ def _built(spark, d, multihop=True):
     rows = _image_rows(spark, d)
     # Some rows have no triplet of their own.
     blank = F.when(F.element_at("triplets", 1).contains(" suggestive of "), F.col("triplets"))
-    return A.build_conversations(rows.withColumn("triplets", blank), _retrieved(spark, d), _row_chains(spark, d), multihop)
+    return A.build_conversations(rows.withColumn("triplets", blank), fx.with_stale(_retrieved(spark, d), "captions"), _row_chains(spark, d), multihop, retrieved_order="seen")
 
 
 def _flat(conv):
@@ -120,7 +120,7 @@ def question_templates(spark, d):
 
 
 def attach_first_k(spark, d):
-    out = A.attach_first_k(_image_rows(spark, d), _retrieved(spark, d), 1)
+    out = A.attach_first_k(_image_rows(spark, d), fx.with_stale(_retrieved(spark, d), "captions"), order="seen")
     return out.select("img_id", "sentence_id", "ord", F.array_join("kg_triplets", "|").alias("kg_triplets"))
 
 
@@ -414,7 +414,7 @@ ORACLE = {
         FROM documents""",
     "attach_first_k": with_views(
         """
-        SELECT img_id, sentence_id, ord, coalesce(cap, '') AS kg_triplets
+        SELECT img_id, sentence_id, ord, coalesce(cap || '| opacity ; ' || cap || ';edema; opacity', '') AS kg_triplets
         FROM (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY ord DESC) AS rn FROM image_rows) LEFT JOIN got USING (img_id) WHERE rn = 1""",
         "image_rows",
         "got",

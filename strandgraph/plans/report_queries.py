@@ -27,7 +27,7 @@ def findings_impression(spark, d):
 
 def report_paths(spark, d):
     return fx.rows_nle(spark, d).select(
-        "sentence_id", "ord", t.report_path(F.substring("patient_id", 2, 10), "report_id").alias("path")
+        "sentence_id", "ord", t.report_path(F.expr("substring(patient_id, 2)"), "report_id").alias("path")
     )
 
 
@@ -49,8 +49,10 @@ def _sentence_table(spark, d):
 
 
 def assign_sentences(spark, d):
-    ends = fx.table(spark, d, "orders").select(
-        F.concat(F.lit("s"), F.col("o_orderkey").cast("string"), F.lit("#3")).alias("sentence_id"),
+    # Lines 1 to 8 of every order; no order has eight, so some ids match nothing.
+    lines = fx.table(spark, d, "orders").withColumn("line", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    ends = lines.select(
+        F.concat(F.lit("s"), F.col("o_orderkey").cast("string"), F.lit("#"), F.col("line").cast("string")).alias("sentence_id"),
         F.col("o_orderpriority").alias("diagnosis"),
     )
     return R.assign_sentences(ends, _sentence_table(spark, d), "ord").select(
@@ -255,8 +257,8 @@ ORACLE = {
     "assign_sentences": with_views(
         """
         SELECT s.sentence_id, o_orderpriority AS diagnosis, nle, study_id AS report_id, patient_id
-        FROM orders JOIN (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY ord DESC) AS rn FROM fx_nle) s
-             ON s.sentence_id = 's' || o_orderkey || '#3' AND rn = 1""",
+        FROM (SELECT *, unnest(range(1, 9)) AS line FROM orders) JOIN (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY ord DESC) AS rn FROM fx_nle) s
+             ON s.sentence_id = 's' || o_orderkey || '#' || line AND rn = 1""",
         "fx_nle",
     ),
     "report_text": with_views(

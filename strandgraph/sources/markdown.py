@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from strandgraph.functions import text as t
 from strandgraph.operators.ordinal import latest_by
 
-HEADER_WITHIN = 30
-
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no, line of every file."""
@@ -20,18 +18,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", F.posexplode(F.split("value", "\r\n|\n")).alias("line_no", "line"))
 
 
-def read_markdown_table(lines: DataFrame, section: str, metrics: Sequence[str], conditions: Sequence[str]) -> DataFrame:
+def read_markdown_table(lines: DataFrame, section: str, metrics: Sequence[str], conditions: Sequence[str], within: int = 30) -> DataFrame:
     """lines(path, line_no, line) -> path, model, condition, metric, value.
 
-    The section is a line of its own; its table starts with ``| Model`` within thirty
-    lines and ends at the next ``## `` line. A blank model cell repeats the last model
+    The section is a line of its own; its table starts with ``| Model`` less than
+    ``within`` lines below and ends at the next ``## `` line. A blank model cell repeats the last model
     of a row with a wanted condition; ``*`` is dropped and of ``x/5`` the x counts.
     """
     # One group per file, which is a small document.
     by = W.partitionBy("path")
     line = t.strip("line")
     marked = lines.withColumn("_l", line).withColumn("_s", F.min(F.when(line == section, F.col("line_no"))).over(by))
-    header = F.col("_l").startswith("| Model") & (F.col("line_no") > F.col("_s")) & (F.col("line_no") < F.col("_s") + HEADER_WITHIN)
+    header = F.col("_l").startswith("| Model") & (F.col("line_no") > F.col("_s")) & (F.col("line_no") < F.col("_s") + within)
     headed = marked.withColumn("_h", F.min(F.when(header, F.col("line_no"))).over(by))
     body = headed.where(F.col("line_no") >= F.col("_h") + 2)
     stop = F.min(F.when(F.col("_l").startswith("## "), F.col("line_no"))).over(by)

@@ -106,6 +106,9 @@ def write_split_outputs(rows: DataFrame, path: str, mode: str = "error") -> None
 
 def as_json_map(df: DataFrame, key: str = "key", value: str = "text") -> DataFrame:
     """Lines of ``"key": value`` members, for a submission that wants one object."""
-    return df.select(t.concat(F.to_json(F.array(key)), ": ", F.to_json(F.array(value))).alias("value")).select(
-        F.regexp_replace(F.regexp_replace("value", r"^\[(.*?)\]: ", "$1: "), r": \[(.*)\]$", ": $1").alias("value")
-    )
+
+    def quoted(name: str) -> Column:
+        text = F.to_json(F.array(name))
+        return F.substring(text, F.lit(2), F.length(text) - 2)  # without the brackets of the array
+
+    return df.select(t.concat(quoted(key), ": ", quoted(value)).alias("value"))

@@ -360,3 +360,46 @@ def test_chain_coverage(spark):
     made = spark.createDataFrame([("i", [(["x", "edema"],)]), ("j", [(["y", "z", "w"],)])], "img_id string, chains array<struct<entities:array<string>>>")
     row = G.chain_coverage(answers, made).first()
     assert (row["coverage_pct"], row["avg_hop_depth"]) == (50.0, 1.5)
+
+
+def test_one_row_per_key(spark):
+    refs = spark.createDataFrame([(1, "r"), (2, "q")], "ord long, ref string")
+    answers = spark.createDataFrame([(1, "new", 2), (1, "old", 1)], "question_id long, text string, seen int")
+    got = sorted(tuple(r) for r in M.align(refs, answers, "seen").select("ord", "hyp").collect())
+    assert got == [(1, "new"), (2, "")]
+    with pytest.raises(Exception, match="repeated key"):
+        M.align(refs, answers).collect()
+    assert M.align(refs, answers.where("seen = 2")).count() == 2
+    asked = spark.createDataFrame([(1, "A", 3)], "question_id long, answer string, question_type_id int")
+    given = spark.createDataFrame([("1", "A", 2), ("1", "B", 1)], "question_id string, text string, seen int")
+    total = {r["question_type_id"]: (r["n"], r["correct"]) for r in B.seed_accuracy(asked, given, order="seen").collect()}
+    assert total == {"3": (1, 1), "all": (1, 1)}
+    assert B.submission_join(asked, given.withColumn("question_id", F.col("question_id").cast("long")), order="seen").count() == 1
+
+
+def test_chains_keep_every_row(spark):
+    rows = spark.createDataFrame(
+        [("i", ["a suggestive of b"]), ("i", ["c suggestive of b", "a suggestive of b"]), ("i", ["a suggestive of b"]), ("j", [])],
+        "img_id string, triplets array<string>",
+    )
+    links = spark.createDataFrame([("b", "B")], "entity string, canonical string")
+    near = spark.createDataFrame([("B", "disease_disease", "N", 1)], "node_name string, edge string, neighbor string, rank int")
+    got = G.chains(rows, links, near).collect()
+    assert sorted((r["img_id"], len(r["triplets"]), len(r["chains"])) for r in got) == [("i", 1, 1), ("i", 1, 1), ("i", 2, 1), ("j", 0, 0)]
+
+
+def test_nested_judge_reply_is_no_reply(spark):
+    from strandgraph.functions import scoring
+
+    full = '{"clinical_accuracy": 1, "completeness": 2, "reasoning_quality": 3, "language_quality": 4}'
+    df = spark.createDataFrame([(0, full), (1, f'{{"scores": {full}}}'), (2, f"well: {full} so"), (3, f"```json\n{full}\n```"), (4, "no")], "i int, s string")
+    got = {r["i"]: r["p"] for r in df.select("i", scoring.parse_judge("s").alias("p")).collect()}
+    assert [got[i] is not None for i in range(5)] == [True, False, True, True, False]
+
+
+def test_mask_spans_of_other_roles(spark):
+    from strandgraph.operators import conversations as C
+
+    df = spark.createDataFrame([(1, 0, "human", "a b"), (1, 1, "gpt", "c"), (1, 2, "gpt", "d")], "conv_id int, turn int, role string, text string")
+    got = {r["turn"]: r["masked"] for r in C.mask_spans(df, target="gpt", human="human").collect()}
+    assert got == {0: True, 1: False, 2: True}

@@ -100,3 +100,9 @@ def test_writers(spark, tmp_path):
     assert '"2","val"' in body
     lines = [r["value"] for r in records.as_json_map(spark.createDataFrame([("v1_1", 'a "b"')], "key string, text string")).collect()]
     assert json.loads("{" + lines[0] + "}") == {"v1_1": 'a "b"'}
+
+
+def test_json_map_with_brackets(spark):
+    df = spark.createDataFrame([("a]: b", "t"), ("k", "[x]: y"), ('q"', "")], "key string, text string")
+    lines = [r["value"] for r in records.as_json_map(df).collect()]
+    assert json.loads("{" + ",".join(lines) + "}") == {"a]: b": "t", "k": "[x]: y", 'q"': ""}
