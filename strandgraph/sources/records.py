@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ def read_records(
 
     jsonl: one object per line, blank lines skipped. A bad line is an error, or with
     ``tolerant`` a row with its text in ``_corrupt``.
-    array: one top-level array per file, or with ``field`` the array under that name.
+    array: one top-level array per file, read as a stream, or with ``field`` the array under that name.
     map: one object per file, keyed by id -> key, value (``schema`` is the value's type).
     """
     paths = path if isinstance(path, str) else list(path)
@@ -40,12 +41,10 @@ def read_records(
     ddl = schema if isinstance(schema, str) else schema.simpleString()
     if layout == "array":
         kind = f"STRUCT<{schema}>" if isinstance(schema, str) else ddl
-        whole = spark.read.text(paths, wholetext=True)
+        reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
         if field is None:
-            items = F.from_json("value", f"ARRAY<{kind}>", {"mode": "FAILFAST"})
-        else:
-            items = F.from_json("value", f"STRUCT<{field}: ARRAY<{kind}>>", {"mode": "FAILFAST"})[field]
-        return whole.select(F.explode(items).alias("_r")).select("_r.*")
+            return reader.schema(schema).json(paths)
+        return reader.schema(f"`{field}` ARRAY<{kind}>").json(paths).select(F.explode(field).alias("_r")).select("_r.*")
     if layout == "map":
         whole = spark.read.text(paths, wholetext=True)
         return whole.select(F.explode(F.from_json("value", f"MAP<STRING, {ddl}>", {"mode": "FAILFAST"})).alias("key", "value"))
@@ -94,8 +93,34 @@ def write_records(
     (writer.partitionBy(*by) if by else writer).option("ignoreNullFields", False).json(path)
 
 
-def write_csv(df: DataFrame, path: str, quote_all: bool = False, sep: str = ",", mode: str = "error") -> None:
-    df.write.mode(mode).option("header", True).option("sep", sep).option("quoteAll", quote_all).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, quote_all: bool = False, sep: str = ",", mode: str = "error", compression: str = "none") -> None:
+    writer = df.write.mode(mode).option("header", True).option("sep", sep).option("quoteAll", quote_all).option("escape", '"')
+    writer.option("emptyValue", "").option("compression", compression).csv(path)
+
+
+def write_enclosed(members: DataFrame, path: str, opening: str, closing: str, mode: str = "error") -> None:
+    """Files that hold one array or object each: ``members``, a single text column, between brackets and separated by commas."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lead = opening
+        for batch in batches:
+            if len(batch):
+                lines = batch["value"].to_list()
+                yield pd.DataFrame({"value": [lead + lines[0], *("," + line for line in lines[1:])]})
+                lead = ","
+        yield pd.DataFrame({"value": [closing if lead == "," else opening + closing]})
+
+    members.toDF("value").mapInPandas(run, "value string").write.mode(mode).text(path)
+
+
+def write_array(df: DataFrame, path: str, mode: str = "error") -> None:
+    """One JSON array of records per file."""
+    write_enclosed(df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})), path, "[", "]", mode)
+
+
+def write_map(df: DataFrame, path: str, key: str = "key", value: str = "text", mode: str = "error") -> None:
+    """One JSON object of key and text per file."""
+    write_enclosed(as_json_map(df, key, value), path, "{", "}", mode)
 
 
 def write_split_outputs(rows: DataFrame, path: str, mode: str = "error") -> None:
