@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from strandgraph.functions import text as t
 from strandgraph.functions.text import entities_loose
 from strandgraph.operators.ordinal import one_per_key
+from strandgraph.session import materialize
 
 # --- fixed values ------------------------------------------------------------
 
@@ -126,13 +127,15 @@ def cider_rows(pairs: DataFrame) -> DataFrame:
 
     The frequency table grows with the vocabulary, so it is not broadcast: n-grams
     that hold at least a thousandth of the rows are (there can be at most a
-    thousand), the others meet by a shuffle in which none of them is hot.
+    thousand), the others meet by a shuffle in which none of them is hot. N-grams of
+    one reference or none weigh the same as unknown ones and are left out of it.
+    The counts are stored once, for the frequencies and for the weights.
     """
-    tokenized = _tokenized(pairs, t.words)
-    counts = ngram_counts(tokenized)
+    counts = materialize(ngram_counts(_tokenized(pairs, t.words)), "ngrams")
+    total = counts.count()
     df = counts.groupBy("n", "gram").agg(F.count_if(F.col("r") > 0).alias("df"), F.count(F.lit(1)).alias("rows"))
-    total = df.agg(F.sum("rows")).scalar()
     hot = F.col("rows") * HOT_SHARE >= total
+    df = materialize(df.where(hot | (F.col("df") > 1)), "frequencies")
     hot_df = df.where(hot).select("n", "gram", F.col("df").alias("_hot"))
     cold_df = df.where(~hot).select(F.col("n").alias("_n"), F.col("gram").alias("_gram"), F.col("df").alias("_cold"))
     flagged = counts.join(F.broadcast(hot_df), ["n", "gram"], "left")
@@ -141,8 +144,8 @@ def cider_rows(pairs: DataFrame) -> DataFrame:
     known = flagged.withColumn("_key", key).join(
         cold_df, (F.col("n") == F.col("_n")) & (F.col("_key") == F.col("_gram")), "left"
     )
-    docs = pairs.agg(F.count(F.lit(1))).scalar()
-    idf = F.log(docs.cast("double")) - F.log(F.greatest(F.lit(1.0), F.coalesce("_hot", "_cold").cast("double")))
+    docs = pairs.count()
+    idf = F.log(F.lit(float(max(docs, 1)))) - F.log(F.greatest(F.lit(1.0), F.coalesce("_hot", "_cold", F.lit(1)).cast("double")))
     weighed = known.select("id", "n", (F.col("h") * idf).alias("vh"), (F.col("r") * idf).alias("vr"), "h", "r")
     per_n = weighed.groupBy("id", "n").agg(
         F.sum(F.when(F.col("h") > 0, F.least("vh", "vr") * F.col("vr"))).alias("dot"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandgraph.functions import text as t
 from strandgraph.operators import textmetrics as M
 from strandgraph.operators import triplets as T
 from strandgraph.plans import fixtures as fx
@@ -35,6 +37,14 @@ def rouge_l(spark, d):
     return M.rouge_l_rows(fx.text_pairs(spark, d)).select("id", F.round("rouge_l", 6).alias("rouge_l"))
 
 
+def rouge_l_turns(spark, d):
+    """Every turn of a conversation against the one before it."""
+    by = W.partitionBy("conv_id").orderBy("turn")  # one conversation is a small group
+    turns = fx.table(spark, d, "conversations").withColumn("hyp", F.lag("text").over(by)).where("hyp IS NOT NULL")
+    pairs = turns.select(t.concat(F.col("conv_id").cast("string"), "-", F.col("turn").cast("string")).alias("id"), "hyp", F.col("text").alias("ref"))
+    return M.rouge_l_rows(pairs).select("id", F.round("rouge_l", 6).alias("rouge_l"))
+
+
 def entity_recall(spark, d):
     out = M.entity_rows(fx.text_pairs(spark, d), fx.FRAGMENTS)
     return out.select("id", F.round("recall", 6).alias("recall"), F.round("hallucination", 6).alias("hallucination"))
@@ -59,7 +69,7 @@ def metric_report(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (align_answers, bleu, cider, cider_rows, meteor, rouge_l, entity_recall, entity_scores, set_f1, metric_report)
+    for f in (align_answers, bleu, cider, cider_rows, meteor, rouge_l, rouge_l_turns, entity_recall, entity_scores, set_f1, metric_report)
 }
 
 # --- oracles -----------------------------------------------------------------
@@ -143,7 +153,22 @@ add_view(
     ["ents"],
 )
 
+# Row by row: a new row of the table is the running maximum of "match ? previous[j - 1] + 1 : previous[j]".
+_ASCII = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
+ROUGE_TURNS = f"""
+WITH RECURSIVE pairs AS (
+  SELECT conv_id || '-' || turn AS id, {_ASCII.format("hyp")} AS h, {_ASCII.format("text")} AS r
+  FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp FROM conversations) WHERE hyp IS NOT NULL),
+lcs AS (
+  SELECT id, 0 AS i, h, r, list_transform(r, lambda w: 0) AS row FROM pairs
+  UNION ALL
+  SELECT id, i + 1, h, r, list_transform(x, lambda v, j: list_max(x[1:j])) AS row
+  FROM (SELECT id, i, h, r, list_transform(r, lambda w, j: CASE WHEN w = h[i + 1] THEN coalesce(row[j - 1], 0) + 1 ELSE row[j] END) AS x FROM lcs WHERE i < len(h)))
+SELECT id, round(CASE WHEN len(h) + len(r) = 0 THEN 0.0 ELSE 2.0 * coalesce(row[len(r)], 0) / (len(h) + len(r)) END, 6) AS rouge_l FROM lcs WHERE i = len(h)
+"""
+
 ORACLE = {
+    "rouge_l_turns": ROUGE_TURNS,
     "align_answers": with_views("SELECT id, hyp, ref FROM pairs", "pairs"),
     "bleu": with_views("SELECT * FROM bleu_one", "bleu_one"),
     "cider": with_views("SELECT round(avg(cider), 6) AS cider FROM cider_r", "cider_r"),
