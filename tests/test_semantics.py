@@ -403,3 +403,15 @@ def test_mask_spans_of_other_roles(spark):
     df = spark.createDataFrame([(1, 0, "human", "a b"), (1, 1, "gpt", "c"), (1, 2, "gpt", "d")], "conv_id int, turn int, role string, text string")
     got = {r["turn"]: r["masked"] for r in C.mask_spans(df, target="gpt", human="human").collect()}
     assert got == {0: True, 1: False, 2: True}
+
+
+def test_metric_report_is_its_parts(spark):
+    rows = [(1, "the cat sat on the mat", "the cat sat on a mat"), (2, "", "a dog ran"), (3, "one more line here", "one more line there now")]
+    pairs = spark.createDataFrame(rows, "id long, hyp string, ref string")
+    terms = ["cat", "dog", "line"]
+    report = M.metric_report(pairs, terms).first().asDict()
+    parts = {}
+    for part in (M.corpus_bleu(pairs), M.meteor(pairs), M.rouge_l(pairs), M.cider(pairs), M.entity_scores(pairs, terms)):
+        parts |= part.first().asDict()
+    assert report.pop("num_samples") == 3
+    assert report == {k: pytest.approx(round(100 * v, 2), abs=0.011) for k, v in parts.items()}
