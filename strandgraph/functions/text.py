@@ -61,11 +61,6 @@ def concat(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def distinct_in_order(c: Column | str) -> Column:
-    """First occurrence of every element, in order."""
-    return F.array_distinct(column(c))
-
-
 def dedupe_by(items: Column, key) -> Column:
     """Keep the first element for every value of ``key(element)``."""
     keys = F.transform(items, key)

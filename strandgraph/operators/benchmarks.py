@@ -191,11 +191,14 @@ def review_prompt(
     return joined.select("question_id", "category", content.alias("content"))
 
 
-def option_rounds(rows: DataFrame, all_rounds: bool = True, letters: Sequence[str] = ("A", "B", "C", "D")) -> DataFrame:
+def option_rounds(
+    rows: DataFrame, all_rounds: bool = True, letters: Sequence[str] = ("A", "B", "C", "D"), ask_letter: bool = False
+) -> DataFrame:
     """rows(index, question, hint, A, B, C, D) -> question_id, round_id, prompt, options, option_char.
 
     Options end at the first missing one. Every round rotates them by one; the prompt
     always labels them A, B, ... while ``option_char`` keeps the original letters.
+    ``ask_letter`` ends the prompt with the request for the letter alone.
     """
 
     def missing(c: Column) -> Column:
@@ -220,8 +223,9 @@ def option_rounds(rows: DataFrame, all_rounds: bool = True, letters: Sequence[st
     )
     asked = F.when(missing(F.col("hint")), F.col("question")).otherwise(t.concat(F.col("hint"), "\n", F.col("question")))
     listed = F.transform("options", lambda o, i: t.concat("\n", labels[i], ". ", o))
+    request = F.lit("\n" + LETTER_PROMPT if ask_letter else "")
     return base.select(
-        F.col("index").alias("question_id"), "round_id", F.concat(asked, F.array_join(listed, "")).alias("prompt"), "options", "option_char"
+        F.col("index").alias("question_id"), "round_id", F.concat(asked, F.array_join(listed, ""), request).alias("prompt"), "options", "option_char"
     )
 
 

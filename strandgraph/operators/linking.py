@@ -32,11 +32,6 @@ def exact_stage(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(F.lower("node_name").alias("entity")).agg(F.min_by("node_name", "node_index").alias("canonical"))
 
 
-def index_stage(index: DataFrame) -> DataFrame:
-    """Exact keys of a label index (key, cls, canonical)."""
-    return index.select(F.col("key").alias("entity"), "canonical")
-
-
 def concept_stage(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     """candidates(entity, rank, name) from an outside linker: the first whose name is a node."""
     names = exact_stage(nodes).select(F.col("entity").alias("_key"), F.col("canonical").alias("_node"))
@@ -90,12 +85,12 @@ def similar_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame
     spread = F.floor(F.greatest("_l", "_k") * share + 1e-9).cast("int")
     asked = (
         keys.withColumn("_l", F.explode(F.sequence(low, high)))
-        .join(F.broadcast(lengths), "_l", "left_semi")  # one row per distinct text length
+        .join(lengths, "_l", "left_semi")
         .withColumn("_d", spread)
         .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_d"))))
     )
     allowed = asked.select("_l", "_d").distinct()
-    pieces = entities.join(F.broadcast(allowed), "_l").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_d"))))
+    pieces = entities.join(allowed, "_l").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_d"))))
 
     def start(i: Column) -> Column:
         # Pieces split the text evenly; the last ones take the remainder.

@@ -8,8 +8,6 @@ nor scores of a whole query are ever gathered.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,6 +35,15 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return matrix / np.where(norm > 0, norm, 1.0)
 
 
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest, equal ones in order; only what reaches the k-th largest is sorted."""
+    if k < len(scores):
+        near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    else:
+        near = np.arange(len(scores))
+    return near[np.argsort(-scores[near], kind="stable")][:k]
+
+
 def _block_topk(k: int, out_names: list[str]):
     def run(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or corpus.empty:
@@ -48,7 +55,7 @@ def _block_topk(k: int, out_names: list[str]):
         step = max(1, 32_000_000 // len(corpus))  # at most ~256 MB of scores at a time
         for start in range(0, len(queries), step):
             scores = np.round(_unit(queries["vec"].iloc[start : start + step]) @ right.T, SCORE_DIGITS) + 0.0
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :width]
+            best = np.stack([_best(row, width) for row in scores])
             parts.append(
                 pd.DataFrame(
                     {
@@ -142,13 +149,3 @@ def build_datastore(records: DataFrame, vectors: DataFrame) -> DataFrame:
     """records(img_id, triplets), vectors(img_id, vec) -> id, caption, vec; only records with triplets."""
     captions = records.where(F.size("triplets") > 0).select("img_id", F.array_join("triplets", "; ").alias("caption"))
     return captions.join(vectors, "img_id").select(F.col("img_id").alias("id"), "caption", normalize_l2("vec").alias("vec"))
-
-
-def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
-    """Hook for an outside model (embedder, extractor, scorer): ``fn`` sees Arrow batches of each partition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield fn(batch)
-
-    return df.mapInPandas(run, schema)

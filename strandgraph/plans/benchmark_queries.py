@@ -83,9 +83,9 @@ def ensemble(spark, d):
     return B.ensemble(problems(spark, d), *(fx.with_stale(_answers(spark, d, *way)) for way in ((0, 1), (2, 1), (1, 8))), order="seen")
 
 
-def option_rounds(spark, d):
+def _options(spark, d):
     part = fx.table(spark, d, "part")
-    rows = part.select(
+    return part.select(
         F.col("p_partkey").alias("index"),
         t.concat("Which ", F.col("p_name"), "?").alias("question"),
         F.when(F.col("p_size") > 20, F.col("p_brand")).otherwise("nan").alias("hint"),
@@ -94,7 +94,18 @@ def option_rounds(spark, d):
         F.when(F.col("p_size") > 10, F.col("p_name")).alias("C"),
         F.when(F.col("p_size") > 30, "last").otherwise("None").alias("D"),
     )
-    out = B.option_rounds(rows)
+
+
+def option_rounds(spark, d):
+    return _shown_options(B.option_rounds(_options(spark, d)))
+
+
+def option_single(spark, d):
+    """One round, with the request for the letter."""
+    return _shown_options(B.option_rounds(_options(spark, d), all_rounds=False, ask_letter=True))
+
+
+def _shown_options(out):
     return out.select(
         "question_id", F.col("round_id").cast("long").alias("round_id"), "prompt", F.array_join("options", "|").alias("options"), F.array_join("option_char", "").alias("option_char")
     )
@@ -217,6 +228,19 @@ def review_prompt(spark, d):
     return B.review_prompt(docs, first, second, rules)
 
 
+def review_prompt_visual(spark, d):
+    """The strict form: a rule per category under a prefix, captions and boxes in front."""
+    docs = fx.table(spark, d, "part").select(
+        F.col("p_partkey").alias("question_id"), F.col("p_type").alias("category"), F.col("p_name").alias("text"), F.col("p_brand").alias("image")
+    )
+    first = docs.select("question_id", t.concat("one ", F.col("text")).alias("text"))
+    second = docs.select("question_id", t.concat("two ", F.col("text")).alias("text"))
+    kinds = docs.select("category").distinct()
+    rules = kinds.select(t.concat("visual_", F.col("category")).alias("category"), F.lit("Assistant").alias("role"), t.concat("Rate ", F.col("category"), ".").alias("prompt"))
+    context = docs.select("image").distinct().select("image", F.array(F.lit("cap"), F.col("image")).alias("captions"), F.array(F.lit("box: [0, 1]"), F.lit("b")).alias("boxes"))
+    return B.review_prompt(docs, first, second, rules, fallback=None, category_prefix="visual_", context=context)
+
+
 def table_review(spark, d):
     docs = fx.table(spark, d, "part").select(F.col("p_partkey").alias("question_id"), F.col("p_type").alias("category"), F.col("p_name").alias("text"))
     answers = {"left": docs.select("question_id", "category", F.col("category").alias("text")), "right": docs}
@@ -334,7 +358,7 @@ def gain_observations(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        mcq_prompt, mcq_conversations, few_shot, few_shot_chat, mcq_accuracy, ensemble, option_rounds, confusion, pope,
+        mcq_prompt, mcq_conversations, few_shot, few_shot_chat, mcq_accuracy, ensemble, option_rounds, option_single, review_prompt_visual, confusion, pope,
         accuracy_rollup, vqa_soft, st_vqa, evalai_normalize, textvqa, submissions, submission_gqa, review_parse,
         review_summary, review_prompt, table_review, resume_skip, judge_parse, judge_summary, align_variants, gains, markdown_table,
         gain_summary, gain_observations,
@@ -516,6 +540,12 @@ ORACLE = {
         SELECT p_partkey AS question_id, r AS round_id, CASE WHEN p_size > 20 THEN p_brand || chr(10) ELSE '' END || 'Which ' || p_name || '?' ||
                array_to_string(list_transform(ro, lambda x, i: chr(10) || substr('ABCD', CAST(i AS INTEGER), 1) || '. ' || x), '') AS prompt,
                array_to_string(ro, '|') AS options, oc AS option_char FROM t""",
+    "option_single": """
+        WITH o AS (SELECT *, CASE WHEN p_size <= 10 THEN [p_type, p_brand] WHEN p_size <= 30 THEN [p_type, p_brand, p_name] ELSE [p_type, p_brand, p_name, 'last'] END AS opts FROM part)
+        SELECT p_partkey AS question_id, CAST(0 AS BIGINT) AS round_id, CASE WHEN p_size > 20 THEN p_brand || chr(10) ELSE '' END || 'Which ' || p_name || '?' ||
+               array_to_string(list_transform(opts, lambda x, i: chr(10) || substr('ABCD', CAST(i AS INTEGER), 1) || '. ' || x), '') ||
+               chr(10) || 'Answer with the option''s letter from the given choices directly.' AS prompt,
+               array_to_string(opts, '|') AS options, substr('ABCD', 1, CAST(len(opts) AS INTEGER)) AS option_char FROM o""",
     "confusion": f"""
         SELECT *, {_RATES} FROM (
             SELECT lang, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS tp, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS fp,
@@ -569,6 +599,9 @@ ORACLE = {
         SELECT p_partkey AS question_id, p_type AS category, E'[Question]\\n' || p_name || E'\\n\\n[' || r || E' 1]\\none ' || p_name || E'\\n\\n[End of ' || r || E' 1]\\n\\n[' || r || E' 2]\\ntwo ' ||
                p_name || E'\\n\\n[End of ' || r || E' 2]\\n\\n[System]\\n' || pr || E'\\n\\n' AS content
         FROM (SELECT *, CASE p_type WHEN 'PROMO' THEN 'Helper' ELSE 'Assistant' END AS r, CASE p_type WHEN 'PROMO' THEN 'Rate promo.' ELSE 'Rate.' END AS pr FROM part)""",
+    "review_prompt_visual": """
+        SELECT p_partkey AS question_id, p_type AS category, E'[Context]\\ncap\\n' || p_brand || E'\\n\\nbox: [0, 1]\\nb\\n\\n[Question]\\n' || p_name || E'\\n\\n[Assistant 1]\\none ' || p_name ||
+               E'\\n\\n[End of Assistant 1]\\n\\n[Assistant 2]\\ntwo ' || p_name || E'\\n\\n[End of Assistant 2]\\n\\n[System]\\nRate ' || p_type || E'.\\n\\n' AS content FROM part""",
     "table_review": with_views(
         """
         WITH a AS (SELECT *, CASE WHEN p_partkey <= 20 THEN p_partkey + 60 ELSE p_partkey - 20 END AS x FROM part),

@@ -13,7 +13,7 @@ from strandgraph.plans.fixtures import add_view, with_views
 
 
 def _word_table(spark, d, name):
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
     return fx.table(spark, d, name).select(F.explode(words).alias("entity")).distinct()
 
 
@@ -23,8 +23,8 @@ def entities(spark, d):
 
 
 def vocabulary_nodes(spark, d):
-    """Every distinct word of the benchmark texts names a node."""
-    return _word_table(spark, d, "benchmark").select(F.col("entity").alias("node_index"), F.upper("entity").alias("node_name"))
+    """Every distinct word of the benchmark texts names a node; vowels are capitals."""
+    return _word_table(spark, d, "benchmark").select(F.col("entity").alias("node_index"), F.translate("entity", "aeiou", "AEIOU").alias("node_name"))
 
 
 def _keys(spark, d):
@@ -72,16 +72,24 @@ def diagnosis_map(spark, d):
 
 QUERIES = {f.__name__: f for f in (link_exact, similar_pairs, link_fuzzy, link_cascade, link_stats, diagnosis_map)}
 
-add_view("names", "SELECT DISTINCT w AS key, upper(w) AS canonical FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE w <> ''")
-add_view("mentions", "SELECT DISTINCT w AS entity FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents) WHERE w <> ''")
+add_view("names", "SELECT DISTINCT w AS key, translate(w, 'aeiou', 'AEIOU') AS canonical FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS w FROM benchmark) WHERE w <> ''")
+add_view("mentions", "SELECT DISTINCT w AS entity FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS w FROM documents) WHERE w <> ''")
+
+
+def _one_byte(c: str) -> str:
+    return f"translate({c}, 'äöüßàâçèéêëîïôùûœáíñóú', 'ABCDEFGHIJKLMNOPQRSTUV')"
 
 
 def _sim_view(cutoff: int) -> str:
-    """Brute force over all pairs of admissible length."""
+    """Brute force over all pairs of admissible length.
+
+    The SQL function counts bytes, so every accented letter is first exchanged for one capital, which no lowered word has.
+    """
     return f"""
-    SELECT entity, key, 100 * (1 - levenshtein(entity, key) / greatest(length(entity), length(key))) AS score
-    FROM mentions JOIN names ON length(key) * 100 >= length(entity) * {cutoff} AND length(entity) * 100 >= length(key) * {cutoff}
-    WHERE levenshtein(entity, key) <= {(100 - cutoff) / 100} * greatest(length(entity), length(key)) + 1e-9"""
+    SELECT entity, key, 100 * (1 - edits / greatest(length(entity), length(key))) AS score
+    FROM (SELECT entity, key, levenshtein({_one_byte("entity")}, {_one_byte("key")}) AS edits
+          FROM mentions JOIN names ON length(key) * 100 >= length(entity) * {cutoff} AND length(entity) * 100 >= length(key) * {cutoff})
+    WHERE edits <= {(100 - cutoff) / 100} * greatest(length(entity), length(key)) + 1e-9"""
 
 
 add_view("sim80", _sim_view(80), ["mentions", "names"])
