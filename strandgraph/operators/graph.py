@@ -399,7 +399,9 @@ def chains(
     key = F.lower("_name") if fold_node_case else F.col("_name")
     lookup = names.withColumn("_node", key).join(lists, "_node").select("_text", "_name", "_near")
 
-    joined = asked.join(lookup, "_text", "left").groupBy("img_id", "_row").agg(
+    # Rows without a text would all meet under the null key; each gets a key of its own that matches nothing.
+    spread = asked.withColumn("_text", F.coalesce("_text", F.concat(F.lit("\u0000"), F.col("img_id").cast("string"), F.coalesce(F.col("_i").cast("string"), F.lit("")))))
+    joined = spread.join(lookup, "_text", "left").groupBy("img_id", "_row").agg(
         F.max("_times").alias("_times"),
         F.array_sort(F.collect_list(F.struct("_i", "_j", "_t", "_p", "_name", "_near"))).alias("_all")
     )
