@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandgraph.operators.ordinal import top_per_group
+from strandgraph.operators.ordinal import seeded_draw, top_per_group
 from strandgraph.session import column
 
 QUERY_BLOCK_ROWS = 8192
@@ -110,6 +110,52 @@ def topk(
     return top_per_group(local, ["qid"], [F.desc("score"), "cid"], k, rank="rank")
 
 
+def topk_probed(
+    queries: DataFrame, corpus: DataFrame, k: int, pivots: int = 16, probes: int = 14, seed: int = 7, block: int = CORPUS_BLOCK_ROWS
+) -> DataFrame:
+    """Approximate form of ``topk``: every corpus vector lies in the cell of its nearest pivot, and a query looks into its ``probes`` nearest cells.
+
+    The pivots are a repeatable sample of the corpus. Scores are exact, only
+    neighbours in cells that are not probed are missed: with all cells probed the
+    result is that of ``topk``. Large cells are cut into blocks by hashed ids. The
+    default suits vectors without clusters; clustered ones need few probes.
+    """
+    chosen = corpus.where(F.size("vec") > 0).orderBy(seeded_draw("cid", seed), "cid").limit(pivots).collect()  # bounded
+    if not chosen:
+        return topk(queries, corpus, k)
+    marks = _unit(pd.Series([row["vec"] for row in chosen]))
+    blocks = max(1, -(-corpus.count() // block))
+
+    def in_cells(df: DataFrame, key: str, cells: int, spread: Column) -> DataFrame:
+        schema = T.StructType([df.schema[key], df.schema["vec"], T.StructField("cells", T.ArrayType(T.LongType()))])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    near = np.argsort(-np.round(_unit(batch["vec"]) @ marks.T, SCORE_DIGITS), axis=1, kind="stable")[:, :cells]
+                    yield batch.assign(cells=list(near))
+
+        placed = df.select(key, "vec").mapInPandas(run, schema)
+        return placed.select(key, "vec", F.explode("cells").alias("cell"), spread.alias("part"))
+
+    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+    left = in_cells(queries, "qid", min(probes, len(chosen)), every).withColumn("part", F.explode("part")).groupBy("cell", "part")
+    right = in_cells(corpus, "cid", 1, F.pmod(F.xxhash64("cid"), F.lit(blocks))).groupBy("cell", "part")
+    schema = T.StructType(
+        [
+            T.StructField("qid", queries.schema["qid"].dataType),
+            T.StructField("cid", corpus.schema["cid"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    run = _block_topk(k, schema.names)
+
+    def task(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        return run(q, c)
+
+    return top_per_group(left.cogroup(right).applyInPandas(task, schema), ["qid"], [F.desc("score"), "cid"], k, rank="rank")
+
+
 def topk_one(corpus: DataFrame, vector: DataFrame, k: int = 7) -> DataFrame:
     """Nearest ``k`` of corpus(cid, vec) to the single row of vector(vec): cid, score; no Python involved."""
     query = vector.select(normalize_l2("vec")).scalar()

@@ -224,6 +224,15 @@ def cosine_topk(spark, d):
     return out.select("qid", "cid", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def cosine_topk_probed(spark, d):
+    """The approximate form beside the exact one on all vectors: found neighbours, and whether nine tenths are the same."""
+    v = _vectors(spark, d)
+    q, c = (v.select(F.col("vec_id").alias(key), F.col("embedding").alias("vec")) for key in ("qid", "cid"))
+    near = V.topk_probed(q, c, 15).select("qid", "cid", F.lit(True).alias("found"))
+    both = V.topk(q, c, 15).join(near, ["qid", "cid"], "left")
+    return both.agg(F.count(F.lit(1)).alias("pairs"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recalled"))
+
+
 def _captions(spark, d):
     v = _vectors(spark, d)
     return v.select(
@@ -274,7 +283,7 @@ QUERIES = {
         conversation_build, conversation_plain, triplet_source_stats, question_templates, attach_first_k, questions_build,
         chat_messages, conversation_single, conversation_two, conversation_mpt, conversation_llama, conversation_pair,
         conversation_checks, image_token, sample_lengths, mask_spans, extract_question, chunk_assign, group_ordinal,
-        length_groups, seeded_sample, cosine_topk, retrieve_captions, retrieve_captions_soft, retrieve_one, datastore,
+        length_groups, seeded_sample, cosine_topk, cosine_topk_probed, retrieve_captions, retrieve_captions_soft, retrieve_one, datastore,
     )
 }
 
@@ -471,6 +480,7 @@ ORACLE = {
                rk // 3 AS slot, NOT ((blk + 1) * 12 <= total) AS is_leftover FROM r""",
     "seeded_sample": f"SELECT doc_id, n_chars FROM documents ORDER BY {_DRAW.format(seed=42, key='doc_id')}, doc_id LIMIT 100",
     "cosine_topk": with_views("SELECT qid, cid, round(score, 6) AS score, rank FROM cos WHERE rank <= 15", "cos"),
+    "cosine_topk_probed": "SELECT sum(least(15, n)) ::BIGINT AS pairs, true AS recalled FROM (SELECT count(*) OVER () AS n FROM embeddings)",
     "retrieve_captions": _retrieve_sql(15),
     "retrieve_captions_soft": _retrieve_sql(8),
     "retrieve_one": """

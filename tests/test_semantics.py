@@ -415,3 +415,15 @@ def test_metric_report_is_its_parts(spark):
         parts |= part.first().asDict()
     assert report.pop("num_samples") == 3
     assert report == {k: pytest.approx(round(100 * v, 2), abs=0.011) for k, v in parts.items()}
+
+
+def test_probed_topk(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
+    corpus = spark.createDataFrame(rows, "cid long, vec array<double>")
+    queries = spark.createDataFrame(rows[:20], "qid long, vec array<double>")
+    exact = {(r["qid"], r["cid"], r["rank"]) for r in V.topk(queries, corpus, 5).collect()}
+    assert {(r["qid"], r["cid"], r["rank"]) for r in V.topk_probed(queries, corpus, 5, pivots=6, probes=6, block=90).collect()} == exact
+    some = {(r["qid"], r["cid"]) for r in V.topk_probed(queries, corpus, 5, pivots=6, probes=3).collect()}
+    assert len(some & {e[:2] for e in exact}) >= 70
+    assert V.topk_probed(queries, corpus.limit(0), 5).count() == 0
