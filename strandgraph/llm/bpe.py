@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from strandgraph.llm.common import bounded_batches
 from strandgraph.llm.pieces import SPACE, Pieces
 
 #: Encoded segments and compared pairs that a task keeps, and the longest segment it keeps.
@@ -149,7 +150,7 @@ def decode(ids: list[int], pieces: Pieces, first: bool = True) -> str:
     return text[1:] if first and ids and pieces.surfaces[ids[0]].startswith(SPACE) else text
 
 
-#: Encoders of this worker, by the model they were made from; workers are used for many tasks.
+#: The encoder of this worker, by the model it was made from; workers are used for many tasks.
 _ENCODERS: dict[int, Encoder] = {}
 
 
@@ -189,8 +190,9 @@ def with_tokens(df: DataFrame, text: str, pieces: Pieces, decoded: bool = False,
                     result.append(item)
             columns = [pa.array(result, kind) for result, (_, _, kind) in zip(results, added)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *(name for name, _, _ in added)])
+        encoder.seen.clear()  # the worker may go on with other work; only the compared pairs are kept for its next task
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return bounded_batches(df).select(*kept, text).mapInArrow(run, schema)
 
 
 def _sha(text: str) -> str:

@@ -23,6 +23,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held several times over on its way.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches cut to ``BATCH_ROWS`` rows if they may be larger."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def counted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a stored, narrow ``right``: by broadcast if its counted rows allow it, else by shuffle.
 

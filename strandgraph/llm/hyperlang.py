@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandgraph.llm.common import bounded_batches
+
 #: Components of a vector.
 DIMENSIONS = 1024
 SEED = 11
@@ -157,7 +159,7 @@ def train(df: DataFrame, text: str, lang: str, key: str, texts: int = TRAIN_TEXT
         yield pa.RecordBatch.from_pydict({"lang": list(sums), "sums": [v.tolist() for v in sums.values()]}, schema=arrow)
 
     arrow = pa.schema([("lang", pa.string()), ("sums", pa.list_(pa.int64()))])
-    parts = sample.mapInArrow(run, "lang string, sums array<long>")
+    parts = bounded_batches(sample).mapInArrow(run, "lang string, sums array<long>")
     added = parts.select("lang", F.posexplode("sums").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     rows_ = np.zeros((len(sizes), dimensions))
     names = sorted(sizes)
@@ -193,4 +195,4 @@ def predict(df: DataFrame, text: str, profiles: Profiles, name: str = "lang_pred
             columns = [*(batch.column(c) for c in kept), pa.array(found, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, name, score])
 
-    return df.select(*kept, *([] if keep else [text])).mapInArrow(run, schema)
+    return bounded_batches(df).select(*kept, *([] if keep else [text])).mapInArrow(run, schema)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import BROADCAST_ROWS
+from strandgraph.llm.common import BROADCAST_ROWS, bounded_batches
 from strandgraph.llm.components import components
 from strandgraph.session import materialize
 
@@ -62,7 +62,7 @@ def with_fingerprint(df: DataFrame, text: str, words: int, name: str = "print")
             signed = np.fromiter(prints, dtype=np.uint64, count=batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(signed)], names=[*kept, name])
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return bounded_batches(df).select(*kept, text).mapInArrow(run, schema)
 
 
 def segments(radius: int) -> list[tuple[int, int, int]]:
@@ -188,7 +188,7 @@ def with_shingles(df: DataFrame, text: str, words: int, name: str = "shingles")
             hashes = pa.array([shingle_hashes(value.as_py(), words) for value in batch.column(text)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), hashes], names=[*kept, name])
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return bounded_batches(df).select(*kept, text).mapInArrow(run, schema)
 
 
 def copies(documents: DataFrame, key: str, text: str, words: int = 2, radius: int = 3, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

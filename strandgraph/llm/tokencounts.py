@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from strandgraph.llm.common import bounded_batches
 from strandgraph.llm.pieces import Pieces
 
 #: Characters without a piece score so much less than the worst piece: a fixed value of the model format.
@@ -113,4 +114,4 @@ def with_counts(df: DataFrame, text: str, pieces: Pieces) -> DataFrame:
             columns = [*(batch.column(c) for c in kept), *(pa.array(c, kind) for c, (_, _, kind) in zip((sums, words), added))]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(name for name, _, _ in added)])
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return bounded_batches(df).select(*kept, text).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandgraph.llm.common import BROADCAST_ROWS
+from strandgraph.llm.common import BROADCAST_ROWS, bounded_batches
 from strandgraph.session import materialize
 
 #: Labelled texts the model is fitted on, on average; drawn by a digest of the key.
@@ -123,7 +123,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
         [("key", pa.int64()), ("toxic", pa.int32()), ("words", pa.int64()), ("features", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
     )
     numbered = sample.select(F.col(key).cast("long").alias("key"), "toxic", "text")
-    counted = materialize(numbered.mapInArrow(run, "key long, toxic int, words long, features array<string>, counts array<long>"), "features")
+    counted = materialize(bounded_batches(numbered).mapInArrow(run, "key long, toxic int, words long, features array<string>, counts array<long>"), "features")
     n, bad = counted.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n or not bad or bad == n:
         return Model({}, [])
@@ -176,4 +176,4 @@ def predict(df: DataFrame, text: str, model: Model, names: tuple[str, str, str]
             columns = [*(batch.column(c) for c in kept), *(pa.array(r, kind) for r, (_, _, kind) in zip(results, added))]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(name for name, _, _ in added)])
 
-    return df.select(*kept, *([] if keep else [text])).mapInArrow(run, schema)
+    return bounded_batches(df).select(*kept, *([] if keep else [text])).mapInArrow(run, schema)
