@@ -280,6 +280,45 @@ def test_one_of_each(spark, docs, empty):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == [0, 3]
 
 
+def brute_groups(texts, similarity=0.8):
+    """Root of each text over all pairs of at least this similarity."""
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    links = {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])}
+    return closed(links, range(len(texts))), links
+
+
+@pytest.mark.parametrize("spread", [0, 10**9])
+def test_copies_are_those_of_all_pairs(spark, monkeypatch, spread):
+    """Families of texts edited apart from a base, all under one fingerprint: a link need not go through the smallest digest."""
+    random.seed(12)
+    texts = []
+    for family in range(4):
+        base = [f"w{family}x{i}" for i in range(200)]
+        for _ in range(25):
+            words = list(base)
+            for at in random.sample(range(200), random.randint(0, 6)):
+                words[at] = f"e{random.getrandbits(40)}"
+            texts.append(" ".join(words))
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, words: 7)
+    roots, links = brute_groups(texts)
+    assert len(set(roots.values())) > 8  # some edits are too many
+    df = materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    kept = [r["doc_id"] for r in simhash.one_of_each(df, spread=spread).collect()]
+    assert sorted(kept) == sorted(set(roots.values()))
+
+
+def test_bands_share_a_key():
+    """Recall of the candidates at the limit, and how few unlike sets are candidates."""
+    draw, signers = np.random.default_rng(3), simhash._signers()
+    hit = far = 0
+    for _ in range(300):
+        h = draw.integers(-(1 << 63), (1 << 63) - 1, 200)
+        a, b, c = (simhash.band_keys(x, signers) for x in (h[:180], h[20:], h[140:]))  # similarity 0.8, 0.8 and 0.2 of the first
+        hit += bool((a == b).any())
+        far += bool((a == c).any())
+    assert hit == 300 and far < 30
+
+
 # --- nearest neighbours ------------------------------------------------------
 
 
