@@ -83,7 +83,7 @@ def _adder(tag):
     return lambda x: tag + x
 
 
-def links(prints: DataFrame, radius: int, crowd: int = CROWD) -> DataFrame:
+def links(prints: DataFrame, radius: int, crowd: int = CROWD, whole: bool = False) -> DataFrame:
     """Pairs (a, b) of different fingerprints at most ``radius`` bits apart; ``prints`` holds each once, as column ``print``.
 
     Of the two sides of a pair that differ in one bit of a segment, only the side
@@ -92,7 +92,9 @@ def links(prints: DataFrame, radius: int, crowd: int = CROWD) -> DataFrame:
     entries are linked by masks: two fingerprints are within the radius if they
     agree outside of some ``radius`` bits, so those that agree outside the same bits
     are linked to the smallest of them. That keeps every component and makes a
-    number of rows in proportion to the members. It is built for radius 2 and 3.
+    number of rows in proportion to the members. With ``whole`` all pairs inside such
+    a group are listed (it has at most 2 ** radius members), so that every pair comes
+    whatever the size of the buckets. It is built for radius 2 and 3.
     """
     parts = segments(radius)
     value = lambda c, lo, width: F.shiftrightunsigned(c, lo).bitwiseAND((1 << width) - 1)
@@ -113,7 +115,7 @@ def links(prints: DataFrame, radius: int, crowd: int = CROWD) -> DataFrame:
     crowded = materialize(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key"), "crowded")
     if crowded.limit(1).count():
         inside = table.join(crowded, "key").select("print").union(asked.join(crowded, "key").select("print")).distinct()
-        masked = _by_masks(materialize(inside, "crowd"), radius)
+        masked = _by_masks(materialize(inside, "crowd"), radius, whole)
         table, asked = table.join(crowded, "key", "left_anti"), asked.join(crowded, "key", "left_anti")
     else:
         masked = None
@@ -133,8 +135,8 @@ def links(prints: DataFrame, radius: int, crowd: int = CROWD) -> DataFrame:
     return pairs.union(masked).distinct() if masked is not None else pairs
 
 
-def _by_masks(prints: DataFrame, radius: int) -> DataFrame:
-    """Links that keep the components of all pairs within ``radius``; groups hold at most 2 ** radius fingerprints."""
+def _by_masks(prints: DataFrame, radius: int, whole: bool = False) -> DataFrame:
+    """Links that keep the components of all pairs within ``radius``, or with ``whole`` all these pairs; groups hold at most 2 ** radius fingerprints."""
     bits = [1 << i for i in range(BITS)]
     signed = [F.lit(b if b < 1 << 63 else b - (1 << 64)).cast("long") for b in bits]
     rows = prints.select("print", F.lit(0).cast("long").alias("mask"), F.lit(-1).alias("at"))
@@ -143,6 +145,9 @@ def _by_masks(prints: DataFrame, radius: int) -> DataFrame:
         rows = step.select("print", F.col("mask").bitwiseOR(F.col("bit")).alias("mask"), F.col("i").alias("at"))
     cleared = rows.select("print", "mask", F.col("print").bitwiseAND(F.bitwise_not("mask")).alias("rest"))
     groups = cleared.groupBy("mask", "rest").agg(F.array_sort(F.collect_set("print")).alias("same")).where(F.size("same") > 1)
+    if whole:
+        ends = groups.select("same", F.posexplode("same").alias("at", "a"))
+        return ends.select("a", F.explode(F.slice("same", F.col("at") + 2, 1 << radius)).alias("b")).distinct()
     return groups.select(F.col("same")[0].alias("a"), F.explode(F.slice("same", 2, 1 << radius)).alias("b")).distinct()
 
 
@@ -271,7 +276,7 @@ def copies(
     members = materialize(buckets.join(several, "band").distinct(), "members")
 
     prints = materialize(nodes.groupBy("print").agg(F.min("node").alias("one"), F.count(F.lit(1)).alias("n")), "one")
-    found = links(prints.select("print"), radius)
+    found = links(prints.select("print"), radius, whole=True)
     near = found.join(prints.select(F.col("print").alias("a"), F.col("one").alias("left")), "a").join(
         prints.select(F.col("print").alias("b"), F.col("one").alias("right")), "b"
     )

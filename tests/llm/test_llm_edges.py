@@ -233,6 +233,15 @@ def test_links_of_fingerprints(spark, radius, crowd):
         assert got == want
 
 
+def test_whole_links_do_not_depend_on_crowd(spark):
+    """0, 1, 2, 4 and so on agree outside the same three bits; every pair of them comes, not only those with the smallest."""
+    df = materialize(spark.createDataFrame([(p,) for p in [*range(8), 1 << 40, -1]], "print long"))
+    small, large = ({frozenset((r["a"], r["b"])) for r in simhash.links(df, 3, crowd, whole=True).collect()} for crowd in (1, 10**9))
+    assert small == large
+    assert len(small) == 28 + 7  # all pairs of 0 to 7, and the other with those of at most two bits
+    assert frozenset((1, 2)) in small
+
+
 def closed(links, nodes):
     parent = {n: n for n in nodes}
 
