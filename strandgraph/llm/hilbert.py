@@ -118,18 +118,25 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row where ``is_query``, by Euclidean distance, ties to smaller keys.
 
-    Positions along each curve are prefix sums over range partitions. Rows are
+    Equal vectors are one point, under the smallest of its keys and with its k + 1
+    smallest ones, so that a vector of many rows takes one place on a curve; windows
+    count points, and the points found are turned into their rows before ranking.
+    Positions along each curve are prefix sums over range partitions. Points are
     grouped into blocks of ``BLOCK`` positions and a query is sent to the blocks of
     its window; where a block gets many queries they are dealt to several tasks.
-    Every task returns at most ``k`` rows per query. A query's own row is no
+    Every task returns at most ``k`` points per query. A query's own row is no
     candidate; fewer candidates than ``k`` give fewer rows; no usable row gives none.
     """
-    rows = materialize(usable(vectors, key, vector).select(F.col(key).alias("vec_id"), F.col(vector).alias("vector")), "vectors")
-    total = rows.count()
+    every = materialize(usable(vectors, key, vector).select(F.col(key).alias("vec_id"), F.col(vector).alias("vector")), "vectors")
     schema = "query_id long, vec_id long, score double"
-    if total < 2:
-        empty = rows.sparkSession.createDataFrame([], schema)
+    if every.limit(2).count() < 2:
+        empty = every.sparkSession.createDataFrame([], schema)
         return empty.select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
+    nth = F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))
+    few = every.withColumn("nth", nth).where(F.col("nth") <= k + 1)  # cut per input partition before the shuffle
+    points = materialize(few.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "points")
+    rows = points.select("vec_id", "vector")
+    total = rows.count()
     draw = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     sample = _matrix(rows.where(draw < FIT_ROWS / total).select("vector").toArrow().column("vector"))
     size = len(rows.select("vector").first()["vector"])
@@ -145,7 +152,9 @@ def nearest(
     keys = materialize(rows.mapInArrow(keyed, "vec_id long, curve int, key long").withColumn("one", F.lit(1).cast("long")), "keys")
     placed = place(keys, ["curve", "key", "vec_id"], "one").withColumn("at", F.col("position") - F.col("curve") * F.lit(total))
     placed = materialize(placed.select("vec_id", "curve", "at"), "placed")
-    asked = rows.where(is_query).select("vec_id")
+    owners = every.where(is_query).select(F.col("vec_id").alias("query_id"), "vector").join(rows, "vector").select("query_id", F.col("vec_id").alias("point"))
+    owners = materialize(owners, "owners")
+    asked = owners.select(F.col("point").alias("vec_id")).distinct()
     reach = int(np.ceil(window * total))
     last = (total - 1) // BLOCK
     block = lambda at: (at / F.lit(BLOCK)).cast("long")
@@ -175,5 +184,11 @@ def nearest(
 
     found = queries.groupBy(*[f"q_{g}" for g in groups]).cogroup(blocks.groupBy(*groups)).applyInArrow(best, schema)
     merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = merged.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda df, by: df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy("score", "vec_id")))
+    own = asked.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"))
+    near = ranked(merged, "query_id").where(F.col("rank") <= k).select("query_id", "vec_id", "score").union(own)
+    ids = points.select("vec_id", "ids")
+    near = near.join(ids, "vec_id").select(F.col("query_id").alias("point"), F.explode("ids").alias("vec_id"), "score")
+    near = ranked(near, "point").where(F.col("rank") <= k + 1).drop("rank")  # one may be the query itself
+    pairs = owners.join(near, "point").where("vec_id <> query_id")
+    return ranked(pairs, "query_id").where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -361,6 +361,20 @@ def test_nearest_edges(spark):
     assert hilbert.nearest(df.limit(0), "vec_id", "embedding", F.lit(True)).count() == 0
 
 
+def test_nearest_with_a_third_equal(spark, monkeypatch):
+    """A query inside a run of equal vectors sees the smallest ids of the run, one beside it the rows beyond it."""
+    draw = np.random.default_rng(5)
+    points = {i: ([1.0, 2.0, 3.0] if i % 3 == 0 else [float(x) for x in draw.integers(-40, 40, 3)]) for i in range(300)}
+    points[1] = [1.0, 2.0, 3.5]
+    df = spark.createDataFrame(list(points.items()), "vec_id long, embedding array<float>")
+    monkeypatch.setattr(hilbert, "BLOCK", 8)
+    got = hilbert.nearest(df, "vec_id", "embedding", F.col("vec_id").isin(0, 1, 297), k=5, window=0.05).collect()
+    mine = {q: [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 1, 297)}
+    assert mine[297] == [(i, 0.0) for i in (0, 3, 6, 9, 12)]
+    assert mine[0] == [(i, 0.0) for i in (3, 6, 9, 12, 15)]
+    assert mine[1] == [(i, 0.5) for i in (0, 3, 6, 9, 12)]
+
+
 # --- pieces ------------------------------------------------------------------
 
 
