@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm import bpe, hilbert, hyperlang, mixing, pieces, sharding, simhash, spotsigs, tokencounts, toxicity, warc
+from strandgraph.llm import audit, bpe, hilbert, hyperlang, merkle, minhash, mixing, pieces, sharding, simhash, spotsigs, tokencounts, toxicity, warc
 from strandgraph.llm.common import table, word_count
 from strandgraph.session import materialize, shared_path
 
@@ -90,3 +90,22 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     responses = full.select(*named, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", warc.key_of("refers_to").alias("refers_to"))
     revisits = slim.select(*named, F.col("payload_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type", warc.key_of("refers_to").alias("refers_to"))
     return responses.union(revisits)
+
+
+def op11_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_copies(table(spark, folder, "documents"))
+
+
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.leaf_digest([*fields, F.col("text")])
+    tampered = merkle.leaf_digest([*fields, F.replace("text", F.lit("\n"), F.lit(""))])
+    picked = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    rows = docs.select("doc_id", "source", leaf.alias("leaf"), F.when(picked, tampered).otherwise(leaf).alias("claimed"))
+    made = merkle.manifest(rows, "source", ["doc_id"], "leaf")
+    return merkle.prove(made, "claimed").drop("claimed")

@@ -15,8 +15,14 @@ QUERIES = {
     "op8_shard": queries.op8_shard,
     "op9_simhash": queries.op9_simhash,
     "op10_warc": queries.op10_warc,
+    "op11_audit": queries.op11_audit,
+    "op12_minhash": queries.op12_minhash,
+    "op13_merkle": queries.op13_merkle,
 }
 ORACLE = {
     "op2_spotsigs": oracles.OP2,
     "op10_warc": oracles.OP10,
+    "op11_audit": oracles.OP11,
+    "op12_minhash": oracles.OP12,
+    "op13_merkle": oracles.OP13,
 }
