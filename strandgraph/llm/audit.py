@@ -3,9 +3,10 @@
 Words are encoded by one dictionary for the whole corpus, in two steps. A pass over
 the texts cuts them into shards of bounded bytes; each shard is a block of the matrix
 in CSR form whose columns are numbered by the shard's own list of distinct words.
-Only those lists are joined with the dictionary, so a word costs a row per shard and
-not per occurrence, and the shard's column numbers are replaced by global ones.
-Row sums of the matrix are words, numbers of nonzero entries are distinct words.
+Only these lists are brought together by word and numbered for the whole corpus, so a
+word costs a row per shard and not per occurrence; then the shard's column numbers are
+replaced by the global ones. Row sums of the matrix are words, numbers of nonzero
+entries are distinct words.
 
 A document's failed filters make a mask; what any order of the filters does to it
 follows from the mask alone, so counts per part and mask are all that is needed.
@@ -14,75 +15,101 @@ follows from the mask alone, so counts per part and mask are all that is needed.
 from __future__ import annotations
 
 import itertools
-import uuid
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from strandgraph.llm.common import bounded_batches
-from strandgraph.operators.ordinal import with_ordinal
 from strandgraph.session import materialize
 
 #: Bytes of text after which a shard is closed; a longer text makes a shard of its own.
 SHARD_BYTES = 4 << 20
 
 
-def shards(documents: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    """CSR blocks with numbers of their own: shard, rows (the kept columns), words, indptr, codes, counts.
+def shards(documents: DataFrame, text: str, keep: Sequence[str], flags: dict[str, Callable[[bytes], bool]]) -> DataFrame:
+    """CSR blocks with numbers of their own: shard, rows (kept columns and flags), words, indptr, codes, counts.
 
-    Words are runs of anything but ASCII white space; null texts have none. A shard's
-    name is new with every attempt of its task, so store the result before use.
+    Words are runs of anything but ASCII white space; null texts count as empty. The
+    flags are what has to be read off the UTF-8 text itself. Store the result before
+    use: its shards are numbered by task.
     """
-    row = T.StructType([documents.schema[c] for c in keep])
+    row = T.StructType([documents.schema[c] for c in keep] + [T.StructField(name, T.BooleanType()) for name in flags])
     ints = T.ArrayType(T.IntegerType())
-    fields = {"shard": T.StringType(), "rows": T.ArrayType(row), "words": T.ArrayType(T.StringType()), "indptr": ints, "codes": ints, "counts": ints}
+    fields = {"shard": T.LongType(), "rows": T.ArrayType(row), "words": T.ArrayType(T.StringType()), "indptr": ints, "codes": ints, "counts": ints}
     schema = T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-    def block(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+    def block(shard: int, batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         known: dict[bytes, int] = {}
         indptr, codes, counts = [0], [], []
         for value in texts:
-            seen = Counter(value.split()) if value else {}  # of bytes: ASCII white space only
+            seen = Counter(value.split())  # of bytes: ASCII white space only
             codes += [known.setdefault(word, len(known)) for word in seen]
             counts += seen.values()
             indptr.append(len(codes))
-        rows = pa.StructArray.from_arrays([batch.column(c) for c in keep], names=list(keep))
+        told = [pa.array([flag(value) for value in texts], pa.bool_()) for flag in flags.values()]
+        rows = pa.StructArray.from_arrays([*(batch.column(c) for c in keep), *told], names=row.names)
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         words = pa.array(list(known), pa.binary()).cast(pa.string())
-        columns = [pa.array([uuid.uuid4().hex]), one(rows), one(words), *(one(pa.array(x, pa.int32())) for x in (indptr, codes, counts))]
+        columns = [pa.array([shard], pa.int64()), one(rows), one(words), *(one(pa.array(x, pa.int32())) for x in (indptr, codes, counts))]
         return pa.RecordBatch.from_arrays(columns, names=list(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = batch.column(text).cast(pa.binary()).to_pylist()
+            texts = [value or b"" for value in batch.column(text).cast(pa.binary()).to_pylist()]
             start = size = 0
             for at, value in enumerate(texts):
-                size += len(value or b"")
+                size += len(value)
                 if size >= SHARD_BYTES or at == len(texts) - 1:
-                    yield block(batch.slice(start, at + 1 - start), texts[start : at + 1])
-                    start, size = at + 1, 0
+                    yield block(shard, batch.slice(start, at + 1 - start), texts[start : at + 1])
+                    start, size, shard = at + 1, 0, shard + 1
 
     return bounded_batches(documents.select(*keep, text)).mapInArrow(run, schema)
 
 
-def dictionary(stored: DataFrame) -> DataFrame:
-    """(word, term): every word of the corpus with its place among all of them, from 0."""
-    return with_ordinal(stored.select(F.explode("words").alias("word")).distinct(), ["word"], "term")
+def number_words(stored: DataFrame) -> DataFrame:
+    """(shard, code, term): the place of each word of a shard's list in the dictionary of the corpus, from 0 without gaps.
 
+    Equal words meet in one task, at most one per shard each; a task numbers the
+    distinct words in its partition, and the partitions' sizes are added up.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, place = TaskContext.get().partitionId(), None, -1
+        for batch in batches:
+            words = batch.column("word")
+            changes = np.ones(len(words), dtype=np.int64)
+            changes[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
+            changes[0] = words[0].as_py() != last
+            places = place + np.cumsum(changes)
+            last, place = words[-1].as_py(), int(places[-1])
+            columns = [batch.column("shard"), batch.column("code"), pa.array(np.full(len(words), part, np.int32)), pa.array(places)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "code", "part", "place"])
 
-def encode(stored: DataFrame, terms: DataFrame) -> DataFrame:
+    words = stored.select("shard", F.posexplode("words").alias("code", "word"))
+    dealt = words.repartition("word").sortWithinPartitions("word")
+    numbered = materialize(dealt.mapInArrow(run, "shard long, code int, part int, place long"), "words")
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    sizes = numbered.groupBy("part").agg((F.max("place") + 1).alias("size"))
+    offsets = sizes.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
+    return numbered.join(F.broadcast(offsets), "part").select("shard", "code", (F.col("offset") + F.col("place")).alias("term"))
+
+
+def encode(stored: DataFrame, numbers: DataFrame) -> DataFrame:
     """CSR blocks with global numbers: shard, rows, indptr, terms (ascending in each row), counts.
 
     A shard's list of words is bounded by its bytes, so its numbers are gathered in one place.
     """
-    words = stored.select("shard", F.posexplode("words").alias("code", "word"))
-    numbers = words.join(terms, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("code", "term"))).alias("pairs"))
-    joined = stored.drop("words").join(numbers.select("shard", F.col("pairs.term").alias("numbers")), "shard", "left")
+    lists = numbers.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("code", "term"))).alias("pairs"))
+    joined = stored.drop("words").join(lists.select("shard", F.col("pairs.term").alias("numbers")), "shard", "left")
     kept = joined.schema
     schema = T.StructType([kept["shard"], kept["rows"], kept["indptr"], T.StructField("terms", T.ArrayType(T.LongType())), kept["counts"]])
 
@@ -182,6 +209,20 @@ def first_copies(rows: DataFrame, digest: str, key: str) -> DataFrame:
     return rows.groupBy(digest).agg(F.min(key).alias(key))
 
 
+_CAPITALS, _SYMBOLS, _FOLLOWING = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|", bytes(range(0x80, 0xC0))
+
+
+def many_capitals(text: bytes) -> bool:
+    """Whether over 2 % of the code points of a UTF-8 text are capitals A to Z."""
+    points = len(text.translate(None, _FOLLOWING))
+    return 100 * (len(text) - len(text.translate(None, _CAPITALS))) > 2 * points
+
+
+def has_symbol(text: bytes) -> bool:
+    """Whether one of ``#$%&*|`` occurs."""
+    return len(text.translate(None, _SYMBOLS)) < len(text)
+
+
 def audit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The interactions of five filters over ``documents``, per source; null sources count as the empty one.
 
@@ -192,12 +233,9 @@ def audit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     neither good nor toxic; of several labels of a key any 1 counts.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(
-        F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("")).alias("part"), F.unhex(F.sha2(whole, 256)).alias("digest"),
-        (F.lit(100) * F.regexp_count(whole, F.lit("[A-Z]")) > F.lit(2) * F.length(whole)).alias("c"), whole.rlike("[#$%&*|]").alias("d"), whole.alias("text"),
-    )
-    stored = materialize(shards(rows, "text", ["key", "part", "digest", "c", "d"]), "shards")
-    facts = materialize(row_totals(encode(stored, dictionary(stored))), "facts")
+    rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("")).alias("part"), F.unhex(F.sha2(whole, 256)).alias("digest"), F.col(text).alias("text"))
+    stored = materialize(shards(rows, "text", ["key", "part", "digest"], {"c": many_capitals, "d": has_symbol}), "shards")
+    facts = materialize(row_totals(encode(stored, number_words(stored))), "facts")
     first = first_copies(facts.where("key IS NOT NULL"), "digest", "key").withColumn("is_first", F.lit(True))
     marks = labels.groupBy(F.col(key).alias("key")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     flagged = facts.join(first, ["digest", "key"], "left").join(marks, "key", "left")
