@@ -32,6 +32,8 @@ from strandgraph.session import materialize
 
 #: Bytes of text after which a shard is closed; a longer text makes a shard of its own.
 SHARD_BYTES = 4 << 20
+#: Words whose numbers a task holds before it passes them on.
+HELD = 1 << 20
 
 
 def shards(documents: DataFrame, text: str, keep: Sequence[str], flags: dict[str, Callable[[bytes], bool]]) -> DataFrame:
@@ -76,31 +78,50 @@ def shards(documents: DataFrame, text: str, keep: Sequence[str], flags: dict[str
 
 
 def number_words(stored: DataFrame) -> DataFrame:
-    """(shard, code, term): the place of each word of a shard's list in the dictionary of the corpus, from 0 without gaps.
+    """(shard, codes, terms): the places of words of a shard's list in the dictionary of the corpus, from 0 without gaps.
 
     Equal words meet in one task, at most one per shard each; a task numbers the
-    distinct words in its partition, and the partitions' sizes are added up.
+    distinct words in its partition, and the partitions' sizes are added up. The
+    numbers leave the task in lists, one per shard and ``HELD`` words.
     """
+    schema = pa.schema([("shard", pa.int64()), ("codes", pa.list_(pa.int32())), ("part", pa.int32()), ("places", pa.list_(pa.int64()))])
+
+    def lists(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], part: int) -> pa.RecordBatch:
+        shard, code, place = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(shard, kind="stable")
+        shard = shard[order]
+        starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        ends = pa.array(np.append(starts, len(shard)).astype(np.int32))
+        columns = [pa.array(shard[starts]), pa.ListArray.from_arrays(ends, pa.array(code[order])), pa.array(np.full(len(starts), part, np.int32))]
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(place[order]))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, place = TaskContext.get().partitionId(), None, -1
+        held, size = [], 0
         for batch in batches:
             words = batch.column("word")
+            if not len(words):
+                continue
             changes = np.ones(len(words), dtype=np.int64)
             changes[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
             changes[0] = words[0].as_py() != last
             places = place + np.cumsum(changes)
             last, place = words[-1].as_py(), int(places[-1])
-            columns = [batch.column("shard"), batch.column("code"), pa.array(np.full(len(words), part, np.int32)), pa.array(places)]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "code", "part", "place"])
+            held.append((batch.column("shard").to_numpy(), batch.column("code").to_numpy(), places))
+            size += len(words)
+            if size >= HELD:
+                yield lists(held, part)
+                held, size = [], 0
+        if held:
+            yield lists(held, part)
 
     words = stored.select("shard", F.posexplode("words").alias("code", "word"))
     dealt = words.repartition("word").sortWithinPartitions("word")
-    numbered = materialize(dealt.mapInArrow(run, "shard long, code int, part int, place long"), "words")
+    numbered = materialize(dealt.mapInArrow(run, "shard long, codes array<int>, part int, places array<long>"), "words")
     earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
-    sizes = numbered.groupBy("part").agg((F.max("place") + 1).alias("size"))
+    sizes = numbered.groupBy("part").agg((F.max(F.array_max("places")) + 1).alias("size"))
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
-    return numbered.join(F.broadcast(offsets), "part").select("shard", "code", (F.col("offset") + F.col("place")).alias("term"))
+    return numbered.join(F.broadcast(offsets), "part").select("shard", "codes", F.transform("places", lambda p: p + F.col("offset")).alias("terms"))
 
 
 def encode(stored: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -108,8 +129,8 @@ def encode(stored: DataFrame, numbers: DataFrame) -> DataFrame:
 
     A shard's list of words is bounded by its bytes, so its numbers are gathered in one place.
     """
-    lists = numbers.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("code", "term"))).alias("pairs"))
-    joined = stored.drop("words").join(lists.select("shard", F.col("pairs.term").alias("numbers")), "shard", "left")
+    lists = numbers.groupBy("shard").agg(F.collect_list(F.struct("codes", "terms")).alias("lists"))
+    joined = stored.drop("words").join(lists.select("shard", F.flatten("lists.codes").alias("words"), F.flatten("lists.terms").alias("numbers")), "shard", "left")
     kept = joined.schema
     schema = T.StructType([kept["shard"], kept["rows"], kept["indptr"], T.StructField("terms", T.ArrayType(T.LongType())), kept["counts"]])
 
@@ -119,9 +140,12 @@ def encode(stored: DataFrame, numbers: DataFrame) -> DataFrame:
                 one = batch.slice(i, 1)
                 values = {c: one.column(c)[0].values for c in ("indptr", "codes", "counts")}
                 indptr, codes, counts = (values[c].to_numpy(zero_copy_only=False) for c in ("indptr", "codes", "counts"))
-                numbers = one.column("numbers")[0].values
-                numbers = np.zeros(0, np.int64) if numbers is None else numbers.to_numpy(zero_copy_only=False)
-                found = numbers[codes] if len(codes) else np.zeros(0, np.int64)
+                found = np.zeros(0, np.int64)
+                if len(codes):
+                    place, number = (one.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("words", "numbers"))
+                    table = np.empty(len(number), np.int64)
+                    table[place] = number
+                    found = table[codes]
                 of_row = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
                 order = np.lexsort((found, of_row))
                 list_of = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
