@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from strandgraph.llm.common import bounded_batches
+from strandgraph.llm.common import batch_rows, bounded_batches
 from strandgraph.session import materialize
 
 #: Bytes of text after which a shard is closed; a longer text makes a shard of its own.
@@ -117,7 +117,8 @@ def number_words(stored: DataFrame) -> DataFrame:
 
     words = stored.select("shard", F.posexplode("words").alias("code", "word"))
     dealt = words.repartition("word").sortWithinPartitions("word")
-    numbered = materialize(dealt.mapInArrow(run, "shard long, codes array<int>, part int, places array<long>"), "words")
+    with batch_rows(stored.sparkSession, 20_000):  # of a few bytes each
+        numbered = materialize(dealt.mapInArrow(run, "shard long, codes array<int>, part int, places array<long>"), "words")
     earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     sizes = numbered.groupBy("part").agg((F.max(F.array_max("places")) + 1).alias("size"))
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))

@@ -120,12 +120,16 @@ def with_sketch(documents: DataFrame, text: str, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(value.as_py(), words) for value in batch.column(text)]
-            columns = [pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(set_digest, sets)), pa.binary()), _lists(sketches(sets))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *set_columns(sets)], names=schema.names)
 
     return bounded_batches(documents).select(*kept, text).mapInArrow(run, schema)
 
 
+def set_columns(sets: list[np.ndarray]) -> list[pa.Array]:
+    """The sizes, digests and sketches of sets."""
+    return [pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(set_digest, sets)), pa.binary()), _lists(sketches(sets))]
+
+
 def _lists(table: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * BANDS), pa.array(table.reshape(-1)))
 
@@ -232,10 +236,16 @@ def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text", w
     )
 
 
-def links(documents: DataFrame, key: str, text: str, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, component) of all nodes (node, digest, smallest, n, sketch) that are linked with another one."""
+def links(documents: DataFrame, key: str, text: str, nodes: DataFrame, words: int, percent: int, groups: DataFrame | None = None) -> DataFrame:
+    """(node, component) of all nodes (node, digest, smallest, n, sketch) that are linked with another one.
+
+    Candidates share a band of their sketches, or one of the ``groups`` (node, bucket)
+    that something else has put them in.
+    """
     each = nodes.select("node", "n", F.posexplode("sketch").alias("band", "value"))
     each = each.select("node", "n", "band", F.xxhash64("band", "value").alias("bucket"))
+    if groups is not None:  # behind all bands: pairs that share none
+        each = each.union(nodes.join(groups, "node").select("node", "n", F.lit(BANDS).alias("band"), F.xxhash64(F.lit(BANDS), "bucket").alias("bucket")))
     several = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("lead")).where("size > 1")
     members = materialize(each.join(several.select("bucket", "lead"), "bucket"), "members")
 

@@ -12,12 +12,14 @@ The rates are then rounded into whole copies.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strandgraph.llm.common import counted_join
+from strandgraph.llm.common import BROADCAST_ROWS, counted_join, fresh
+from strandgraph.llm.sharding import place
 from strandgraph.operators.ordinal import with_ordinal
 from strandgraph.session import materialize
 
@@ -25,7 +27,7 @@ from strandgraph.session import materialize
 STEPS = 60
 #: A source is done when its words are within this share of its target.
 CLOSE = 1e-6
-#: Candidates kept per source and size class for the correction of the rounding.
+#: Documents per source and size class that close what is left of a gap, all less than one document.
 SPARE = 8
 
 
@@ -116,41 +118,93 @@ def balance(rows: DataFrame, weights: list[int], cap: int = 3, seed: int = 7) ->
     what reruns have in common, ``size`` words. Returns (row, key, size, source_size,
     target, taken) with taken = copies * size, at most ``cap`` times the size.
 
-    Rounding: floor(rate + draw) copies, the draw being a digest of the key. What a
-    source then has too much or too little is mended with single copies of a few
-    documents of each size class (a power of two), largest first, so a source ends
-    within about its smallest documents of the target. Candidates are cut to
-    ``SPARE`` per source and class before the shuffle: a few hundred at most per
-    source, however large it is; the rest of the gap, if any, stays.
+    Null sources form one source; sizes of 0 take 0 words; null keys are keys like any
+    other; an empty table gives no rows; repeated rows are documents of their own.
+    """
+    made = plan(rows, weights, cap, seed)
+    final = with_copies(rows, made, "row", "key", "source", F.col("size"), "copies")
+    told = made.sources.select(F.struct("named", "source").alias("of_source"), "source_size", "target")
+    own = F.struct(F.col("source").isNotNull().alias("named"), F.coalesce("source", F.lit("")).alias("source"))
+    final = final.join(_small(told), own == F.col("of_source"))
+    return final.select("row", "key", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What decides on copies: the tilt of each source, and single copies (row, more) that mend the rounding."""
+
+    sources: DataFrame
+    mended: DataFrame
+    cap: int
+    seed: int
+
 
-    Null sources form one source; sizes of 0 take 0 words; an empty table gives no
-    rows; repeated rows are documents of their own.
+def _small(side: DataFrame) -> DataFrame:
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
+def with_copies(documents: DataFrame, made: Plan, row: str, key: str, source: str, size: Column, name: str) -> DataFrame:
+    """Add the number of copies of each document where it stands: only the plan moves, while it is small.
+
+    Rows beside ``documents`` are one per source and one per mended document.
+    """
+    its, tilt, at, more, words = (fresh(documents, c) for c in ("of_source", "tilt", "at_row", "more", "words"))
+    named = lambda is_named, name: F.struct(is_named.alias("named"), name.alias("source"))
+    sides = _small(made.sources.select(named(F.col("named"), F.col("source")).alias(its), F.col("tilt").alias(tilt)))
+    mended = _small(made.mended.select(F.col("row").alias(at), F.col("more").alias(more)))
+    own = named(F.col(source).isNotNull(), F.coalesce(F.col(source), F.lit("")))
+    joined = documents.withColumn(words, size).join(sides, own == F.col(its)).join(mended, F.col(row) == F.col(at), "left")
+    copies = _rounded(F.col(words), F.col(tilt), F.col(key), made.cap, made.seed) + F.coalesce(F.col(more), F.lit(0))
+    return joined.select(*documents.columns, copies.alias(name))
+
+
+def _rounded(size: Column, tilt: Column, key: Column, cap: int, seed: int) -> Column:
+    """floor(rate + draw) copies, the draw being a digest of the key."""
+    rate = F.coalesce(F.least(F.lit(float(cap)), F.exp(tilt * size)), F.lit(float(cap)))
+    return F.when(size == 0, 0).otherwise(F.least(F.lit(cap), F.floor(rate + draw(key, seed)))).cast("long")
+
+
+def plan(rows: DataFrame, weights: list[int], cap: int = 3, seed: int = 7) -> Plan:
+    """The tilts of all sources and the documents whose single copies mend the rounding.
+
+    Of the documents that can still move in the direction of a source's gap, as many
+    get or lose a copy, in an order drawn by digest, as their sizes fit into the gap: a
+    prefix sum over all of them, however large the source. What is left is less than
+    the next document, and is closed by a few of each size class (a power of two),
+    largest first, so a source ends within about its smallest documents of the target.
     """
     keyed = rows.select("row", "key", F.col("source").isNotNull().alias("named"), F.coalesce("source", F.lit("")).alias("source"), "size")
     sources = capped_targets(source_sizes(keyed), weights, cap)
-    rate = F.coalesce(F.least(F.lit(float(cap)), F.exp(F.col("tilt") * F.col("size"))), F.lit(float(cap)))
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.lit(cap), F.floor(rate + draw(F.col("key"), seed)))).cast("long")
-    first = materialize(counted_join(keyed, tilts(keyed, sources, cap), ["named", "source"]).withColumn("copies", copies).drop("tilt"), "copies")
+    tilted = tilts(keyed, sources, cap)
+    copies = _rounded(F.col("size"), F.col("tilt"), F.col("key"), cap, seed)
+    first = materialize(counted_join(keyed, tilted, ["named", "source"]).withColumn("copies", copies).drop("tilt"), "copies")
 
     taken = F.sum(F.col("copies") * F.col("size"))
     gaps = first.groupBy("named", "source").agg((F.round(F.first("target")) - taken).cast("long").alias("gap")).where("gap <> 0")
-    spare = counted_join(first.where("size > 0"), materialize(gaps, "gaps"), ["named", "source"]).where(F.col("size") < 2 * F.abs("gap"))
+    can = F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & (F.col("size") < 2 * F.abs("gap"))
+    movable = counted_join(first.where("size > 0"), materialize(gaps, "gaps"), ["named", "source"]).where(can)
+    movable = movable.select("named", "source", "gap", draw(F.col("key"), seed + 1).alias("draw"), "key", "row", "size")
+    placed = materialize(place(materialize(movable, "movable"), ["named", "source", "draw", "key", "row"], "size"), "placed")
+    starts = materialize(placed.groupBy("named", "source").agg(F.min("before").alias("start")), "starts")
+    fits = F.col("before") - F.col("start") + F.col("size") <= F.abs("gap")
+    placed = materialize(counted_join(placed, starts, ["named", "source"]).withColumn("bulk", fits), "placed")
+    sign = F.signum("gap").cast("long")
+    bulk = placed.where("bulk").select("row", sign.alias("more"))
+
+    left = placed.groupBy("named", "source").agg((F.first("gap") - F.first(sign) * F.coalesce(F.sum(F.when(F.col("bulk"), F.col("size"))), F.lit(0))).alias("left"))
+    rest = counted_join(placed.where("NOT bulk"), materialize(left.where("left <> 0"), "left"), ["named", "source"]).where(F.col("size") < 2 * F.abs("left"))
     by_class = W.partitionBy("named", "source", "class").orderBy("draw", "key", "row")
-    spare = spare.withColumn("class", F.floor(F.log2("size"))).withColumn("draw", draw(F.col("key"), seed + 1))
-    spare = spare.withColumn("_n", F.row_number().over(by_class)).where(F.col("_n") <= SPARE)
-    listed = spare.groupBy("named", "source", "gap").agg(
-        F.sort_array(F.collect_list(F.struct("size", "draw", "row", "copies")), asc=False).alias("spare")  # at most SPARE per class
+    rest = rest.withColumn("class", F.floor(F.log2("size"))).withColumn("_n", F.row_number().over(by_class)).where(F.col("_n") <= SPARE)
+    listed = rest.groupBy("named", "source", "left").agg(
+        F.sort_array(F.collect_list(F.struct("size", "draw", "row")), asc=False).alias("spare")  # at most SPARE per class
     )
-    start = F.struct(F.col("gap").alias("left"), F.expr("cast(array() as array<struct<row: bigint, more: bigint>>)").alias("rows"))
+    start = F.struct(F.col("left").alias("left"), F.expr("cast(array() as array<struct<row: bigint, more: bigint>>)").alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
-        sign = F.signum(acc["left"]).cast("long")
-        left = acc["left"] - sign * x["size"]
-        can = F.when(sign > 0, x["copies"] < cap).otherwise(x["copies"] > 0)
-        more = F.struct(x["row"].alias("row"), sign.alias("more"))
-        return F.when(can & (F.abs(left) < F.abs(acc["left"])), F.struct(left.alias("left"), F.concat(acc["rows"], F.array(more)).alias("rows"))).otherwise(acc)
+        way = F.signum(F.col("left")).cast("long")  # the way of the first gap: each document moves once
+        after = acc["left"] - way * x["size"]
+        more = F.struct(x["row"].alias("row"), way.alias("more"))
+        return F.when(F.abs(after) < F.abs(acc["left"]), F.struct(after.alias("left"), F.concat(acc["rows"], F.array(more)).alias("rows"))).otherwise(acc)
 
     chosen = F.aggregate("spare", start, step, lambda acc: acc["rows"])
-    mended = materialize(listed.select(F.inline(chosen)), "mended")
-    final = counted_join(first, mended, ["row"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
-    return final.select("row", "key", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return Plan(tilted, materialize(bulk.union(listed.select(F.inline(chosen))), "mended"), cap, seed)

@@ -16,7 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strandgraph.llm import minhash
 from strandgraph.llm.common import BROADCAST_ROWS, bounded_batches
 from strandgraph.llm.components import components
 from strandgraph.session import materialize
@@ -28,12 +30,6 @@ SEED = 42
 CROWD = 2_000
 #: Hashes unpacked to bits at a time.
 BLOCK = 1 << 16
-#: Keys of a set of shingles, and minima in each: a pair of similarity s shares none with a chance of (1 - s ** BAND_ROWS) ** BANDS.
-BANDS, BAND_ROWS = 48, 5
-#: Hashes that are multiplied at a time.
-BAND_BLOCK = 512
-#: Pairs of different groups per member of a band that are listed at once, and rounds before they are listed anyway.
-SPREAD, LEADERS = 8, 3
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -57,8 +53,6 @@ def fingerprint(text: str | None, words: int) -> int:
 
 def with_fingerprint(df: DataFrame, text: str, words: int, name: str = "print") -> DataFrame:
     """Replace the text column by its fingerprint as a signed long. Null texts are empty texts."""
-    from pyspark.sql import types as T
-
     kept = [c for c in df.columns if c != text]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.LongType())])
 
@@ -178,160 +172,49 @@ def hexadecimal(print_column: str):
 # --- near copies, decided by their shingles ----------------------------------
 
 
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """Distinct hashes of the word shingles of a text; fewer words make one shingle of them all, none make none."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, dtype=np.int64)
-    shingles = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) >= words else [b" ".join(found)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64)).view(np.int64)
-
-
-def with_shingles(df: DataFrame, text: str, words: int, name: str = "shingles") -> DataFrame:
-    """Replace the text column by the sorted distinct hashes of its shingles."""
-    from pyspark.sql import types as T
-
+def with_print_and_sketch(df: DataFrame, text: str, words: int, shingle: int) -> DataFrame:
+    """Replace the text column by ``print`` and by the ``n``, ``digest`` and ``sketch`` of its set of shingles."""
     kept = [c for c in df.columns if c != text]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(T.LongType()))])
+    added = "print long, n long, digest binary, sketch array<long>"
+    schema = T.StructType([*(df.schema[c] for c in kept), *T.StructType.fromDDL(added).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = pa.array([shingle_hashes(value.as_py(), words) for value in batch.column(text)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), hashes], names=[*kept, name])
+            texts = batch.column(text).to_pylist()
+            prints = np.array([fingerprint(value, words) for value in texts], dtype=np.uint64).view(np.int64)
+            sets = [minhash.shingle_set(value, shingle) for value in texts]
+            columns = [pa.array(prints), *minhash.set_columns(sets)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=schema.names)
 
     return bounded_batches(df).select(*kept, text).mapInArrow(run, schema)
 
 
-def _signers() -> np.ndarray:
-    """One odd multiplier per minimum, as a column."""
-    draw = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
-    return (draw * np.uint64(2) + np.uint64(1)).reshape(-1, 1)
-
-
-def band_keys(hashes: np.ndarray, signers: np.ndarray) -> np.ndarray:
-    """``BANDS`` keys of a set of hashes, each made of its minima under ``BAND_ROWS`` multipliers. Empty sets have equal keys."""
-    least = np.full(len(signers), np.iinfo(np.uint64).max, dtype=np.uint64)
-    values = hashes.view(np.uint64)
-    for at in range(0, len(values), BAND_BLOCK):
-        np.minimum(least, (signers * values[at : at + BAND_BLOCK]).min(axis=1), out=least)
-    keys = np.zeros(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, BAND_ROWS).T:
-        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
-
+def copies(documents: DataFrame, key: str, text: str, words: int = 2, radius: int = 3, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(key, digest) of the documents that are copies of another one that stays; digest is the SHA-256 of the text.
 
-def with_bands(df: DataFrame, text: str, words: int, shingle: int) -> DataFrame:
-    """Replace the text column by ``print``, ``n`` (the number of distinct shingles) and ``bands`` (their band keys)."""
-    from pyspark.sql import types as T
+    Texts with equal sets of shingles are one node, texts without a word too. A link
+    is a pair of nodes whose sets share at least ``percent`` of their union, and all
+    that links connect is one group, of which the text with the smallest key stays.
 
-    kept = [c for c in df.columns if c != text]
-    added = [T.StructField("print", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    schema = T.StructType([df.schema[c] for c in kept] + added)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signers = _signers()
-        for batch in batches:
-            prints, sizes, keys = [], [], []
-            for value in batch.column(text):
-                value = value.as_py()
-                hashes = shingle_hashes(value, shingle)
-                prints.append(fingerprint(value, words))
-                sizes.append(len(hashes))
-                keys.append(band_keys(hashes, signers))
-            signed = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), signed, pa.array(sizes, pa.int32()), lists], names=[*kept, "print", "n", "bands"])
-
-    return bounded_batches(df).select(*kept, text).mapInArrow(run, schema)
-
-
-def copies(
-    documents: DataFrame, key: str, text: str, words: int = 2, radius: int = 3, shingle: int = 5, similarity: float = 0.8, spread: int = SPREAD
-) -> DataFrame:
-    """(key, digest) of the documents that are copies of another one that stays.
-
-    Equal texts are one node. A link is a pair of texts whose sets of shingles of
-    ``shingle`` words have at least this Jaccard similarity, and all that links
-    connect is one group, of which the text with the smallest key stays, under that
-    key. The groups are those of all pairs of texts, found without listing them:
-
-    Candidates are texts whose fingerprints of ``words`` words are at most ``radius``
-    bits apart (one text of each fingerprint), and texts that share one of ``BANDS``
-    keys, each of ``BAND_ROWS`` minima of their shingles' hashes: a pair at 0.8
-    shares none with a chance of 5e-9, more similar ones with less. Every
-    candidate is decided by its shingles. The members of a band are first compared
-    with one of them, and what that links is joined. Then every pair that shares a
-    band but is in different groups is compared; while these pairs would be over
-    ``spread`` times the members, a round with another one in front comes first, at
-    most ``LEADERS`` times. Pairs inside a group need no comparison.
+    Candidates are nodes in one component of the fingerprints of ``words`` words that
+    are at most ``radius`` bits apart, found by multi-index hashing, and nodes that share
+    a band of their sketches. Both are buckets to ``minhash.links``, which decides
+    every candidate by its full set without listing the pairs of a bucket.
     """
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    ids = materialize(with_bands(documents.select(F.col(key).alias("key"), digest.alias("digest"), text), text, words, shingle), "prints")
-    nodes = ids.groupBy("digest").agg(F.min("key").alias("smallest"), F.first("print").alias("print"), F.first("n").alias("n"), F.min("bands").alias("bands"))
+    rows = documents.select(F.col(key).alias("key"), digest.alias("of_text"), F.col(text).alias("text"))
+    ids = materialize(with_print_and_sketch(rows, "text", words, shingle), "prints")
+    nodes = ids.groupBy("digest").agg(F.min("key").alias("smallest"), F.first("n").alias("n"), F.first("print").alias("print"), F.min("sketch").alias("sketch"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    buckets = nodes.select("node", "n", F.explode("bands").alias("band"))
-    several = buckets.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
-    members = materialize(buckets.join(several, "band").distinct(), "members")
-
-    prints = materialize(nodes.groupBy("print").agg(F.min("node").alias("one"), F.count(F.lit(1)).alias("n")), "one")
-    found = links(prints.select("print"), radius, whole=True)
-    near = found.join(prints.select(F.col("print").alias("a"), F.col("one").alias("left")), "a").join(
-        prints.select(F.col("print").alias("b"), F.col("one").alias("right")), "b"
-    )
-    same = nodes.select("print", "node").join(prints.where("n > 1"), "print").where("node <> one").select(F.col("one").alias("left"), F.col("node").alias("right"))
-    like = F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n")  # else the sizes alone rule the pair out
-
-    def led(open_: DataFrame, number: int) -> DataFrame:
-        """Pairs of the first member of each band, in an order of this round's own, with the others."""
-        order = F.struct(F.xxhash64("node", F.lit(number)) if number else F.lit(0).cast("long"), "node", "n", "component")
-        first = open_.groupBy("band").agg(F.min(order).alias("lead"))
-        pairs = open_.join(first, "band").withColumn("m", F.col("lead.n")).where((F.col("lead.component") != F.col("component")) & like)
-        return pairs.select(F.least("lead.node", "node").alias("left"), F.greatest("lead.node", "node").alias("right")).distinct()
-
-    def decided(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar enough."""
-        ends = pairs.select(F.explode(F.array("left", "right")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
-        ends = materialize(ends, "ends")
-        few = ends.count() <= BROADCAST_ROWS
-        texts = documents.select(digest.alias("digest"), text).join(F.broadcast(ends) if few else ends, "digest").dropDuplicates(["digest"])
-        sets = materialize(with_shingles(texts.select("node", text), text, shingle), "shingles")
-        both = pairs.join(sets.select(F.col("node").alias("left"), F.col("shingles").alias("x")), "left").join(
-            sets.select(F.col("node").alias("right"), F.col("shingles").alias("y")), "right"
-        )
-        shared = F.size(F.array_intersect("x", "y"))
-        return materialize(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("left", "right"), "links")
-
-    def parted(true: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Groups so far, and the members of the bands that hold texts of several groups, with their group."""
-        linked = materialize(components(true, "left", "right"), "components")
-        grouped = members.join(linked, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-        mixed = grouped.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-        return linked, materialize(grouped.join(mixed, "band"), "parted")
-
-    alone = members.withColumn("component", F.col("node"))
-    compared = materialize(near.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).union(same).union(led(alone, 0)).distinct(), "pairs")
-    true = decided(compared)
-    linked, open_ = parted(true)
-    for number in range(1, LEADERS + 1):
-        sizes = open_.groupBy("band", "component").count().groupBy("band").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("inside"))
-        rest, rows = sizes.agg(F.sum(F.col("all") * F.col("all") - F.col("inside")) / 2, F.sum("all")).first()
-        if not rest or rest <= spread * rows:
-            break
-        more = materialize(led(open_, number).join(compared, ["left", "right"], "left_anti"), "pairs")
-        compared, true = compared.union(more), true.union(decided(more))
-        linked, open_ = parted(true)
-    other = open_.select("band", F.col("node").alias("right"), F.col("n").alias("m"), F.col("component").alias("theirs"))
-    rest = open_.join(other, "band").where((F.col("node") < F.col("right")) & (F.col("component") != F.col("theirs")) & like)
-    rest = materialize(rest.select(F.col("node").alias("left"), "right").distinct().join(compared, ["left", "right"], "left_anti"), "pairs")
-    if rest.limit(1).count():
-        linked = components(true.union(decided(rest)), "left", "right")
-    group = materialize(nodes.join(linked, "node", "left").select("digest", "smallest", F.coalesce("component", "node").alias("component")), "groups")
-    stays = group.groupBy("component").agg(F.min(F.struct("smallest", "digest")).alias("stays"))
-    named = materialize(group.join(stays, "component").select("digest", "stays"), "stays")
-    other = (F.col("digest") != F.col("stays.digest")) | ~F.col("key").eqNullSafe(F.col("stays.smallest"))
-    return ids.select("key", "digest").distinct().join(named, "digest").where(other).select("key", "digest")
+    near = materialize(components(links(nodes.where("n > 0").select("print").distinct(), radius)), "components")
+    group = nodes.where("n > 0").join(near.withColumnRenamed("node", "print"), "print", "left").select("node", F.coalesce("component", "print").alias("bucket"))
+    linked = minhash.links(documents, key, text, nodes.where("n > 0"), shingle, percent, group)
+    placed = nodes.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    placed = materialize(ids.select("key", "of_text", "digest").distinct().join(placed, "digest").select("key", "of_text", "component"), "groups")
+    stays = placed.groupBy("component").agg(F.min(F.struct(F.col("key").isNull(), "key", "of_text")).alias("stays"))
+    stays = stays.select(F.col("stays.key").alias("key"), F.col("stays.of_text").alias("of_text"), F.lit(True).alias("stays"))
+    same = placed["key"].eqNullSafe(stays["key"]) & (placed["of_text"] == stays["of_text"])
+    return placed.join(stays, same, "left_anti").select("key", F.col("of_text").alias("digest"))
 
 
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -339,7 +222,7 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", *
 
     All columns stay as they are. Rows that repeat key and text count once; null
     keys are larger than none, so a document with a key stays if there is one; null
-    texts are empty texts, and all empty texts are one group.
+    texts are empty texts, and all texts without a word are one group.
     """
     lost = materialize(copies(documents, key, text, **how), "lost")
     lost = F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost

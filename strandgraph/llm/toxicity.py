@@ -99,8 +99,8 @@ def fit(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, size: int, gr
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", texts: int = TRAIN_TEXTS) -> Model:
     """Fit on about ``texts`` labelled texts (all, if there are fewer).
 
-    A key that repeats in ``labels`` is toxic if any of its rows is; null keys and
-    flags are left out. Features are counted in Spark; what comes to the driver is
+    A key that repeats in ``labels`` is toxic if any of its rows is, and of several
+    texts of a key the first in order counts; null keys and flags are left out. Features are counted in Spark; what comes to the driver is
     bounded by ``texts`` and ``FEATURES``. Without both kinds of labels nothing is
     learned and every text is clean.
     """
@@ -111,7 +111,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     chosen = known.where(draw < min(1.0, texts / n))
     chosen = F.broadcast(chosen) if texts <= BROADCAST_ROWS // 2 else chosen  # the draw bounds it
-    sample = documents.select(F.col(key), F.col(text).alias("text")).join(chosen, key)
+    sample = documents.select(F.col(key), F.col(text).alias("text")).join(chosen, key).groupBy(key).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,3 +177,17 @@ def predict(df: DataFrame, text: str, model: Model, names: tuple[str, str, str]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(name for name, _, _ in added)])
 
     return bounded_batches(df).select(*kept, *([] if keep else [text])).mapInArrow(run, schema)
+
+
+def clean_limit(documents: DataFrame, labels: DataFrame, model: Model, share: float = 0.995, key: str = "doc_id", text: str = "text", toxic: str = "toxic", texts: int = TRAIN_TEXTS) -> float:
+    """The severity that ``share`` of the clean labelled texts do not exceed, on about ``texts`` of them; infinite if there are none or nothing was learned."""
+    clean = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(toxic).alias("toxic")).where("toxic = 0")
+    n = clean.count()
+    if not n or not model.cuts:
+        return float("inf")
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit(SEED + 1)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    chosen = clean.where(draw < min(1.0, texts / n)).select(key)
+    chosen = F.broadcast(chosen) if texts <= BROADCAST_ROWS // 2 else chosen  # the draw bounds it
+    scored = predict(documents.select(F.col(key), F.col(text).alias("text")).join(chosen, key).select("text"), "text", model)
+    limit = scored.agg(F.percentile("severity", share)).first()[0]
+    return float("inf") if limit is None else limit

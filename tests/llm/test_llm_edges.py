@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandgraph.llm import bpe, components, hilbert, hyperlang, mixing, pieces, sharding, simhash, spotsigs, tokencounts, toxicity, warc
+from strandgraph.llm import bpe, components, hilbert, hyperlang, minhash, mixing, pieces, sharding, simhash, spotsigs, tokencounts, toxicity, warc
 from strandgraph.session import materialize, shared_path
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -289,45 +290,47 @@ def test_one_of_each(spark, docs, empty):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == [0, 3]
 
 
-def brute_groups(texts, similarity=0.8):
-    """Root of each text over all pairs of at least this similarity."""
-    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
-    links = {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])}
-    return closed(links, range(len(texts))), links
+def shingles(text, words=5):
+    found = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+    return {" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
 
 
-@pytest.mark.parametrize("spread", [0, 10**9])
-def test_copies_are_those_of_all_pairs(spark, monkeypatch, spread):
-    """Families of texts edited apart from a base, all under one fingerprint: a link need not go through the smallest digest."""
-    random.seed(12)
+def brute_groups(texts, percent):
+    """Root of each text over all pairs whose shingles share at least this much of their union."""
+    sets = [shingles(t) for t in texts]
+    links = {(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+    return closed(links, range(len(texts)))
+
+
+def families(seed, edits):
+    """Texts edited apart from a base, so that some are linked to many others, some to one and some to none."""
+    random.seed(seed)
     texts = []
     for family in range(4):
         base = [f"w{family}x{i}" for i in range(200)]
         for _ in range(25):
             words = list(base)
-            for at in random.sample(range(200), random.randint(0, 6)):
+            for at in random.sample(range(200), random.randint(0, edits)):
                 words[at] = f"e{random.getrandbits(40)}"
             texts.append(" ".join(words))
-    monkeypatch.setattr(simhash, "fingerprint", lambda text, words: 7)
-    roots, links = brute_groups(texts)
+    return texts
+
+
+@pytest.mark.parametrize("one_print", [False, True])
+@pytest.mark.parametrize("unit", [3, 512])
+def test_copies_are_those_of_all_pairs(spark, monkeypatch, one_print, unit):
+    """Also with all texts under one fingerprint, and with buckets cut into many units."""
+    texts = families(12, 6)
+    if one_print:
+        monkeypatch.setattr(simhash, "fingerprint", lambda text, words: 7)
+    monkeypatch.setattr(minhash, "UNIT", unit)
+    roots = brute_groups(texts, 80)
     assert len(set(roots.values())) > 8  # some edits are too many
     df = materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
-    kept = [r["doc_id"] for r in simhash.one_of_each(df, spread=spread).collect()]
+    kept = [r["doc_id"] for r in simhash.one_of_each(df).collect()]
     assert sorted(kept) == sorted(set(roots.values()))
 
 
-def test_bands_share_a_key():
-    """Recall of the candidates at the limit, and how few unlike sets are candidates."""
-    draw, signers = np.random.default_rng(3), simhash._signers()
-    hit = far = 0
-    for _ in range(300):
-        h = draw.integers(-(1 << 63), (1 << 63) - 1, 200)
-        a, b, c = (simhash.band_keys(x, signers) for x in (h[:180], h[20:], h[140:]))  # similarity 0.8, 0.8 and 0.2 of the first
-        hit += bool((a == b).any())
-        far += bool((a == c).any())
-    assert hit == 300 and far < 30
-
-
 # --- nearest neighbours ------------------------------------------------------
 
 
