@@ -135,17 +135,17 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     place = {name: i for i, name in enumerate(sorted(telling))}
     if not place:
         return Model({}, [])
-    entries = counted.select("key", "toxic", "words", F.explode(F.arrays_zip("features", "counts")).alias("e")).select(
-        "key", "toxic", "words", F.col("e.features").alias("feature"), F.col("e.counts").alias("n")
-    )
-    entries = entries.join(F.broadcast(picked.select("feature")), "feature")  # at most FEATURES rows
-    texts_ = sorted((r["key"], r["toxic"], r["words"]) for r in counted.select("key", "toxic", "words").collect())
-    at = {t[0]: i for i, t in enumerate(texts_)}
-    got = sorted((at[r["key"]], place[r["feature"]], r["n"]) for r in entries.select("key", "feature", "n").collect())
-    rows, columns, values = (np.array([g[i] for g in got], dtype=np.int64) for i in range(3))
-    toxic_ = np.array([t[1] for t in texts_])
+    numbers = F.broadcast(counted.sparkSession.createDataFrame(sorted(place.items()), "feature string, at int"))  # at most FEATURES rows
+    entries = counted.select("key", F.explode(F.arrays_zip("features", "counts")).alias("e")).select("key", F.col("e.features").alias("feature"), F.col("e.counts").alias("n"))
+    # Numbers only, as Arrow columns: at most ``texts`` rows and the entries of their chosen features.
+    found = entries.join(numbers, "feature").select("key", "at", "n").toArrow()
+    keys, toxic_, words = (counted.select("key", "toxic", "words").toArrow().sort_by("key").column(c).to_numpy() for c in ("key", "toxic", "words"))
+    rows = np.searchsorted(keys, found.column("key").to_numpy())
+    columns, values = found.column("at").to_numpy().astype(np.int64), found.column("n").to_numpy()
+    order = np.lexsort((columns, rows))
+    rows, columns, values = rows[order], columns[order], values[order]
     strong = np.array([telling[name] for name in sorted(telling)]) > np.log(10)
-    share = np.bincount(rows, values * strong[columns], minlength=len(texts_)) / np.maximum(1, [t[2] for t in texts_])
+    share = np.bincount(rows, values * strong[columns], minlength=len(keys)) / np.maximum(1, words)
     weights, cuts = fit(rows, columns, np.log1p(values), len(place), graded(toxic_, share))
     return Model(dict(zip(place, weights.tolist())), cuts.tolist())
 
