@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.functions import text as t
+from strandgraph.session import materialize
 from strandgraph.operators.ordinal import top_per_group
 
 NODE_COLUMNS = ["node_index", "node_id", "label", "node_name", "node_source"]
@@ -238,6 +239,49 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return wanted.join(counts, "seed", "left").select("seed", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """seeds(node_index) -> seed, node, hop: every node up to ``hops`` relationships away, with the smallest number of them.
+
+    The seed itself is there with hop 0, whether it has edges or not. A round joins only the
+    nodes that the last one found with the edges, drops those seen before, and is stored; it
+    ends early once nothing new is found. Hubs cost one row per seed and new neighbour.
+    """
+    both = undirected(edges).select("src", "dst").where("src <> dst").distinct()
+    both = materialize(both, "ways") if hops > 1 else both
+    frontier = seeds.select(F.col("node_index").alias("seed")).where("seed IS NOT NULL").distinct().select("seed", F.col("seed").alias("node"))
+    found = frontier.withColumn("hop", F.lit(0))
+    for number in range(1, hops + 1):
+        step = frontier.join(both, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+        frontier = materialize(step.join(found.select("seed", "node"), ["seed", "node"], "left_anti"), "frontier")
+        if not frontier.limit(1).count():
+            break
+        found = found.union(frontier.withColumn("hop", F.lit(number)))
+    return found
+
+
+def subgraph_within(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int, seed_label: str = "disease") -> DataFrame:
+    """Stored edges on any path of at most ``hops`` relationships from the seeds of one label, as ``subgraph`` has them for two.
+
+    An edge is on such a path if one of its ends is at most ``hops`` - 1 away from some seed,
+    so one visited set of all seeds together is enough.
+    """
+    start = nodes.where(F.col("label") == seed_label).join(seeds.select("node_index").distinct(), "node_index", "left_semi").select("node_index")
+    both = undirected(edges).select("src", "dst").where("src <> dst").distinct()
+    seen = frontier = materialize(start.distinct(), "seeds")
+    for _ in range(hops - 1):
+        step = frontier.join(both, F.col("node_index") == F.col("src")).select(F.col("dst").alias("node_index")).distinct()
+        frontier = materialize(step.join(seen, "node_index", "left_anti"), "frontier")
+        if not frontier.limit(1).count():
+            break
+        seen = seen.union(frontier)
+    near = materialize(seen, "near")
+    touched = [edges.join(near, F.col(end) == F.col("node_index"), "left_semi").select("edge_id") for end in ("start_id", "end_id")]
+    kept = edges.join(touched[0].union(touched[1]).distinct(), "edge_id", "left_semi")
+    named = lambda side: nodes.select(*[F.col(c).alias(f"{side}_{short}") for c, short in (("node_index", "index"), ("node_name", "name"), ("label", "label"))])
+    out = kept.join(named("src"), F.col("start_id") == F.col("src_index")).join(named("dst"), F.col("end_id") == F.col("dst_index"))
+    return out.select("edge_id", "src_index", "src_name", "src_label", "rel_type", "dst_index", "dst_name", "dst_label")
+
+
 def pairs(nodes: DataFrame, edges: DataFrame, rel_type: str, label_a: str, label_b: str, contains: str, n: int = 20) -> DataFrame:
     """First ``n`` (name_b, name_a) over one relation where name_b contains a case-sensitive text."""
     a = nodes.where(F.col("label") == label_a).select(F.col("node_index").alias("src"), F.col("node_name").alias("name_a"))

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandgraph.functions import text as t
+from strandgraph.functions.stemming import stem
 from strandgraph.functions.text import entities_loose
 from strandgraph.operators.ordinal import one_per_key
 from strandgraph.session import materialize
@@ -169,6 +170,35 @@ def cider(pairs: DataFrame) -> DataFrame:
     return cider_rows(pairs).agg(F.coalesce(F.avg("cider"), F.lit(0.0)).alias("cider"))
 
 
+def multi_bleu(candidates: DataFrame, references: DataFrame, n_used: int = MAX_N) -> DataFrame:
+    """candidates(id, hyp), references(id, ref), several per id -> one row: bleu, over the whole table.
+
+    An n-gram of a hypothesis counts as often as it does in the one reference that has
+    it most. The length compared with is that of the reference closest to the
+    hypothesis, the shorter one of two equally close. Hypotheses without a reference and
+    references without a hypothesis are left out; a null text is an empty one. Without
+    any matching n-gram of some length the score is that of ``_bleu_score``.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    hyps = candidates.join(references.select("id").distinct(), "id", "left_semi").select("id", text("hyp").alias("hyp"))
+    refs = references.join(candidates.select("id"), "id", "left_semi").select("id", text("ref").alias("ref"))
+    # Equal references of an id count once; every reference is a row of its own key.
+    refs = refs.distinct().select(F.struct("id", F.xxhash64("ref").alias("of")).alias("id"), F.lit("").alias("hyp"), "ref")
+    h_tokens = _tokenized(hyps.withColumn("ref", F.lit("")), word_tokens)
+    r_tokens = _tokenized(refs, word_tokens)
+    most = ngram_counts(r_tokens, n_used).groupBy(F.col("id.id").alias("id"), "n", "gram").agg(F.max("r").alias("r"))
+    matched = ngram_counts(h_tokens, n_used).select("id", "n", "gram", "h").join(most, ["id", "n", "gram"])
+    hits = matched.agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.least("h", "r"))), F.lit(0)).cast("double").alias(f"_m{n}") for n in range(1, n_used + 1)])
+    lengths = h_tokens.select("id", F.size("h").alias("hl"))
+    choices = r_tokens.select(F.col("id.id").alias("id"), F.size("r").alias("rl")).join(lengths, "id")
+    closest = choices.groupBy("id", "hl").agg(F.min(F.struct(F.abs(F.col("rl") - F.col("hl")), "rl"))["rl"].alias("rl"))
+    sums = closest.agg(
+        F.coalesce(F.sum("hl"), F.lit(0)).cast("double").alias("_hl"), F.coalesce(F.sum("rl"), F.lit(0)).cast("double").alias("_rl"),
+        *[F.coalesce(F.sum(F.greatest(F.col("hl") - (n - 1), F.lit(1))), F.lit(0)).cast("double").alias(f"_d{n}") for n in range(1, n_used + 1)],
+    )
+    return hits.crossJoin(sums).select(_bleu_score(n_used).alias("bleu"))  # one row each
+
+
 def meteor_rows(pairs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> DataFrame:
     """id, meteor with the exact-match stage: equal words are paired from the ends of both texts."""
     tokenized = _tokenized(pairs, word_tokens)
@@ -211,17 +241,33 @@ def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def rouge_l_rows(pairs: DataFrame) -> DataFrame:
-    """id, rouge_l: F1 of the longest common subsequence of ASCII words (no stemming)."""
+def _stems(words: pd.Series) -> pd.Series:
+    return words.map(stem, na_action="ignore")
+
+
+def stemmed(c: Column | str) -> Column:
+    """The stems of a column of lowered words, a batch at a time."""
+    return F.pandas_udf(_stems, "string")(c)
+
+
+#: Words up to this length are not stemmed for ROUGE.
+UNSTEMMED = 3
+
+
+def rouge_l_rows(pairs: DataFrame, stemmed: bool = True) -> DataFrame:
+    """id, rouge_l: F1 of the longest common subsequence of ASCII words, longer words by their stems."""
     tokenized = pairs.select("id", t.ascii_tokens("hyp").alias("h"), t.ascii_tokens("ref").alias("r"))
     schema = tokenized.select("id").schema.add("lcs", "long").add("hl", "long").add("rl", "long")
 
+    def words(found: Sequence[str]) -> list[str]:
+        return [stem(w) if len(w) > UNSTEMMED else w for w in found] if stemmed else list(found)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame(
                 {
                     "id": batch["id"],
-                    "lcs": [lcs_length(list(h), list(r)) for h, r in zip(batch["h"], batch["r"])],
+                    "lcs": [lcs_length(words(h), words(r)) for h, r in zip(batch["h"], batch["r"])],
                     "hl": batch["h"].map(len),
                     "rl": batch["r"].map(len),
                 }

@@ -316,25 +316,26 @@ def with_stale(answers: DataFrame, column: str = "text") -> DataFrame:
 
 
 def text_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document as reference; labelled ones have an answer: the text without every seventh word."""
+    """Every document as reference and an answer to it with words swapped, replaced and left out."""
     from strandgraph.functions import text as t
     from strandgraph.operators.textmetrics import align
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    labels = table(spark, folder, "labels").select("doc_id")
-    kept = F.filter("_w", lambda w, i: F.pmod(i, F.lit(7)) != 3)
-    answers = (
-        docs.join(labels, "doc_id", "left_semi")
-        .withColumn("_w", t.words("text"))
-        .select(F.col("doc_id").alias("question_id"), F.array_join(kept, " ").alias("text"))
-    )
+
+    def other(w: Column, i: Column) -> Column:
+        swapped = F.when((i % 5 == 0) & (i + 1 < F.size("_w")), F.element_at("_w", i + 2)).when(i % 5 == 1, F.element_at("_w", i)).otherwise(w)
+        return F.when(i % 11 == 5, t.concat("qv", (i % 13).cast("string"))).otherwise(swapped)
+
+    kept = F.filter(F.transform("_w", other), lambda w, i: i % 7 != 3)
+    answers = docs.withColumn("_w", t.words("text")).select(F.col("doc_id").alias("question_id"), F.array_join(kept, " ").alias("text"))
     return align(docs.select(F.col("doc_id").alias("ord"), F.col("text").alias("ref")), with_stale(answers), "seen").withColumnRenamed("ord", "id")
 
 
 add_view(
     "pairs",
     r"""
-    SELECT d.doc_id AS id, text AS ref, CASE WHEN l.doc_id IS NULL THEN '' ELSE array_to_string(list_filter(
-               list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), lambda w, i: (i - 1) % 7 <> 3), ' ') END AS hyp
-    FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+    SELECT id, ref, array_to_string(list_filter(list_transform(w, lambda x, j: CASE
+               WHEN (j - 1) % 11 = 5 THEN 'qv' || ((j - 1) % 13) WHEN (j - 1) % 5 = 0 AND j < len(w) THEN w[j + 1] WHEN (j - 1) % 5 = 1 THEN w[j - 1] ELSE x END),
+               lambda x, j: (j - 1) % 7 <> 3), ' ') AS hyp
+    FROM (SELECT doc_id AS id, text AS ref, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)""",
 )

@@ -99,6 +99,16 @@ def kg_reachable(spark, d):
     return G.reachable(edges, seeds)
 
 
+def kg_within_hops(spark, d):
+    nodes, edges = stored_graph(spark, d)
+    return G.within_hops(edges, G.best_seed(_matches(spark, d, 5)), 3)  # hubs two steps away from every seed
+
+
+def kg_subgraph_three(spark, d):
+    nodes, edges = stored_graph(spark, d)
+    return G.subgraph_within(nodes, edges, G.best_seed(_matches(spark, d, 5)), 3)
+
+
 def kg_exposure(spark, d):
     nodes, edges = graph(spark, d)
     return G.pairs(nodes, edges, "exposure_disease", "exposure", "disease", "ATION_1")
@@ -250,7 +260,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kg_clean_nodes, kg_dedupe_edges, kg_counts, kg_counts_both_ways, kg_verify, kg_degree, kg_find_nodes,
-        kg_node_mapping, kg_best_seed, kg_one_hop, kg_one_hop_disease, kg_two_hop, kg_reachable, kg_exposure,
+        kg_node_mapping, kg_best_seed, kg_one_hop, kg_one_hop_disease, kg_two_hop, kg_reachable, kg_within_hops, kg_subgraph_three, kg_exposure,
         kg_subgraph, kg_subgraph_nodes, kg_neighbors, kg_chains, chain_stats, label_index, label_index_local,
         onto_neighbors, class_neighbors, is_a_parents, relation_counts, coverage, onto_chains, chain_coverage,
     )
@@ -424,6 +434,10 @@ _TOTALS = """
         UNION ALL SELECT 'rel_type', rel_type, count(*) FROM {e} GROUP BY ALL
         UNION ALL SELECT 'total', 'nodes', count(*) FROM nodes UNION ALL SELECT 'total', 'edges', count(*) FROM {e}"""
 
+def _recursive(query: str, *names: str) -> str:
+    return with_views(query, *names).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 ORACLE = {
     "kg_clean_nodes": with_views("SELECT * FROM nodes", "nodes"),
     "kg_dedupe_edges": with_views("SELECT * FROM edges", "edges"),
@@ -472,6 +486,29 @@ ORACLE = {
         "best3",
         "undirected",
     ),
+    "kg_within_hops": _recursive(
+        """
+        WITH walk AS (
+            SELECT DISTINCT node_index AS seed, node_index AS node, 0 AS hop FROM best3
+            UNION SELECT seed, u.dst, hop + 1 FROM walk JOIN undirected u ON u.src = node WHERE hop < 3)
+        SELECT seed, node, min(hop) AS hop FROM walk GROUP BY ALL""",
+        "best3",
+        "undirected",
+    ),
+    "kg_subgraph_three": _recursive(
+        """
+        WITH walk AS (
+            SELECT DISTINCT b.node_index AS node, 0 AS hop FROM best3 b JOIN nodes n ON n.node_index = b.node_index AND n.label = 'disease'
+            UNION SELECT u.dst, hop + 1 FROM walk JOIN undirected u ON u.src = node WHERE hop < 2)
+        SELECT DISTINCT e.edge_id, e.start_id AS src_index, a.node_name AS src_name, a.label AS src_label, e.rel_type,
+               e.end_id AS dst_index, b.node_name AS dst_name, b.label AS dst_label
+        FROM edges e JOIN nodes a ON a.node_index = e.start_id JOIN nodes b ON b.node_index = e.end_id
+        WHERE e.start_id IN (SELECT node FROM walk) OR e.end_id IN (SELECT node FROM walk)""",
+        "best3",
+        "undirected",
+        "nodes",
+        "edges",
+    ),
     "kg_exposure": with_views(
         """
         SELECT b.node_name AS name_b, a.node_name AS name_a
