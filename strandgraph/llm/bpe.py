@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from strandgraph.llm.common import bounded_batches
+from strandgraph.llm.common import bounded_batches, give_back
 from strandgraph.llm.pieces import SPACE, Pieces
 
 #: Encoded segments and compared pairs that a task keeps, and the longest segment it keeps.
-KEPT, KEPT_LENGTH = 400_000, 48
+KEPT, KEPT_PAIRS, KEPT_LENGTH = 150_000, 300_000, 48
 #: Texts whose ids are held at a time.
 ROWS = 256
 
@@ -60,7 +60,7 @@ class Encoder:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= KEPT:
+            if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self.merge(left + right) == ([left, right] if left else [right])
         return known
@@ -191,6 +191,7 @@ def with_tokens(df: DataFrame, text: str, pieces: Pieces, decoded: bool = False,
             columns = [pa.array(result, kind) for result, (_, _, kind) in zip(results, added)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *(name for name, _, _ in added)])
         encoder.seen.clear()  # the worker may go on with other work; only the compared pairs are kept for its next task
+        give_back()
 
     return bounded_batches(df).select(*kept, text).mapInArrow(run, schema)
 

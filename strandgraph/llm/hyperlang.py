@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandgraph.llm.common import bounded_batches
+from strandgraph.llm.common import bounded_batches, give_back
 
 #: Components of a vector.
 DIMENSIONS = 1024
@@ -202,6 +202,7 @@ def predict(df: DataFrame, text: str, profiles: Profiles, name: str = "lang_pred
                 scores += [float(min(1.0, max(0.0, c[b]))) if k else 0.0 for c, b, k in zip(cosines, best, known)]
             columns = [*(batch.column(c) for c in kept), pa.array(found, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, name, score])
+        give_back()
 
     return bounded_batches(df).select(*kept, *([] if keep else [text])).mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandgraph.llm.common import BROADCAST_ROWS, bounded_batches
+from strandgraph.llm.common import BROADCAST_ROWS, bounded_batches, give_back
 from strandgraph.llm.components import components
 from strandgraph.session import materialize
 
@@ -35,8 +35,8 @@ SEED = 42
 BANDS, ROWS = 40, 8
 #: Coordinates of a sketch.
 BINS = BANDS * ROWS
-#: Sets that are sketched together.
-BLOCK = 256
+#: Sets that are sketched together, and their shingles.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 17
 #: Members of a band, and shingles of them, after which a unit of comparison is split.
 UNIT, UNIT_SHINGLES = 512, 1 << 20
 #: A pair below the wanted similarity by more than this, by its sketches, isn't compared by its sets: 4.5 deviations at 0.85.
@@ -74,12 +74,16 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """A row of ``BANDS`` signed numbers per set, eight coordinates of a byte in each. Empty sets have no sketch and get zeros."""
     out = np.zeros((len(sets), BANDS), dtype=np.int64)
-    for at in range(0, len(sets), BLOCK):
-        part = sets[at : at + BLOCK]
-        rows = [i for i, s in enumerate(part) if len(s)]
-        if rows:
-            filled = _fill([part[i] for i in rows])
-            out[[at + i for i in rows]] = (filled & np.uint64(255)).astype(np.uint8).view("<i8")
+    rows: list[int] = []
+    size = 0
+    for i, one in enumerate(sets):
+        if len(one):
+            rows.append(i)
+            size += len(one)
+        if rows and (len(rows) == BLOCK or size >= BLOCK_SHINGLES or i == len(sets) - 1):
+            filled = _fill([sets[row] for row in rows])
+            out[rows] = (filled & np.uint64(255)).astype(np.uint8).view("<i8")
+            rows, size = [], 0
     return out
 
 
@@ -121,6 +125,7 @@ def with_sketch(documents: DataFrame, text: str, words: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(value.as_py(), words) for value in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *set_columns(sets)], names=schema.names)
+        give_back()
 
     return bounded_batches(documents).select(*kept, text).mapInArrow(run, schema)
 
@@ -147,6 +152,7 @@ def with_sets(rows: DataFrame, text: str, words: int) -> DataFrame:
             shingles = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             columns = [batch.column("node").take(pa.array(right, pa.int64())), pa.array(list(map(len, sets)), pa.int64()), _lists(sketches(sets)), shingles]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     return bounded_batches(rows).select("node", "digest", text).mapInArrow(run, schema)
 
@@ -207,6 +213,8 @@ def unit_links(members: DataFrame, percent: int) -> DataFrame:
                 rows["shingles"].append(batch.column("shingles")[i].values.to_numpy(zero_copy_only=False).copy())
         if at is not None:
             yield decided(rows)
+        rows.clear()
+        give_back()
 
     dealt = members.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "side", "node")
     return bounded_batches(dealt).mapInArrow(run, "left long, right long")

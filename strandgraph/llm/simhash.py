@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandgraph.llm import minhash
-from strandgraph.llm.common import BROADCAST_ROWS, bounded_batches
+from strandgraph.llm.common import BROADCAST_ROWS, bounded_batches, give_back
 from strandgraph.llm.components import components
 from strandgraph.session import materialize
 
@@ -185,6 +185,7 @@ def with_print_and_sketch(df: DataFrame, text: str, words: int, shingle: int) ->
             sets = [minhash.shingle_set(value, shingle) for value in texts]
             columns = [pa.array(prints), *minhash.set_columns(sets)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=schema.names)
+        give_back()
 
     return bounded_batches(df).select(*kept, text).mapInArrow(run, schema)
 

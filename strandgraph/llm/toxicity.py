@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandgraph.llm.common import BROADCAST_ROWS, bounded_batches
+from strandgraph.llm.common import BROADCAST_ROWS, bounded_batches, give_back
 from strandgraph.session import materialize
 
 #: Labelled texts the model is fitted on, on average; drawn by a digest of the key.
@@ -175,6 +175,7 @@ def predict(df: DataFrame, text: str, model: Model, names: tuple[str, str, str]
             results = [above.sum(axis=1), chance, grades.argmax(axis=1)]
             columns = [*(batch.column(c) for c in kept), *(pa.array(r, kind) for r, (_, _, kind) in zip(results, added))]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(name for name, _, _ in added)])
+        give_back()
 
     return bounded_batches(df).select(*kept, *([] if keep else [text])).mapInArrow(run, schema)
 
