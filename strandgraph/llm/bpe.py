@@ -21,93 +21,124 @@ from pyspark.sql import types as T
 from strandgraph.llm.common import bounded_batches, give_back
 from strandgraph.llm.pieces import SPACE, Pieces
 
-#: Encoded segments and compared pairs that a task keeps, and the longest segment it keeps.
-KEPT, KEPT_PAIRS, KEPT_LENGTH = 150_000, 300_000, 48
+#: Encoded segments in each of the two generations that a task keeps, compared pairs, and the longest segment kept.
+KEPT, KEPT_PAIRS, KEPT_LENGTH = 75_000, 300_000, 48
 #: Texts whose ids are held at a time.
 ROWS = 256
+#: Bits of a code; there are fewer pieces and characters than 2 ** 21.
+CODE_BITS = 21
+#: The score of two parts that are no piece together.
+NONE = float("-inf")
 
 
 class Encoder:
-    """Encodes segments of texts and keeps what it has seen; for one task."""
+    """Encodes segments of texts and keeps what it has seen; for one task.
+
+    Inside, pieces go by codes: 0 stands for the start of a segment, the pieces
+    follow in their order, and characters without a piece get the next codes when
+    they are first met.
+    """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.names = ["", *pieces.ids]
+        self.known = len(self.names)
+        self.sizes = [len(name) for name in self.names]
+        self.numbers = ["", *map(str, pieces.ids.values())]
+        self.texts = [name.replace(SPACE, " ") for name in self.names]
+        self.code = {name: code for code, name in enumerate(self.names)}
+        self.shorter = [0] * self.known
+        for code in range(1, self.known):
+            self.shorter[code] = self._shorter(self.names[code])
         self.automaton = ahocorasick.Automaton()
-        for piece in pieces.ids:
-            self.automaton.add_word(piece, len(piece))
+        for name, code in self.code.items():
+            if len(name) > 1:  # a single character needs no search
+                self.automaton.add_word(name, (len(name) - 1, code))
         self.automaton.make_automaton()
-        self.texts = [surface.replace(SPACE, " ") for surface in pieces.surfaces]
-        self.plain = frozenset(pieces.ids.values())
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.seen: dict[str, tuple[str, int, str]] = {}
+        self.before: dict[str, tuple[str, int, str]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Merge neighbours into the piece of the best score, the leftmost of equals first, until none can be."""
-        parts, scores = list(text), self.pieces.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
+        parts, score = list(text), self.pieces.scores.get
+        gains = [score(a + b, NONE) for a, b in zip(parts, parts[1:])]
+        while gains:
+            best = max(gains)
+            if best == NONE:
                 break
+            at = gains.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del gains[at]  # only the sums with both neighbours of the new part change
+            if at < len(gains):
+                gains[at] = score(parts[at] + parts[at + 1], NONE)
+            if at:
+                gains[at - 1] = score(parts[at - 1] + parts[at], NONE)
         return parts
 
-    def agree(self, left: str, right: str) -> bool:
-        """Whether ``right`` may follow ``left`` (or start a segment, if left is empty)."""
-        key = (left, right)
+    def agree(self, left: int, right: int) -> bool:
+        """Whether the piece ``right`` may follow ``left`` (or start a segment, if left is 0)."""
+        key = left << CODE_BITS | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merge(left + right) == ([left, right] if left else [right])
+            before, behind = self.names[left], self.names[right]
+            known = self.pairs[key] = self.merge(before + behind) == ([before, behind] if left else [behind])
         return known
 
-    def shorter(self, piece: str) -> str:
-        """The next shorter piece (or single character) that ``piece`` begins with; empty for a character."""
-        for size in range(len(piece) - 1, 0, -1):
-            if size == 1 or piece[:size] in self.pieces.ids:
-                return piece[:size]
-        return ""
-
-    def split(self, segment: str) -> list[str]:
-        """The pieces of a segment; characters without a piece stand alone."""
-        n = len(segment)
-        longest = [1] * n
-        for end, size in self.automaton.iter(segment):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start] = size
+    def _shorter(self, name: str) -> int:
+        """Code of the next shorter piece (or single character) that a piece begins with; 0 for a character."""
+        for size in range(len(name) - 1, 0, -1):
+            code = self.code.get(name[:size]) if size > 1 else self._character(name[0])
+            if code is not None:
+                return code
+        return 0
+
+    def _character(self, char: str) -> int:
+        """Code of a character, which is new if it has no piece."""
+        code = self.code.get(char)
+        if code is None:
+            code = self.code[char] = len(self.names)
+            self.names.append(char)
+            self.sizes.append(1)
+            self.shorter.append(0)
+        return code
+
+    def split(self, segment: str) -> list[int]:
+        """Codes of the pieces of a segment; characters without a piece stand alone."""
+        n, codes = len(segment), self.code
+        longest = [codes.get(char) or self._character(char) for char in segment]
+        for end, (back, code) in self.automaton.iter(segment):
+            longest[end - back] = code  # of the pieces from one place on the longest ends last
         failed = bytearray((n >> 3) + 1)
-        out: list[str] = []
-        at, last, piece, pairs = 0, "", segment[: longest[0]], self.pairs
+        out: list[int] = []
+        at, last, code = 0, 0, longest[0]
+        pairs, shorter, sizes = self.pairs, self.shorter, self.sizes
         while True:
-            end = at + len(piece)
+            end = at + sizes[code]
             fits = False
             if not failed[end >> 3] >> (end & 7) & 1:
-                fits = pairs.get((last, piece))
+                fits = pairs.get(last << CODE_BITS | code)
                 if fits is None:
-                    fits = self.agree(last, piece)
+                    fits = self.agree(last, code)
             if fits:
-                out.append(piece)
-                at, last = end, piece
-                if at == n:
+                out.append(code)
+                if end == n:
                     return out
-                piece = segment[at : at + longest[at]]
+                at, last, code = end, code, longest[end]
                 continue
-            piece = self.shorter(piece)
-            if not piece:
+            code = shorter[code]
+            if not code:
                 failed[at >> 3] |= 1 << (at & 7)
-                piece = out.pop()
-                at -= len(piece)
-                last = out[-1] if out else ""
+                code = out.pop()
+                at -= sizes[code]
+                last = out[-1] if out else 0
 
     def ids(self, segment: str) -> list[int]:
         """Ids of a segment: unknown characters become their bytes, or the unknown id without byte pieces."""
         known, fallback, out = self.pieces.ids, self.pieces.bytes_, []
-        for piece in self.split(segment):
+        for piece in (self.names[code] for code in self.split(segment)):
             if piece in known:
                 out.append(known[piece])
             elif fallback:
@@ -120,15 +151,31 @@ class Encoder:
         """(ids as text, their number, decoded text) of a segment."""
         got = self.seen.get(segment)
         if got is None:
-            ids = self.ids(segment)
-            back = "".join([self.texts[i] for i in ids]) if self.plain.issuperset(ids) else decode(ids, self.pieces, first=False)
-            got = (",".join(map(str, ids)), len(ids), back)
+            got = self.before.get(segment)
+            if got is not None:
+                self._keep(segment, got)
+        if got is None:
+            codes = self.split(segment)
+            if max(codes) < self.known:
+                numbers, texts = self.numbers, self.texts
+                got = (",".join([numbers[c] for c in codes]), len(codes), "".join([texts[c] for c in codes]))
+            else:
+                ids = self.ids(segment)
+                got = (",".join(map(str, ids)), len(ids), decode(ids, self.pieces, first=False))
             if len(segment) <= KEPT_LENGTH:
-                if len(self.seen) >= KEPT:
-                    self.seen.clear()
-                self.seen[segment] = got
+                self._keep(segment, got)
         return got
 
+    def _keep(self, segment: str, entry: tuple[str, int, str]) -> None:
+        """A full generation takes the place of the one before it; what is met again moves to the new one."""
+        if len(self.seen) >= KEPT:
+            self.seen, self.before = {}, self.seen
+        self.seen[segment] = entry
+
+    def forget(self) -> None:
+        """Drop the segments; the compared pairs stay."""
+        self.seen, self.before = {}, {}
+
     def encode(self, text: str) -> list[int]:
         return [i for segment in self.pieces.segments(text) for i in self.ids(segment)]
 
@@ -174,10 +221,11 @@ def with_tokens(df: DataFrame, text: str, pieces: Pieces, decoded: bool = False,
             _ENCODERS.clear()
             _ENCODERS[model] = Encoder(pieces)
         encoder = _ENCODERS[model]
-        seen, miss = encoder.seen.get, encoder.entry
+        miss = encoder.entry
         for batch in (part.slice(at, ROWS) for part in batches for at in range(0, part.num_rows, ROWS)):
             results: list[list] = [[] for _ in added]
             for value in batch.column(text):
+                seen = encoder.seen.get  # a generation may have ended
                 entries = [seen(s) or miss(s) for s in pieces.segments(value.as_py() or "")]
                 listed = ",".join([e[0] for e in entries])
                 back = "".join([e[2] for e in entries])[1:]  # every text begins with the space put in front
@@ -190,7 +238,7 @@ def with_tokens(df: DataFrame, text: str, pieces: Pieces, decoded: bool = False,
                     result.append(item)
             columns = [pa.array(result, kind) for result, (_, _, kind) in zip(results, added)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *(name for name, _, _ in added)])
-        encoder.seen.clear()  # the worker may go on with other work; only the compared pairs are kept for its next task
+        encoder.forget()  # the worker may go on with other work; only the compared pairs are kept for its next task
         give_back()
 
     return bounded_batches(df).select(*kept, text).mapInArrow(run, schema)

@@ -8,9 +8,9 @@ pre-tokens below it, and the number of tokens is read off where a pre-token ends
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -20,6 +20,7 @@ from strandgraph.llm.pieces import Pieces
 
 #: Characters without a piece score so much less than the worst piece: a fixed value of the model format.
 PENALTY = 10.0
+NONE = float("-inf")
 #: Nodes of a trie and counts of pre-tokens that a task keeps before it starts anew.
 NODES, KEPT = 300_000, 400_000
 #: Characters whose texts are counted together.
@@ -31,7 +32,10 @@ class Trie:
 
     def __init__(self, pieces: Pieces):
         self.scores = pieces.scores
-        self.longest = pieces.longest
+        self.automaton = ahocorasick.Automaton()
+        for piece, score in pieces.scores.items():
+            self.automaton.add_word(piece, (len(piece) - 1, score))
+        self.automaton.make_automaton()
         self.fallback = bool(pieces.bytes_)
         self.unknown = min(pieces.scores.values(), default=0.0) - PENALTY
         self.clear()
@@ -46,30 +50,50 @@ class Trie:
         Of equal scores the one with the longest last piece counts. A character
         without a piece counts as its UTF-8 bytes if there are byte pieces, else as one.
         """
-        node, path, children = 0, [0], self.children
-        for end, char in enumerate(word, 1):
-            child = children.get((node, char))
+        path, children = [0], self.children
+        for char in word:
+            child = children.get((path[-1], char))
             if child is None:
-                child = children[node, char] = len(self.score)
-                self._forward(word, end, path)
-            node = child
-            path.append(node)
-        return self.count[node]
-
-    def _forward(self, word: str, end: int, path: list[int]) -> None:
-        scores, score, count = self.scores, self.score, self.count
-        best, tokens = None, 0
-        for start in range(max(0, end - self.longest), end):
-            piece = scores.get(word[start:end])
-            if piece is not None and (best is None or score[path[start]] + piece > best):
-                best, tokens = score[path[start]] + piece, count[path[start]] + 1
-        if word[end - 1] not in scores:
-            alone = score[path[end - 1]] + self.unknown
-            if best is None or alone > best:
-                width = len(word[end - 1].encode("utf-8", "surrogatepass")) if self.fallback else 1
-                best, tokens = alone, count[path[end - 1]] + width
-        score.append(best)
-        count.append(tokens)
+                break
+            path.append(child)
+        if len(path) <= len(word):
+            self._grow(word, path)
+        return self.count[path[-1]]
+
+    def _grow(self, word: str, path: list[int]) -> None:
+        """Nodes for the characters behind the shared prefix ``path``, from the pieces that end at each of them."""
+        children, score, count = self.children, self.score, self.count
+        shared, n, first = len(path) - 1, len(word), len(score)
+        path.extend(range(first, first + n - shared))
+        for place in range(shared, n):
+            children[path[place], word[place]] = path[place + 1]
+        score.extend([NONE] * (n - shared))
+        count.extend([0] * (n - shared))
+        bare = iter([place for place in range(shared, n) if word[place] not in self.scores])
+        waiting = next(bare, n)
+        # Matches come by their end, and of one end the longest first.
+        for end, (back, gain) in self.automaton.iter(word):
+            if end < shared:
+                continue
+            while waiting < end:
+                self._alone(word, path, waiting)
+                waiting = next(bare, n)
+            start, node = path[end - back], path[end + 1]
+            total = score[start] + gain
+            if total > score[node]:
+                score[node] = total
+                count[node] = count[start] + 1
+        while waiting < n:
+            self._alone(word, path, waiting)
+            waiting = next(bare, n)
+
+    def _alone(self, word: str, path: list[int], place: int) -> None:
+        """A character without a piece: its bytes or one token, unless a longer piece that ends in it is at least as good."""
+        parent, node = path[place], path[place + 1]
+        alone = self.score[parent] + self.unknown
+        if alone > self.score[node]:
+            width = len(word[place].encode("utf-8", "surrogatepass")) if self.fallback else 1
+            self.score[node], self.count[node] = alone, self.count[parent] + width
 
 
 def with_counts(df: DataFrame, text: str, pieces: Pieces) -> DataFrame:
@@ -88,7 +112,7 @@ def with_counts(df: DataFrame, text: str, pieces: Pieces) -> DataFrame:
         trie, known = Trie(pieces), {}
         for batch in batches:
             sums, words = [], []
-            block: list[Counter] = []
+            block: list[list[str]] = []
             chars = 0
 
             def flush():
@@ -97,15 +121,15 @@ def with_counts(df: DataFrame, text: str, pieces: Pieces) -> DataFrame:
                     if len(trie.score) > NODES:
                         trie.clear()
                     known[word] = trie.tokens(word)
-                sums.extend(sum(n * known[w] for w, n in counts.items()) for counts in block)
-                words.extend(counts.total() for counts in block)
+                sums.extend(sum(map(known.__getitem__, segments)) for segments in block)
+                words.extend(map(len, block))
                 if len(known) > KEPT:
                     known.clear()
                 block.clear()
 
             for value in batch.column(text):
                 whole = value.as_py() or ""
-                block.append(Counter(pieces.segments(whole)))
+                block.append(pieces.segments(whole))
                 chars += len(whole)
                 if chars > BLOCK_CHARS:
                     flush()
