@@ -199,19 +199,44 @@ def multi_bleu(candidates: DataFrame, references: DataFrame, n_used: int = MAX_N
     return hits.crossJoin(sums).select(_bleu_score(n_used).alias("bleu"))  # one row each
 
 
-def meteor_rows(pairs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> DataFrame:
-    """id, meteor with the exact-match stage: equal words are paired from the ends of both texts."""
-    tokenized = _tokenized(pairs, word_tokens)
+def meteor_matches(tokenized: DataFrame, stems: bool = True) -> DataFrame:
+    """tokenized(id, h, r) -> id, _h, _r: places of matched words, equal words first, then words of equal stems.
+
+    In each stage the last free occurrence of a word on one side meets the last free
+    one on the other, then the one before it, and so on. Both stages stay in the
+    partition of the id: an occurrence is numbered from the end, and those of the same
+    number fall into one group. What is matched keeps a key of its own in the second
+    stage, so nothing is computed twice.
+    """
+
+    def numbered(rows: DataFrame, key: str, mine: Column) -> DataFrame:
+        place = F.coalesce("_h", "_r")
+        return rows.withColumn("_k", F.row_number().over(W.partitionBy("id", key, mine).orderBy(place.desc())))
+
+    def places(side: str) -> Column:
+        at = lambda name, i: (i + 1 if name == side else F.lit(None).cast("int")).alias(f"_{name}")
+        return F.transform(side, lambda w, i: F.struct(w.alias("_w"), at("h", i), at("r", i)))
 
-    def placed(side: str) -> DataFrame:
-        rows = tokenized.select("id", F.posexplode(side).alias(f"_{side}", "_w"))
-        back = W.partitionBy("id", "_w").orderBy(F.desc(f"_{side}"))
-        return rows.withColumn("_k", F.row_number().over(back))
+    rows = tokenized.select("id", F.explode(F.concat(places("h"), places("r"))).alias("_x")).select("id", "_x.*")
+    last = [F.max("_h").alias("_h"), F.max("_r").alias("_r")]
+    both = F.col("_h").isNotNull() & F.col("_r").isNotNull()
+    found = numbered(rows, "_w", F.col("_h").isNotNull()).groupBy("id", "_w", "_k").agg(*last)
+    if stems:
+        free = stemmed(F.when(~both, F.col("_w")))
+        keyed = found.select("id", F.coalesce(free, F.concat(F.lit("\u0000"), F.col("_h").cast("string"))).alias("_s"), "_h", "_r")
+        found = numbered(keyed, "_s", F.col("_h").isNotNull()).groupBy("id", "_s", "_k").agg(*last)
+    return found.where(both).select("id", "_h", "_r")
 
-    pairs_found = placed("h").join(placed("r"), ["id", "_w", "_k"])
+
+def meteor_rows(pairs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5, stems: bool = True) -> DataFrame:
+    """id, meteor with the stages for equal words and (``stems``) for equal stems, both paired from the ends of the texts.
+
+    A text without words scores 0; a null text is an empty one.
+    """
+    tokenized = _tokenized(pairs, lambda c: word_tokens(F.coalesce(F.col(c), F.lit(""))))
     along = W.partitionBy("id").orderBy("_h")
     follows = (F.col("_h") - F.lag("_h").over(along) == 1) & (F.col("_r") - F.lag("_r").over(along) == 1)
-    chunks = pairs_found.withColumn("_new", ~F.coalesce(follows, F.lit(False)))
+    chunks = meteor_matches(tokenized, stems).withColumn("_new", ~F.coalesce(follows, F.lit(False)))
     matched = chunks.groupBy("id").agg(F.count(F.lit(1)).alias("_m"), F.count_if("_new").alias("_c"))
     sizes = tokenized.select("id", F.size("h").alias("_hl"), F.size("r").alias("_rl"))
     p, r = F.col("_m") / F.col("_hl"), F.col("_m") / F.col("_rl")

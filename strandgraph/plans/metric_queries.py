@@ -34,6 +34,16 @@ def meteor(spark, d):
     return M.meteor_rows(fx.text_pairs(spark, d)).select("id", F.round("meteor", 6).alias("meteor"))
 
 
+def meteor_exact(spark, d):
+    """As meteor, with the stage for equal words only."""
+    return M.meteor_rows(fx.text_pairs(spark, d), stems=False).select("id", F.round("meteor", 6).alias("meteor"))
+
+
+def meteor_turns(spark, d):
+    """Every turn of a conversation against the one before it."""
+    return M.meteor_rows(_turn_pairs(spark, d)).select("id", F.round("meteor", 6).alias("meteor"))
+
+
 def rouge_l(spark, d):
     return M.rouge_l_rows(fx.text_pairs(spark, d)).select("id", F.round("rouge_l", 6).alias("rouge_l"))
 
@@ -92,7 +102,7 @@ def metric_report(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (align_answers, bleu, cider, cider_rows, meteor, rouge_l, rouge_l_turns, rouge_l_unstemmed, word_stems, bleu_multi, entity_recall, entity_scores, set_f1, metric_report)
+    for f in (align_answers, bleu, cider, cider_rows, meteor, meteor_exact, meteor_turns, rouge_l, rouge_l_turns, rouge_l_unstemmed, word_stems, bleu_multi, entity_recall, entity_scores, set_f1, metric_report)
 }
 
 # --- oracles -----------------------------------------------------------------
@@ -149,18 +159,6 @@ add_view(
         (SELECT CAST(sum(len(h)) AS DOUBLE) AS hl, CAST(sum(len(r)) AS DOUBLE) AS rl, {_D} FROM toks)""",
     ["grams", "toks"],
 )
-add_view(
-    "meteor_r",
-    """
-    WITH hw AS (SELECT id, w, i, row_number() OVER (PARTITION BY id, w ORDER BY i DESC) AS k FROM (SELECT id, unnest(h) AS w, unnest(range(1, len(h) + 1)) AS i FROM toks)),
-    rw AS (SELECT id, w, i, row_number() OVER (PARTITION BY id, w ORDER BY i DESC) AS k FROM (SELECT id, unnest(r) AS w, unnest(range(1, len(r) + 1)) AS i FROM toks)),
-    m AS (SELECT hw.id, hw.i AS hi, rw.i AS ri FROM hw JOIN rw ON hw.id = rw.id AND hw.w = rw.w AND hw.k = rw.k),
-    c AS (SELECT *, CASE WHEN hi - lag(hi) OVER (PARTITION BY id ORDER BY hi) = 1 AND ri - lag(ri) OVER (PARTITION BY id ORDER BY hi) = 1 THEN 0 ELSE 1 END AS new FROM m),
-    g AS (SELECT id, CAST(count(*) AS DOUBLE) AS m, CAST(sum(new) AS DOUBLE) AS c FROM c GROUP BY 1)
-    SELECT toks.id, CASE WHEN g.m IS NULL THEN 0.0 ELSE (m / len(h)) * (m / len(r)) / (0.9 * (m / len(h)) + 0.1 * (m / len(r))) * (1 - 0.5 * pow(c / m, 3)) END AS meteor
-    FROM toks LEFT JOIN g ON g.id = toks.id""",
-    ["toks"],
-)
 _HAS = "[" + ", ".join(f"CASE WHEN contains(lower({{c}}), '{f}') THEN '{f}' END" for f in fx.FRAGMENTS) + "]"
 add_view(
     "ents",
@@ -235,6 +233,32 @@ w10 AS (SELECT w, CASE WHEN ends_with(x, 'e') AND ({_measure(_cut("x", 1))} > 1
 w11 AS (SELECT w, CASE WHEN ends_with(x, 'll') AND {_measure(_cut("x", 1))} > 1 THEN {_cut("x", 1)} ELSE x END AS x FROM w10),
 stems AS (SELECT w, CASE WHEN map_contains({_IRREGULAR}, w) THEN {_IRREGULAR}[w] WHEN length(w) <= 2 THEN w ELSE x END AS stem FROM w11)"""
 
+
+def _meteor(toks: str, stems: bool = True) -> str:
+    """Equal words by their number from the end, then what is left by its stem and number from the end."""
+    counted = "SELECT id, w, i, row_number() OVER (PARTITION BY id, w ORDER BY i DESC) AS k FROM (SELECT id, unnest({0}) AS w, unnest(range(1, len({0}) + 1)) AS i FROM toks)"
+    second = f"""
+    hu AS (SELECT hw.* FROM hw ANTI JOIN m1 ON m1.id = hw.id AND m1.hi = hw.i), ru AS (SELECT rw.* FROM rw ANTI JOIN m1 ON m1.id = rw.id AND m1.ri = rw.i),
+    word0 AS (SELECT w FROM hu UNION SELECT w FROM ru), {STEMS},
+    hs AS (SELECT id, stem, i, row_number() OVER (PARTITION BY id, stem ORDER BY i DESC) AS k FROM hu JOIN stems ON stems.w = hu.w),
+    rs AS (SELECT id, stem, i, row_number() OVER (PARTITION BY id, stem ORDER BY i DESC) AS k FROM ru JOIN stems ON stems.w = ru.w),
+    m AS (SELECT * FROM m1 UNION ALL SELECT hs.id, hs.i, rs.i FROM hs JOIN rs ON hs.id = rs.id AND hs.stem = rs.stem AND hs.k = rs.k)"""
+    return f"""
+    WITH toks AS ({toks}), hw AS ({counted.format("h")}), rw AS ({counted.format("r")}),
+    m1 AS (SELECT hw.id, hw.i AS hi, rw.i AS ri FROM hw JOIN rw ON hw.id = rw.id AND hw.w = rw.w AND hw.k = rw.k),
+    {second if stems else "m AS (SELECT * FROM m1)"},
+    c AS (SELECT *, CASE WHEN hi - lag(hi) OVER (PARTITION BY id ORDER BY hi) = 1 AND ri - lag(ri) OVER (PARTITION BY id ORDER BY hi) = 1 THEN 0 ELSE 1 END AS new FROM m),
+    g AS (SELECT id, CAST(count(*) AS DOUBLE) AS m, CAST(sum(new) AS DOUBLE) AS c FROM c GROUP BY 1)
+    SELECT toks.id, round(CASE WHEN g.m IS NULL THEN 0.0 ELSE (m / len(h)) * (m / len(r)) / (0.9 * (m / len(h)) + 0.1 * (m / len(r))) * (1 - 0.5 * pow(c / m, 3)) END, 6) AS meteor
+    FROM toks LEFT JOIN g ON g.id = toks.id"""
+
+
+_PAIR_TOKENS = f"WITH pairs AS ({fx.CTE['pairs']}) {fx.CTE['toks']}"
+_TURN_TOKENS = f"""
+    SELECT conv_id || '-' || turn AS id, {_tok("coalesce(hyp, '')")} AS h, {_tok("coalesce(text, '')")} AS r
+    FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp FROM conversations) WHERE hyp IS NOT NULL"""
+
+
 WORD_STEMS = f"""
 WITH word0 AS (SELECT DISTINCT unnest({_ASCII.format("text")}) AS w FROM conversations),
 {STEMS}
@@ -285,7 +309,9 @@ ORACLE = {
     "bleu": with_views("SELECT * FROM bleu_one", "bleu_one"),
     "cider": with_views("SELECT round(avg(cider), 6) AS cider FROM cider_r", "cider_r"),
     "cider_rows": with_views("SELECT id, round(cider, 5) AS cider FROM cider_r", "cider_r"),
-    "meteor": with_views("SELECT id, round(meteor, 6) AS meteor FROM meteor_r", "meteor_r"),
+    "meteor": _meteor(_PAIR_TOKENS),
+    "meteor_exact": _meteor(_PAIR_TOKENS, stems=False),
+    "meteor_turns": _meteor(_TURN_TOKENS),
     "entity_recall": with_views("SELECT id, round(recall, 6) AS recall, round(hallucination, 6) AS hallucination FROM ent_rows", "ent_rows"),
     "entity_scores": with_views(
         "SELECT round(avg(recall), 6) AS entity_recall, round(avg(hallucination), 6) AS hallucination_rate FROM ent_rows", "ent_rows"

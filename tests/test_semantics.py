@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandgraph.functions import labels as lab
 from strandgraph.functions import scoring as s
 from strandgraph.functions import text as t
+from strandgraph.functions.stemming import stem
 from strandgraph.operators import assembly as A
 from strandgraph.operators import benchmarks as B
 from strandgraph.operators import conversations as C
@@ -297,6 +298,41 @@ def test_lcs_by_bits():
         assert M.lcs_length(a, b) == lcs(a, b)
 
 
+def plain_matches(h, r):
+    """Every word of h from its end takes the last free equal word of r, then the same by stems."""
+    out, free_h, free_r = [], list(range(len(h))), list(range(len(r)))
+    for key in (lambda w: w, stem):
+        for i in free_h[::-1]:
+            for j in free_r[::-1]:
+                if key(h[i]) == key(r[j]):
+                    out.append((i + 1, j + 1))
+                    free_h.remove(i)
+                    free_r.remove(j)
+                    break
+    return sorted(out)
+
+
+def test_meteor_matches_beside_plain_stages(spark):
+    rng = random.Random(5)
+    words = ["effusion", "effusions", "opacity", "opacities", "seen", "the", "sees", "see", "enlarged", "enlarging", ".", "été"]
+    rows = [(i, rng.choices(words, k=rng.randint(0, 14)), rng.choices(words, k=rng.randint(0, 14))) for i in range(300)]
+    found = {i: [] for i, _, _ in rows}
+    for row in M.meteor_matches(spark.createDataFrame(rows, "id int, h array<string>, r array<string>")).collect():
+        found[row["id"]].append((row["_h"], row["_r"]))
+    for i, h, r in rows:
+        assert sorted(found[i]) == plain_matches(h, r), (h, r)
+
+
+def test_meteor_edges(spark):
+    rows = [(1, None, "a b"), (2, "a b", None), (3, "", ""), (4, "effusions seen", "effusion seen"), (5, "xx", "yy")]
+    pairs = spark.createDataFrame(rows, "id int, hyp string, ref string")
+    score = {r["id"]: r["meteor"] for r in M.meteor_rows(pairs).collect()}
+    assert [score[i] for i in (1, 2, 3, 5)] == [0.0] * 4 and score[4] == pytest.approx(1 - 0.5 * (1 / 2) ** 3)
+    exact = {r["id"]: r["meteor"] for r in M.meteor_rows(pairs, stems=False).collect()}
+    assert exact[4] == pytest.approx(0.5 * (1 - 0.5))
+    assert M.meteor_rows(pairs.limit(0)).count() == 0
+
+
 def test_metrics_on_equal_and_empty_texts(spark):
     text = "there is a small left effusion today ."
     pairs = spark.createDataFrame([(1, text, text), (2, "", "something else entirely here")], "id int, hyp string, ref string")
