@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandgraph.functions import text as t
+from strandgraph.operators import fuzzy as Z
 from strandgraph.operators import graph as G
 from strandgraph.operators import linking as L
 from strandgraph.plans import fixtures as fx
@@ -43,6 +44,40 @@ def link_fuzzy(spark, d):
     return L.fuzzy_stage(entities(spark, d), _keys(spark, d))
 
 
+def _phrases(spark, d, name):
+    """Every distinct run of words between two marks."""
+    runs = F.transform(F.split(F.lower("text"), r"[^\p{L} ]+"), lambda r: F.trim(r))
+    return fx.table(spark, d, name).select(F.explode(F.filter(runs, lambda r: r != "")).alias("entity")).distinct()
+
+
+def weighted_pairs(spark, d):
+    """Phrases of the documents and of the benchmark texts that a weighted score of 88 links."""
+    return Z.weighted_pairs(_phrases(spark, d, "documents"), _phrases(spark, d, "benchmark").withColumnRenamed("entity", "key"))
+
+
+def link_weighted(spark, d):
+    """Every phrase of the documents to its best phrase of the benchmark texts."""
+    keys = _phrases(spark, d, "benchmark").select(F.col("entity").alias("key"), F.translate("entity", "aeiou", "AEIOU").alias("canonical"))
+    return Z.weighted_stage(_phrases(spark, d, "documents"), keys)
+
+
+def near_nodes(spark, d):
+    """Nodes within two hops of words in "tion", where words that follow each other in a benchmark text are joined."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    follow = F.arrays_zip(F.slice(words, 1, F.size(words) - 1).alias("start_id"), F.slice(words, 2, F.size(words)).alias("end_id"))
+    edges = fx.table(spark, d, "benchmark").where(F.size(words) > 1).select(F.explode(follow).alias("e")).select("e.*").distinct()
+    edges = edges.select(F.concat_ws(" ", "start_id", "end_id").alias("edge_id"), "start_id", "end_id", F.lit("before").alias("rel_type"))
+    nodes = vocabulary_nodes(spark, d).withColumn("label", F.lit("disease"))
+    seeds = nodes.where(F.col("node_index").endswith("tion")).select("node_index")
+    return G.subgraph_nodes(G.subgraph_within(nodes, edges, seeds, 2)).select("node_name").distinct()
+
+
+def link_graph(spark, d):
+    """Mentions to the nodes near the seeds by a weighted score of 85, whatever the length of the name."""
+    keys = near_nodes(spark, d).select(F.lower("node_name").alias("key"), F.col("node_name").alias("canonical"))
+    return Z.weighted_stage(entities(spark, d), keys, 85.0, min_ratio=0.0)
+
+
 def link_cascade(spark, d):
     """Manual, exact, concept candidates and fuzzy in this order over all mentions."""
     nodes = vocabulary_nodes(spark, d)
@@ -70,7 +105,7 @@ def diagnosis_map(spark, d):
     return L.diagnosis_stage(G.node_mapping(G.find_nodes(nodes, fx.TERMS), fx.TERMS))
 
 
-QUERIES = {f.__name__: f for f in (link_exact, similar_pairs, link_fuzzy, link_cascade, link_stats, diagnosis_map)}
+QUERIES = {f.__name__: f for f in (link_exact, similar_pairs, link_fuzzy, weighted_pairs, link_weighted, link_graph, link_cascade, link_stats, diagnosis_map)}
 
 add_view("names", "SELECT DISTINCT w AS key, translate(w, 'aeiou', 'AEIOU') AS canonical FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS w FROM benchmark) WHERE w <> ''")
 add_view("mentions", "SELECT DISTINCT w AS entity FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS w FROM documents) WHERE w <> ''")
