@@ -104,9 +104,12 @@ def weighted_ratio(a: str, b: str) -> float:
         return 0.0
     apart = max(len(a), len(b)) / min(len(a), len(b))
     best = ratio(a, b)
+    one_word = " " not in a and " " not in b  # the looks at words are those at the texts, and weigh less
     if apart < UNLIKE_LENGTHS:
-        return max(best, WORDS * word_ratio(a, b))
+        return best if one_word else max(best, WORDS * word_ratio(a, b))
     weight = PART if apart <= FAR_LENGTHS else SMALL_PART
+    if one_word:
+        return max(best, weight * window_ratio(a, b))
     return max(best, weight * window_ratio(a, b), WORDS * weight * word_window_ratio(a, b))
 
 
@@ -117,13 +120,32 @@ def _scores(a: pd.Series, b: pd.Series) -> pd.Series:
 # --- candidates ----------------------------------------------------------------
 
 
+#: Bits of a letter signature.
+BITS = 64
+
+
+def _signature(text: Column) -> Column:
+    """A bit for every letter and its number among equal ones, blanks aside; some share a bit."""
+    letters = F.filter(F.split(text, ""), lambda x: (x != " ") & (x != ""))
+
+    def places(x: Column) -> Column:
+        numbers = F.sequence(F.lit(1), F.size(F.filter(letters, lambda y: y == x)))
+        return F.transform(numbers, lambda i: F.pmod(F.xxhash64(x, i), F.lit(BITS)).cast("int"))
+
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    return F.aggregate(F.flatten(F.transform(F.array_distinct(letters), places)), F.lit(0).cast("long"), lambda bits, n: bits.bitwiseOR(bit(n)))
+
+
 def _forms(df: DataFrame, name: str, side: int) -> DataFrame:
-    """side, name, text, words, l (length), u (length of the distinct words joined) of every name with a letter in it."""
+    """side, name, text, words, l (length), u (length of the distinct words joined), signatures, of every name but blank ones.
+
+    ``bits`` are those of all letters, ``own`` those of the distinct words.
+    """
     text = F.trim(F.regexp_replace(name, r"\s+", " "))
     rows = df.select(F.lit(side).alias("side"), F.col(name).alias("name"), text.alias("text")).where(F.col("text") != "").distinct()
     words = rows.withColumn("words", F.split("text", " "))
-    joined = F.length(F.array_join(F.array_distinct("words"), " "))
-    return words.withColumn("l", F.length("text")).withColumn("u", joined)
+    joined = F.array_join(F.array_distinct("words"), " ")
+    return words.withColumns({"l": F.length("text"), "u": F.length(joined), "bits": _signature(F.col("text")), "own": _signature(joined)})
 
 
 def _cut(words: Column, width: Column) -> Column:
@@ -172,8 +194,8 @@ def _pieces(forms: DataFrame, cutoff: float) -> DataFrame:
         kinds.append(kind("part", [(all_words, _edits(2 * (1 - part), "l") + 1)], all_words))
     if words <= 1:
         kinds.append(kind("words", [(distinct, _edits(2 * (1 - words), "u") + 1)], distinct))
-    asked = forms.select("side", "name", "text", "l", "u", (F.size("words") > F.size(distinct)).alias("repeats"), F.explode(F.array(*kinds)).alias("k"))
-    listed = asked.select("side", "name", "text", "l", "u", "repeats", "k.kind", "k.need", F.explode(_cut(F.col("k.of"), F.col("k.width"))).alias("piece"))
+    asked = forms.select("side", "name", "text", "l", "u", "own", (F.size("words") > F.size(distinct)).alias("repeats"), F.explode(F.array(*kinds)).alias("k"))
+    listed = asked.select("side", "name", "text", "l", "u", "own", "repeats", "k.kind", "k.need", F.explode(_cut(F.col("k.of"), F.col("k.width"))).alias("piece"))
     # With a word repeated, the distinct words need pieces of their own: all are asked.
     return listed.withColumn("need", F.when(F.col("repeats"), F.col("l")).otherwise(F.col("need"))).drop("repeats")
 
@@ -186,7 +208,15 @@ def _grams(forms: DataFrame) -> DataFrame:
         return F.when(F.length(word) >= n, F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
     found = F.transform("words", lambda w: F.concat(*[of_width(w, n) for n in range(1, LONGEST_PIECE + 1)]))
-    return forms.select("side", "name", "text", "l", "u", F.explode(F.array_distinct(F.flatten(found))).alias("piece"))
+    return forms.select("side", "name", "text", "l", "u", "bits", F.explode(F.array_distinct(F.flatten(found))).alias("piece"))
+
+
+def _missing(kind: Column, l: Column, u: Column, other: Column, cutoff: float) -> Column:
+    """How many letters of the asking text the partner may lack, which its length may narrow."""
+    whole, part, words = cutoff / 100, min(1.0, cutoff / 100 / PART), min(1.0, cutoff / SHARED_WORD)
+    at_most = lambda least, n: n * (2 * (1 - least) / (2 - least))
+    like = F.greatest(l - (l + other) * (whole / 2), at_most(min(1.0, whole / WORDS), u))
+    return F.when(kind == "like", like).when(kind == "part", at_most(part, l)).otherwise(at_most(words, u)) + ROUNDING
 
 
 def _met(forms: DataFrame, cutoff: float) -> DataFrame:
@@ -194,7 +224,7 @@ def _met(forms: DataFrame, cutoff: float) -> DataFrame:
     grams = _grams(forms)
     common = grams.groupBy((1 - F.col("side")).alias("side"), "piece").agg(F.count(F.lit(1)).alias("n"))
     pieces = _pieces(forms, cutoff).join(common, ["side", "piece"], "left")
-    row = ["kind", "side", "name", "text", "l", "u", "need"]
+    row = ["kind", "side", "name", "text", "l", "u", "own", "need"]
     rare = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece"))), 1, F.first("need"))
     chosen = pieces.groupBy(*row).agg(rare.alias("rare")).select(*row, F.explode(F.array_distinct("rare")).alias("r")).where("r.n > 0")
     p = chosen.select(*row, F.col("r.piece").alias("piece")).alias("p")
@@ -205,6 +235,9 @@ def _met(forms: DataFrame, cutoff: float) -> DataFrame:
     within = ~like & (long <= short * FAR_LENGTHS)
     asks = (F.col("p.u") < F.col("g.u")) | ((F.col("p.u") == F.col("g.u")) & (F.col("p.side") == 0))
     fits = F.when(F.col("kind") == "like", like & asks).when(F.col("kind") == "part", within & (l < other)).otherwise(within & asks)
+    # Letters without a partner show in the signatures, so most pairs end here.
+    lacks = F.bit_count(F.col("p.own").bitwiseAND(F.bitwise_not(F.col("g.bits"))))
+    fits &= lacks <= _missing(F.col("kind"), l, F.col("p.u"), other, cutoff)
     met = p.join(g, (F.col("p.piece") == F.col("g.piece")) & (F.col("p.side") == 1 - F.col("g.side")) & fits)
     mine = F.col("p.side") == 0
     sides = [F.when(mine, F.col(f"p.{c}")).otherwise(F.col(f"g.{c}")) for c in ("name", "text")]

@@ -44,21 +44,14 @@ def link_fuzzy(spark, d):
     return L.fuzzy_stage(entities(spark, d), _keys(spark, d))
 
 
-def _phrases(spark, d, name):
-    """Every distinct run of words between two marks."""
-    runs = F.transform(F.split(F.lower("text"), r"[^\p{L} ]+"), lambda r: F.trim(r))
-    return fx.table(spark, d, name).select(F.explode(F.filter(runs, lambda r: r != "")).alias("entity")).distinct()
-
-
 def weighted_pairs(spark, d):
-    """Phrases of the documents and of the benchmark texts that a weighted score of 88 links."""
-    return Z.weighted_pairs(_phrases(spark, d, "documents"), _phrases(spark, d, "benchmark").withColumnRenamed("entity", "key"))
+    """Mentions and names that a weighted score of 88 links."""
+    return Z.weighted_pairs(entities(spark, d), _keys(spark, d))
 
 
 def link_weighted(spark, d):
-    """Every phrase of the documents to its best phrase of the benchmark texts."""
-    keys = _phrases(spark, d, "benchmark").select(F.col("entity").alias("key"), F.translate("entity", "aeiou", "AEIOU").alias("canonical"))
-    return Z.weighted_stage(_phrases(spark, d, "documents"), keys)
+    """As link_fuzzy, by the weighted score."""
+    return Z.weighted_stage(entities(spark, d), _keys(spark, d))
 
 
 def near_nodes(spark, d):
