@@ -26,6 +26,7 @@ PROMPT_TRIPLETS = "<image>\nThe image-specific triplets from the knowledge graph
 PROMPT_CHAINS = "The multi-hop reasoning chains are: "
 PROMPT_QUESTION = "And for the given image, "
 TEXT = "array<string>"
+STUDY = ["subject_id", "study_id"]
 
 # --- images ------------------------------------------------------------------
 
@@ -55,7 +56,22 @@ def choose_image(rows: DataFrame, metadata: DataFrame, files: DataFrame, split:
     A study's image is its smallest dicom_id with a listed file; rows of studies
     without one are dropped. The split is looked up by subject, study and image.
     """
+    return with_images(rows, study_images(metadata, files, split, default_split))
+
+
+def with_images(rows: DataFrame, images: DataFrame) -> DataFrame:
+    """rows(patient_id, report_id, ...) with the columns of ``study_images``; rows without an image are dropped.
+
+    Rows that bring subject_id and study_id keep them, and where they lie.
+    """
+    if {"subject_id", "study_id"} <= set(rows.columns):
+        return rows.join(images, STUDY)
     keyed = rows.withColumn("subject_id", F.expr("substring(patient_id, 2)")).withColumn("study_id", F.expr("substring(report_id, 2)"))
+    return keyed.join(images, STUDY).drop(*STUDY)
+
+
+def study_images(metadata: DataFrame, files: DataFrame, split: DataFrame, default_split: str = "train") -> DataFrame:
+    """subject_id, study_id, img_id, rel_path, split: the image of every study that has one."""
     listed = metadata.withColumn("rel_path", image_path("subject_id", "study_id", "dicom_id")).join(
         files.select("rel_path").distinct(), "rel_path", "left_semi"
     )
@@ -66,10 +82,7 @@ def choose_image(rows: DataFrame, metadata: DataFrame, files: DataFrame, split:
     splits = split.select("subject_id", "study_id", F.col("dicom_id").alias("img_id"), "split")
     unique = splits.groupBy("subject_id", "study_id", "img_id").agg(F.max("split").alias("split"))
     # Images get their split before they meet the (larger) rows.
-    placed = images.join(unique, ["subject_id", "study_id", "img_id"], "left").withColumn(
-        "split", F.coalesce("split", F.lit(default_split))
-    )
-    return keyed.join(placed, ["subject_id", "study_id"]).drop("subject_id", "study_id")
+    return images.join(unique, [*STUDY, "img_id"], "left").withColumn("split", F.coalesce("split", F.lit(default_split)))
 
 
 # --- conversations -----------------------------------------------------------
@@ -106,13 +119,34 @@ def two_turns(human: Column, gpt: Column) -> Column:
     return F.array(turn("human", human), turn("gpt", gpt))
 
 
-def with_triplet_source(rows: DataFrame, retrieved: DataFrame, order: str | None = None) -> DataFrame:
+def _placed(df: DataFrame, within: Sequence[str]) -> DataFrame:
+    return df.repartition(*within) if within else df
+
+
+def _looked_up(rows: DataFrame, side: DataFrame, key: str, within: Sequence[str]) -> DataFrame:
+    """rows with the columns of the row of ``side`` that has the same ``key``, if there is one.
+
+    Spark moves both sides by all columns that a join finds equal, so with ``within``
+    the key is compared by its order, inside the few rows that lie together.
+    """
+    if not within:
+        return rows.join(side, key, "left")
+    theirs = side.withColumnsRenamed({c: f"_at_{c}" for c in [*within, key]})
+    match = (F.col(key) >= F.col(f"_at_{key}")) & (F.col(key) <= F.col(f"_at_{key}"))
+    for c in within:
+        match &= F.col(c) == F.col(f"_at_{c}")
+    return rows.join(theirs, match, "left").drop(*[f"_at_{c}" for c in [*within, key]])
+
+
+def with_triplet_source(rows: DataFrame, retrieved: DataFrame, order: str | None = None, within: Sequence[str] = ()) -> DataFrame:
     """Add blocks and branch: the image's retrieved blocks, else the row's own, else none.
 
     The last retrieval of an image under ``order`` counts; without it a repeated image is an error.
+    ``within`` as in ``build_conversations``.
     """
-    found = one_per_key(retrieved, ["img_id"], order).select("img_id", t.text_blocks("captions", True).alias("_found"))
-    joined = rows.join(found, "img_id", "left")
+    keys = [*within, "img_id"]
+    found = one_per_key(_placed(retrieved, within), keys, order).select(*keys, t.text_blocks("captions", True).alias("_found"))
+    joined = _looked_up(rows, found, "img_id", within)
     own = t.text_blocks("triplets", True)
     has = F.coalesce(F.size("_found") > 0, F.lit(False))
     branch = F.when(has, "retrieved").when(F.size(own) > 0, "row").otherwise("none")
@@ -128,19 +162,23 @@ def build_conversations(
     seed: int = 0,
     retrieved_order: str | None = None,
     chains_order: str | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """rows(img_id, rel_path, split, sentence_id, img_labels, nle, triplets, ord) -> id, split, image, sentence_id, branch, conversations.
 
     The first row per (image, sentence) counts. ``chains`` (img_id = sentence id,
     chains) enter the prompt only with ``multihop``. Of repeated images and chains the
     last one under the given order column counts; without one a repeat is an error.
+
+    ``within`` names columns of all three tables that an image and a sentence fix, such as
+    those of its study. Rows that lie together by them are not moved again.
     """
-    unique = first_by(rows, ["img_id", "sentence_id"], "ord")
-    sourced = with_triplet_source(unique, retrieved, retrieved_order)
+    unique = first_by(rows, [*within, "img_id", "sentence_id"], "ord")
+    sourced = with_triplet_source(unique, retrieved, retrieved_order, within)
     extra = None
     if multihop and chains is not None:
-        table = one_per_key(chains, ["img_id"], chains_order).select(F.col("img_id").alias("sentence_id"), F.col("chains").alias("_chains"))
-        sourced = sourced.join(table, "sentence_id", "left")
+        table = one_per_key(_placed(chains, within), [*within, "img_id"], chains_order).select(*within, F.col("img_id").alias("sentence_id"), F.col("chains").alias("_chains"))
+        sourced = _looked_up(sourced, table, "sentence_id", within)
         extra = F.coalesce("_chains", F.array().cast(TEXT))
     asked = question(decode_labels("img_labels"), "img_id", seed, templates)
     prompt = build_prompt(asked, split_blocks(F.col("blocks")), extra)
@@ -154,11 +192,15 @@ def build_conversations(
     )
 
 
-def attach_first_k(rows: DataFrame, retrieved: DataFrame, k: int = 7, order: str | None = None) -> DataFrame:
-    """The last row per image with its first ``k`` retrieved captions, of the image's last retrieval under ``order``."""
-    last = latest_by(rows, ["img_id"], "ord")
-    found = one_per_key(retrieved, ["img_id"], order).select("img_id", F.slice("captions", 1, k).alias("_k"))
-    return last.join(found, "img_id", "left").withColumn("kg_triplets", F.coalesce("_k", F.array().cast(TEXT))).drop("_k")
+def attach_first_k(rows: DataFrame, retrieved: DataFrame, k: int = 7, order: str | None = None, within: Sequence[str] = ()) -> DataFrame:
+    """The last row per image with its first ``k`` retrieved captions, of the image's last retrieval under ``order``.
+
+    ``within`` as in ``build_conversations``.
+    """
+    keys = [*within, "img_id"]
+    last = latest_by(rows, keys, "ord")
+    found = one_per_key(_placed(retrieved, within), keys, order).select(*keys, F.slice("captions", 1, k).alias("_k"))
+    return _looked_up(last, found, "img_id", within).withColumn("kg_triplets", F.coalesce("_k", F.array().cast(TEXT))).drop("_k")
 
 
 def source_stats(conversations: DataFrame) -> DataFrame:
@@ -169,8 +211,9 @@ def source_stats(conversations: DataFrame) -> DataFrame:
 def to_questions(conversations: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """question_id (dense position under ``order``), image, text without the image mark."""
     first = F.element_at("conversations", 1)["value"]
-    placed = with_ordinal(conversations.withColumn("_text", t.strip_image_prefix(first)), order, name="question_id")
-    return placed.select("question_id", "image", F.col("_text").alias("text"))
+    keys = [column(c).alias(f"_order{i}") for i, c in enumerate(order)]
+    rows = conversations.select("image", t.strip_image_prefix(first).alias("text"), *keys)
+    return with_ordinal(rows, [f"_order{i}" for i in range(len(keys))], name="question_id").select("question_id", "image", "text")
 
 
 def to_chat(conversations: DataFrame) -> DataFrame:

@@ -6,10 +6,13 @@ Every view covers its tables whole. ``CTE`` holds the SQL of each view;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandgraph.functions.text import concat
+from strandgraph.session import materialize
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,13 +51,29 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
 # --- explanation rows --------------------------------------------------------
 
 
-def rows_nle(spark: SparkSession, folder: str) -> DataFrame:
-    """lineitem with its order and part as labelled explanation rows."""
+def order_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """lineitem with its order and, where it has one, its part."""
     part = table(spark, folder, "part").select("p_partkey", "p_name", "p_type")
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     line = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity"
     )
+    return line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey, "left")
+
+
+def stored_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``order_lines`` written once, for queries that look at them several times."""
+    return materialize(order_lines(spark, folder).drop("o_orderkey"), "lines")
+
+
+def by_study(lines: DataFrame) -> DataFrame:
+    """The lines of a study together, before the long texts are made from them."""
+    return lines.withColumn("subject_id", (F.col("o_custkey") + 10000).cast("string")).withColumn("study_id", _s("l_orderkey")).repartition("subject_id", "study_id")
+
+
+def rows_nle(spark: SparkSession, folder: str, lines: DataFrame | None = None, keep: Sequence[Column] = ()) -> DataFrame:
+    """lineitem with its order and part as labelled explanation rows."""
+    lines = order_lines(spark, folder) if lines is None else lines
     kind = F.lower("p_type")
     # Lines of an order may repeat part and supplier, so quantity and flags take part in the position.
     place = F.col("l_linenumber") * F.lit(10**13) + F.col("l_partkey") * F.lit(10**6) + F.col("l_suppkey")
@@ -65,8 +84,7 @@ def rows_nle(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(concat(kind, " finish"))
     )
     return (
-        line.join(orders, line.l_orderkey == orders.o_orderkey)
-        .join(part, line.l_partkey == part.p_partkey)
+        lines.where(F.col("p_partkey").isNotNull())
         .select(
             concat("s", _s("l_orderkey"), "#", _s("l_linenumber")).alias("sentence_id"),
             F.when(F.col("l_linestatus") == "O", concat("s", _s("l_orderkey"))).otherwise("").alias("report_id"),
@@ -80,6 +98,7 @@ def rows_nle(spark: SparkSession, folder: str) -> DataFrame:
             "l_orderkey",
             "l_linenumber",
             "l_suppkey",
+            *keep,
         )
     )
 
@@ -249,29 +268,36 @@ MANUAL = {"nation_7": "NATION_8", "promo finish": "red ring", "old rod": None, "
 IMAGE_URL = "https://images.example.org/files/"
 
 
-def image_metadata(spark: SparkSession, folder: str) -> DataFrame:
+def image_metadata(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
     """Every order line is an image of its order's study; returnflag and linestatus ride along."""
+    if lines is not None:
+        return lines.select(*_image_keys(), "l_returnflag", "l_linestatus")
     line = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    return line.join(orders, line.l_orderkey == orders.o_orderkey).select(
+    return line.join(orders, line.l_orderkey == orders.o_orderkey).select(*_image_keys(), "l_returnflag", "l_linestatus")
+
+
+def _image_keys() -> list[Column]:
+    return [
         (F.col("o_custkey") + 10000).cast("string").alias("subject_id"),
         _s("l_orderkey").alias("study_id"),
         F.concat_ws("-", _s("l_partkey"), _s("l_suppkey"), _s("l_linenumber"), _s("l_orderkey")).alias("dicom_id"),
-        "l_returnflag",
-        "l_linestatus",
-    )
+    ]
 
 
-def image_files(spark: SparkSession, folder: str) -> DataFrame:
+def image_files(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
     from strandgraph.operators.assembly import image_path
 
-    return image_metadata(spark, folder).where(F.col("l_returnflag") != "R").select(
+    return image_metadata(spark, folder, lines).where(F.col("l_returnflag") != "R").select(
         image_path("subject_id", "study_id", "dicom_id").alias("rel_path")
     )
 
 
-def image_split(spark: SparkSession, folder: str) -> DataFrame:
+def image_split(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
     """Images of the orders with an urgent or high priority have a split; the others fall back."""
+    if lines is not None:
+        split = F.when(F.col("l_linestatus") == "O", "val").otherwise("test").alias("split")
+        return lines.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(*_image_keys(), split)
     meta = image_metadata(spark, folder)
     orders = table(spark, folder, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(_s("o_orderkey").alias("study_id"))
     return meta.join(orders, "study_id", "left_semi").select(
@@ -279,16 +305,21 @@ def image_split(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def label_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Explanation rows with ten label triples taken from base-4 digits of the line's ordinal."""
-    rows = rows_nle(spark, folder)
+def label_rows(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
+    """Explanation rows with ten label triples taken from base-4 digits of the line's ordinal.
+
+    Rows made from ``lines`` of ``by_study`` keep its keys.
+    """
+    keys = [] if lines is None else ["subject_id", "study_id"]
+    rows = rows_nle(spark, folder, lines, [F.col(k).alias(f"_{k}") for k in keys])
     digits = F.array(*[F.pmod(F.floor(F.col("l_orderkey") / F.lit(4**i)) + F.col("l_linenumber") * (i % 3), F.lit(4)) for i in range(10)])
     flags = F.transform(
         digits,
         lambda g: F.array((g == 0).cast("int"), ((g == 1) | (g == 3)).cast("int"), ((g == 2) | (g == 3)).cast("int")),
     )
     return rows.select(
-        "sentence_id", F.col("study_id").alias("report_id"), "patient_id", "nle", F.array("triplet").alias("triplets"), "ord", "l_suppkey", flags.alias("img_labels")
+        "sentence_id", F.col("study_id").alias("report_id"), "patient_id", "nle", F.array("triplet").alias("triplets"), "ord", "l_suppkey", flags.alias("img_labels"),
+        *[F.col(f"_{k}").alias(k) for k in keys],
     )
 
 
