@@ -207,12 +207,18 @@ def predict(df: DataFrame, text: str, profiles: Profiles, name: str = "lang_pred
     return bounded_batches(df).select(*kept, *([] if keep else [text])).mapInArrow(run, schema)
 
 
-def least_score(df: DataFrame, text: str, lang: str, key: str, profiles: Profiles, share: float = 0.01, texts: int = TRAIN_TEXTS) -> float:
-    """The cosine that all but ``share`` of about ``texts`` texts with a language and a letter reach; 0 where nothing was learned."""
+#: Classes of equal width that cosines are counted in for a percentile.
+CLASSES = 1 << 20
+
+
+def least_score(df: DataFrame, text: str, lang: str, key: str, profiles: Profiles, share: float = 0.01) -> float:
+    """The cosine that all but ``share`` of all texts with a language and a letter reach; 0 where nothing was learned.
+
+    Cosines are cut down to a whole number of ``CLASSES`` and counted, so what is gathered is bounded.
+    """
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull())
-    n = rows.count() if profiles.names else 0
-    if not n:
+    if not profiles.names:
         return 0.0
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(SEED + 1)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    found = predict(rows.where(draw < min(1.0, texts / n)).select(F.col(text).alias("text")), "text", profiles)
-    return found.where(F.col("lang_pred") != UNDETERMINED).agg(F.percentile("score", share)).first()[0] or 0.0
+    found = predict(rows.select(F.col(text).alias("text")), "text", profiles).where(F.col("lang_pred") != UNDETERMINED)
+    counted = found.groupBy(F.floor(F.col("score") * CLASSES).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    return (counted.agg(F.percentile("at", share, F.col("n"))).first()[0] or 0.0) / CLASSES
