@@ -19,6 +19,7 @@ from strandgraph.session import column
 
 QUERY_BLOCK_ROWS = 8192
 CORPUS_BLOCK_ROWS = 65536
+SCORES_AT_A_TIME = 4_000_000  # 32 MB, of which rounding holds three copies
 SCORE_DIGITS = 9  # scores are rounded before ranking, so summation order cannot change ties
 
 
@@ -52,7 +53,7 @@ def _block_topk(k: int, out_names: list[str]):
         right = _unit(corpus["vec"])
         cids, qids, width = corpus["cid"].to_numpy(), queries["qid"].to_numpy(), min(k, len(corpus))
         parts = []
-        step = max(1, 32_000_000 // len(corpus))  # at most ~256 MB of scores at a time
+        step = max(1, SCORES_AT_A_TIME // len(corpus))
         for start in range(0, len(queries), step):
             scores = np.round(_unit(queries["vec"].iloc[start : start + step]) @ right.T, SCORE_DIGITS) + 0.0
             best = np.stack([_best(row, width) for row in scores])
