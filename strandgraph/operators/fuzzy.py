@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandgraph.session import materialize
+
 # Fixed values of the score.
 WORDS = 0.95  # weight of looks at words
 PART = 0.9  # weight of windows ...
@@ -148,6 +150,11 @@ def _forms(df: DataFrame, name: str, side: int) -> DataFrame:
     return words.withColumns({"l": F.length("text"), "u": F.length(joined), "bits": _signature(F.col("text")), "own": _signature(joined)})
 
 
+def _stored_forms(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The forms of left(entity) and right(key), written once: candidates look at them four times."""
+    return materialize(_forms(left, "entity", 0).unionByName(_forms(right, "key", 1)), "forms")
+
+
 def _cut(words: Column, width: Column) -> Column:
     """Disjoint pieces of ``width`` letters, none across two words."""
 
@@ -278,17 +285,17 @@ def weighted_pairs(left: DataFrame, right: DataFrame, cutoff: float = 88.0) -> D
     _checked(cutoff)
     if cutoff <= SHARED_WORD:
         raise ValueError(f"the cutoff must be over {SHARED_WORD:g}")
-    return _scored(_met(_forms(left, "entity", 0).unionByName(_forms(right, "key", 1)), cutoff), cutoff)
+    return _scored(_met(_stored_forms(left, right), cutoff), cutoff)
 
 
 def weighted_best(left: DataFrame, right: DataFrame, cutoff: float = 88.0) -> DataFrame:
     """left(entity), right(key) -> entity, key, score: the best key from the cutoff (over 80) on, ties to the first key."""
     _checked(cutoff)
-    entities, keys = _forms(left, "entity", 0), _forms(right, "key", 1)
-    met = _met(entities.unionByName(keys), cutoff)
+    forms = _stored_forms(left, right)
+    met = _met(forms, cutoff)
     if cutoff <= SHARED_WORD:
         # Where nothing is better, the first key with a common word is the best one.
-        met = met.unionByName(_one_word(entities, keys))
+        met = met.unionByName(_one_word(forms.where("side = 0"), forms.where("side = 1")))
     best = _scored(met, cutoff).groupBy("entity").agg(F.min(F.struct((-F.col("score")).alias("s"), "key")).alias("b"))
     return best.select("entity", "b.key", (-F.col("b.s")).alias("score"))
 

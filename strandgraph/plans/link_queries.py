@@ -14,8 +14,8 @@ from strandgraph.plans.fixtures import add_view, with_views
 
 
 def _word_table(spark, d, name):
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
-    return fx.table(spark, d, name).select(F.explode(words).alias("entity")).distinct()
+    words = F.split(F.lower("text"), r"[^\p{L}]+")
+    return fx.table(spark, d, name).select(F.explode(words).alias("entity")).where("entity <> ''").distinct()
 
 
 def entities(spark, d):

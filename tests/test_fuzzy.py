@@ -134,3 +134,12 @@ def test_queries_over_whole_tables(spark, folder):
             want[a] = keys[key]
     found = {r["entity"]: r["canonical"] for r in Q.link_graph(spark, folder).collect()}
     assert {a: found[a] for a in mentions if a in found} == want
+
+
+def test_names_are_made_once(spark):
+    """Candidates look at the names several times; what they come from is not worked out again."""
+    frame = lambda column: spark.createDataFrame([("effusion",), ("edema",)], f"{column} string").where(f"length({column}) > 3")
+    for found in (Z.weighted_pairs(frame("entity"), frame("key")), Z.weighted_best(frame("entity"), frame("key"), 85.0)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "LogicalRDD" not in plan and "forms-" in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 2
