@@ -52,20 +52,33 @@ def clean_nodes(nodes: DataFrame) -> DataFrame:
 
 def dedupe_edges(edges: DataFrame, ord: str = "ord") -> DataFrame:
     """Keep the first edge for every *set* of the values {start, end, type, display}."""
-    values = F.array("start_id", "end_id", "rel_type", "display_relation")
-    rest = [c for c in edges.columns]
-    kept = edges.groupBy(F.array_sort(F.array_distinct(values)).alias("_key")).agg(
-        F.min_by(F.struct(*rest), ord).alias("_edge")
+    columns = ["start_id", "end_id", "rel_type", "display_relation"]
+    key = F.array_sort(F.array_distinct(F.array(*columns)))
+    rest = [c for c in edges.columns if c not in (*columns, ord)]
+    # The four values are in the key, so a number says where (a null is the last); numbers are combined without sorting.
+    keyed = edges.select(key.alias("_key"), F.col(ord).alias("_ord"), *columns, *rest)
+    at = F.lit(0)
+    for c in columns:
+        at = at * 8 + F.coalesce(F.array_position("_key", F.col(c)), F.size("_key")).cast("int")
+    first = keyed.select("_key", "_ord", at.alias("_at"), *rest).groupBy("_key").agg(
+        F.min("_ord").alias(ord), F.min_by(F.struct("_at", *rest) if rest else F.col("_at"), "_ord").alias("_first")
     )
-    return kept.select("_edge.*")
+    place = F.col("_first._at") if rest else F.col("_first")
+    value = {c: F.element_at("_key", F.pmod(F.shiftright(place, 9 - 3 * i), F.lit(8))) for i, c in enumerate(columns)}
+    return first.select(*[value[c].alias(c) if c in value else F.col(c if c == ord else f"_first.{c}").alias(c) for c in edges.columns])
 
 
 def drop_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose two ends both exist."""
-    known = nodes.select("node_index").distinct()
-    return edges.join(known, edges.start_id == known.node_index, "left_semi").join(
-        known, edges.end_id == known.node_index, "left_semi"
-    )
+    """Edges whose two ends both exist.
+
+    The edges are stored once and stay where they are: only their distinct ends move, to find
+    those that no node has. Few such ends are broadcast; adaptive execution decides.
+    """
+    stored = materialize(edges.where("start_id IS NOT NULL AND end_id IS NOT NULL"), "edges")
+    ends = stored.select(F.explode(F.array("start_id", "end_id")).alias("_end")).distinct()
+    known = nodes.select(F.col("node_index").alias("_end"))
+    unknown = materialize(ends.join(known, "_end", "left_anti"), "unknown")
+    return stored.join(unknown, stored.start_id == unknown._end, "left_anti").join(unknown, stored.end_id == unknown._end, "left_anti")
 
 
 def prepare(nodes: DataFrame, edges: DataFrame, ord: str = "ord") -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from strandgraph.operators import graph as G
+from strandgraph.plans import graph_queries as Q2
 from strandgraph.plans import record_queries as Q
 
 
@@ -22,3 +24,28 @@ def test_records_are_moved_by_study_only(spark, folder, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert found and all(k.startswith("subject_id, study_id, ") and "img_id" not in k and "sentence_id" not in k for k in found)
+
+
+def test_edges_are_combined_without_sorting_and_stay_where_they_are(spark, folder):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    edges = Q2.fx.kg_edges(spark, folder)
+    text = G.dedupe_edges(edges)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and "HashAggregate" in text
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "5000")  # less than the nodes, more than the unknown ends
+    try:
+        nodes = G.clean_nodes(Q2.fx.kg_nodes(spark, folder))
+        known = G.drop_dangling(G.dedupe_edges(edges), nodes)
+        assert not [k for k in moved(known) if "start_id" in k or "end_id" in k]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_edges_with_nulls_equal_values_and_more_columns(spark):
+    rows = [("t", "d", "1", "2", 3, 0.5), ("d", "t", "2", "1", 2, None), ("t", None, "1", "1", 4, 1.5), (None, "t", "1", "1", 5, 2.5), ("x", "x", "x", "x", 6, 3.5), ("t", "d", None, "2", 7, 4.5)]
+    edges = spark.createDataFrame(rows, "rel_type string, display_relation string, start_id string, end_id string, ord long, weight double")
+    kept = {tuple(rows[i]) for i in (1, 2, 4, 5)}
+    assert {tuple(r) for r in G.dedupe_edges(edges).collect()} == kept
+    assert {tuple(r) for r in G.dedupe_edges(edges.drop("weight")).collect()} == {r[:5] for r in kept}
+    nodes = spark.createDataFrame([("1",), ("2",), (None,)], "node_index string")
+    assert {r["ord"] for r in G.drop_dangling(G.dedupe_edges(edges), nodes).collect()} == {2, 4}
+    assert G.drop_dangling(edges.limit(0), nodes).count() == 0 and G.drop_dangling(edges, nodes.limit(0)).count() == 0
