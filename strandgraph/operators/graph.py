@@ -13,7 +13,7 @@ equi-joins on a node id are left to adaptive skew splitting.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -412,7 +412,7 @@ def ontology_sentence(subj: Column, rel: Column, obj: Column, edge: Column, neig
 def chains(
     rows: DataFrame,
     entity_map: DataFrame,
-    neighbor_table: DataFrame,
+    neighbor_table: DataFrame | Callable[[DataFrame], DataFrame],
     use_subject: bool = False,
     sentence=graph_sentence,
     fold_node_case: bool = False,
@@ -425,23 +425,47 @@ def chains(
     first-seen order. Every row gives one row, also one without chains or with an
     image id that repeats; rows of equal image and triplets are worked out once.
 
-    Neighbours are folded into one bounded array per node and then per distinct
-    entity text, so the large side is joined once and grouped once, by row.
+    Every distinct triplet is looked up and worded once: a bounded array of texts per
+    name, which the rows then take by their triplets. The rows are stored once and
+    moved once; a row stays in the partition of its digest while it is put together.
+    ``neighbor_table`` may be a function that makes it for the wanted names (node_name).
     """
+    stored = materialize(rows.select("img_id", "triplets"), "rows")
+    each = stored.select(F.explode("triplets").alias("_t")).where(F.col("_t").isNotNull()).distinct().withColumn("_p", t.parse_triplet("_t"))
     ends = F.array("_p.obj", "_p.subj") if use_subject else F.array("_p.obj")
-    alike = rows.groupBy("img_id", "triplets").agg(F.count(F.lit(1)).alias("_times"))
-    digest = F.md5(F.coalesce(F.to_json("triplets"), F.lit("")))
-    parsed = alike.select("img_id", digest.alias("_row"), "_times", F.posexplode_outer("triplets").alias("_i", "_t")).select(
-        "img_id", "_row", "_times", "_i", "_t", t.parse_triplet("_t").alias("_p")
+    asked = each.where(F.col("_p.rel").isNotNull()).select("_t", "_p", F.posexplode(ends).alias("_j", "_text"))
+    lookup = _lookup(asked.select("_text").distinct(), entity_map, neighbor_table, fold_node_case)
+    texts = F.transform("_near", lambda n: sentence(F.col("_p.subj"), F.col("_p.rel"), F.col("_p.obj"), n["edge"], n["neighbor"]))
+    worded = materialize(
+        asked.join(lookup, "_text").groupBy("_t").agg(F.array_sort(F.collect_list(F.struct("_j", F.col("_name").alias("name"), texts.alias("texts")))).alias("_told")),
+        "worded",
     )
-    looked = F.when(F.col("_p.rel").isNotNull(), ends)
-    asked = parsed.select("*", F.posexplode_outer(looked).alias("_j", "_text"))
 
-    # Distinct texts -> canonical name -> neighbours.
+    digest = F.md5(F.to_json(F.struct("img_id", "triplets")))
+    alike = stored.withColumn("_row", digest).repartition("_row").groupBy("_row", "img_id", "triplets").agg(F.count(F.lit(1)).alias("_times"))
+    # The first item of a row carries its triplets and stays also without a text; it has a key of its own then that matches nothing.
+    items = alike.select("img_id", "_row", "_times", "triplets", F.posexplode_outer("triplets").alias("_i", "_t")).withColumn("_first", F.coalesce("_i", F.lit(0)) == 0)
+    spread = items.where(F.col("_first") | F.col("_t").isNotNull()).select(
+        "img_id", "_row", "_times", "_i", "_first", F.when(F.col("_first"), F.col("triplets")).alias("triplets"),
+        F.coalesce("_t", F.concat(F.lit("\u0000"), "_row")).alias("_t"),
+    )
+    joined = spread.join(worded, "_t", "left").where(F.col("_first") | F.col("_told").isNotNull()).groupBy("_row", "img_id").agg(
+        F.max("_times").alias("_times"),
+        F.first("triplets", ignorenulls=True).alias("triplets"),
+        F.array_sort(F.collect_list(F.when(F.col("_told").isNotNull(), F.struct("_i", "_told")))).alias("_all"),
+    )
+    # A name has the same neighbours wherever it occurs, so only its first place in the row counts.
+    told = t.dedupe_by(F.flatten(F.col("_all._told")), lambda a: a["name"])
+    kept = F.coalesce(F.filter("triplets", lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    once = joined.select("img_id", kept.alias("triplets"), F.flatten(F.transform(told, lambda a: a["texts"])).alias("chains"), "_times")
+    return once.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("_times")
+
+
+def _lookup(texts: DataFrame, entity_map: DataFrame, neighbor_table: DataFrame | Callable[[DataFrame], DataFrame], fold_node_case: bool) -> DataFrame:
+    """Distinct texts(_text) -> _text, _name, _near: the canonical name and its neighbours (edge, neighbor) in order."""
     known = entity_map.where(~t.is_blank("canonical")).select("entity", "canonical")
     exact = known.select(F.col("entity").alias("_text"), F.col("canonical").alias("_exact"))
     lowered = known.select(F.col("entity").alias("_low"), F.col("canonical").alias("_lowered"))
-    texts = asked.where(F.col("_text").isNotNull()).select("_text").distinct()
     names = (
         texts.join(exact, "_text", "left")
         .withColumn("_low", F.lower("_text"))
@@ -449,36 +473,14 @@ def chains(
         .select("_text", F.coalesce("_exact", "_lowered").alias("_name"))
         .where(F.col("_name").isNotNull())
     )
-    # At most k neighbours per node: neighbor_table is already cut.
-    lists = neighbor_table.groupBy(F.col("node_name").alias("_node")).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "edge", "neighbor"))).alias("_near")
-    )
     key = F.lower("_name") if fold_node_case else F.col("_name")
-    lookup = names.withColumn("_node", key).join(lists, "_node").select("_text", "_name", "_near")
-
-    # Rows without a text would all meet under the null key; each gets a key of its own that matches nothing.
-    spread = asked.withColumn("_text", F.coalesce("_text", F.concat(F.lit("\u0000"), F.col("img_id").cast("string"), F.coalesce(F.col("_i").cast("string"), F.lit("")))))
-    joined = spread.join(lookup, "_text", "left").groupBy("img_id", "_row").agg(
-        F.max("_times").alias("_times"),
-        F.array_sort(F.collect_list(F.struct("_i", "_j", "_t", "_p", "_name", "_near"))).alias("_all")
-    )
-    found = F.flatten(
-        F.transform(
-            F.filter("_all", lambda a: a["_near"].isNotNull()),
-            lambda a: F.transform(
-                a["_near"],
-                lambda n: F.struct(
-                    F.struct(a["_name"], n["edge"], n["neighbor"]).alias("key"),
-                    sentence(a["_p"]["subj"], a["_p"]["rel"], a["_p"]["obj"], n["edge"], n["neighbor"]).alias("text"),
-                ),
-            ),
-        )
-    )
-    firsts = F.filter("_all", lambda a: a["_t"].isNotNull() & F.coalesce(a["_j"] == 0, F.lit(True)))
-    out = joined.select("img_id", "_times", F.transform(firsts, lambda a: a["_t"]).alias("triplets"), found.alias("_found"))
-    unique = t.dedupe_by(F.col("_found"), lambda f: f["key"])
-    once = out.select("img_id", "triplets", F.transform(unique, lambda f: f["text"]).alias("chains"), "_times")
-    return once.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("_times")
+    names = materialize(names.withColumn("_node", key), "names")
+    wanted = names.select(F.col("_node").alias("node_name")).distinct()
+    table = neighbor_table(wanted) if callable(neighbor_table) else neighbor_table.join(wanted, "node_name", "left_semi")
+    # At most k neighbours per node: the table is already cut.
+    lists = table.groupBy(F.col("node_name").alias("_node")).agg(F.array_sort(F.collect_list(F.struct("rank", "edge", "neighbor"))).alias("_near"))
+    near = t.dedupe_by(F.col("_near"), lambda n: F.struct(n["edge"], n["neighbor"]))
+    return names.join(lists, "_node").select("_text", "_name", near.alias("_near"))
 
 
 def chain_stats(chain_rows: DataFrame) -> DataFrame:
@@ -519,23 +521,32 @@ def label_index(triples: DataFrame, ord: str = "ord", always_local: bool = False
     own name with ``_`` as spaces; ``always_local`` adds that name for every class.
     """
     english = (F.col("predicate") == "label") & (F.col("lang").isNull() | (F.col("lang") == "en"))
-    labels = triples.where(english).select(
-        F.col("subject").alias("cls"), F.col("object").alias("label"), F.col(ord).alias("ord"), F.lit(0).alias("tier")
+    cls, place = F.col("subject").alias("cls"), F.col(ord).alias("ord")
+    classes = triples.where(F.col("subject").isNotNull()).groupBy(cls).agg(F.min(ord).alias("_place"))
+    named = triples.where(english & F.col("subject").isNotNull()).groupBy(cls).agg(
+        F.array_sort(F.collect_list(F.struct(place, F.col("object").alias("label")))).alias("_labels")
+    )
+    # The labels go to the one row of their class; making the classes reads all triples.
+    labels = F.coalesce(F.transform("_labels", lambda e: e["label"]), F.array().cast("array<string>"))
+    local = F.replace("cls", F.lit("_"), F.lit(" "))
+    whole = classes.join(named, "cls", "left").select("cls", "_place", labels.alias("_labels"), local.alias("_local"))
+    has = F.size("_labels") > 0
+    every = F.concat("_labels", F.array("_local")) if always_local else F.when(has, F.col("_labels")).otherwise(F.array("_local"))
+    canonical = F.when(has, F.try_element_at("_labels", F.lit(1))).otherwise(F.col("_local"))
+    keyed = whole.select("cls", "_place", canonical.alias("canonical"), F.explode(every).alias("label")).select(
+        t.strip(F.lower("label")).alias("key"), "cls", "_place", "canonical"
     )
-    classes = triples.groupBy(F.col("subject").alias("cls")).agg(F.min(ord).alias("ord"))
-    local = classes.select("cls", F.replace("cls", F.lit("_"), F.lit(" ")).alias("label"), "ord", F.lit(1).alias("tier"))
-    if not always_local:
-        local = local.join(labels.select("cls").distinct(), "cls", "left_anti")
-    every = labels.unionByName(local)
-    canonical = every.groupBy("cls").agg(F.min_by("label", F.struct("tier", "ord")).alias("canonical"))
-    place = classes.withColumnRenamed("ord", "_place")
-    keyed = every.select(t.strip(F.lower("label")).alias("key"), "cls", "ord", "tier").where(F.col("key") != "")
-    first = keyed.join(place, "cls").groupBy("key").agg(F.min_by("cls", F.struct("_place", "cls")).alias("cls"))
-    return first.join(canonical, "cls").select("key", "cls", "canonical")
-
-
-def ontology_neighbors(triples: DataFrame, index: DataFrame, ord: str = "ord", k: int = MAX_NEIGHBORS) -> DataFrame:
-    """node_name (a label key), edge, neighbor, rank: cause relations first, then caused-by; outgoing only."""
+    first = keyed.where(F.col("key") != "").groupBy("key").agg(
+        F.min_by(F.struct("cls", "canonical"), F.struct("_place", "cls")).alias("_first")
+    )
+    return first.select("key", F.col("_first.cls").alias("cls"), F.col("_first.canonical").alias("canonical"))
+
+
+def ontology_neighbors(triples: DataFrame, index: DataFrame, ord: str = "ord", k: int = MAX_NEIGHBORS, keys: DataFrame | None = None) -> DataFrame:
+    """node_name (a label key), edge, neighbor, rank: cause relations first, then caused-by; outgoing only.
+
+    ``keys``, some rows of the index, restricts the start nodes; ``triples`` then needs no other subjects.
+    """
     cause = F.col("predicate").isin(CAUSE)
     out = triples.where(F.col("predicate").isin(CAUSE + CAUSED_BY)).select(
         F.col("subject").alias("cls"),
@@ -544,11 +555,11 @@ def ontology_neighbors(triples: DataFrame, index: DataFrame, ord: str = "ord", k
         F.when(cause, 0).otherwise(1).alias("_group"),
         F.col(ord).alias("_ord"),
     )
-    names = index.groupBy(F.col("cls").alias("_to")).agg(F.first("canonical").alias("_label"))
+    start = (index if keys is None else keys).select("cls", F.col("key").alias("node_name"))
+    cut = top_per_group(out, ["cls"], ["_group", "_ord", "_to"], k, rank="rank").join(start, "cls")
+    labels = index.groupBy(F.col("cls").alias("_to")).agg(F.first("canonical").alias("_label"))
     shown = F.coalesce("_label", F.replace("_to", F.lit("_"), F.lit(" ")))
-    cut = top_per_group(out, ["cls"], ["_group", "_ord", "_to"], k, rank="rank")
-    keys = index.select("cls", F.col("key").alias("node_name"))
-    return cut.join(names, "_to", "left").join(keys, "cls").select("node_name", "edge", shown.alias("neighbor"), "rank")
+    return cut.join(labels, "_to", "left").select("node_name", "edge", shown.alias("neighbor"), "rank")
 
 
 def class_neighbors(triples: DataFrame, relations: Sequence[str]) -> DataFrame:

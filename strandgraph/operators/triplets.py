@@ -38,14 +38,19 @@ def attach_triplets(rows: DataFrame, by_report: DataFrame, order: str | None = N
     )
 
 
-def merge_in_order(rows: DataFrame, keys: list[str], items: str, order: str, out: str) -> DataFrame:
+def merge_in_order(rows: DataFrame, keys: list[str], items: str, order: str, out: str, single: bool = False) -> DataFrame:
     """Per key the union of the rows' arrays, first occurrence first; keys with none get [].
 
     Repeats are removed before the arrays are built: (key, item) is aggregated to its
     first position on the map side, so a hot key only collects its distinct items.
+    With ``single`` a row has one item instead of an array; its position is a plain
+    value then, which is aggregated without sorting.
     """
-    exploded = rows.select(*keys, F.col(order).alias("_ord"), F.posexplode_outer(items).alias("_i", "_item"))
-    place = F.struct("_ord", "_i")
+    if single:
+        exploded, place = rows.select(*keys, F.col(order).alias("_ord"), F.col(items).alias("_item")), F.col("_ord")
+    else:
+        exploded = rows.select(*keys, F.col(order).alias("_ord"), F.posexplode_outer(items).alias("_i", "_item"))
+        place = F.struct("_ord", "_i")
     firsts = exploded.groupBy(*keys, "_item").agg(F.min(place).alias("_at"))
     entry = F.when(F.col("_item").isNotNull(), F.struct("_at", "_item"))
     return firsts.groupBy(*keys).agg(

@@ -10,6 +10,7 @@ from strandgraph.operators import linking as L
 from strandgraph.operators import triplets as T
 from strandgraph.plans import fixtures as fx
 from strandgraph.plans.fixtures import add_view, with_views
+from strandgraph.session import materialize
 
 _EDGE_COLUMNS = ["rel_type", "display_relation", "start_id", "end_id", "edge_id"]
 
@@ -132,8 +133,8 @@ def kg_neighbors(spark, d):
 
 def _chain_rows(spark, d):
     """One row per order: its triplets in line order."""
-    rows = fx.rows_nle(spark, d).select(F.col("study_id").alias("img_id"), F.array("triplet").alias("triplets"), "ord")
-    return T.merge_in_order(rows, ["img_id"], "triplets", "ord", "triplets")
+    rows = fx.rows_nle(spark, d, fx.lines_by_image(spark, d), [F.col("img_id")])
+    return T.merge_in_order(rows, ["img_id"], "triplet", "ord", "triplets", single=True)
 
 
 def entity_links(spark, d):
@@ -163,10 +164,14 @@ def chain_stats(spark, d):
 # --- ontology: parts as classes ----------------------------------------------
 
 
-def ontology(spark, d):
-    """Part and supplier classes with labels in two languages and cause relations between them."""
+def ontology(spark, d, repeats=False):
+    """Part and supplier classes with labels in two languages and cause relations between them.
+
+    With ``repeats`` a relation comes once per order line, for uses to which repeated triples are nothing new.
+    """
     part = fx.table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size")
-    line = fx.table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag").distinct()
+    line = fx.table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag")
+    line = line if repeats else line.distinct()
     key = F.col("p_partkey")
     cls = t.concat("Part_", key.cast("string"))
     none = F.lit(None).cast("string")
@@ -183,32 +188,42 @@ def ontology(spark, d):
     supplier = t.concat("Supplier_", F.col("l_suppkey").cast("string"))
     lpart = t.concat("Part_", F.col("l_partkey").cast("string"))
     place = F.lit(10**12) + F.col("l_suppkey") * F.lit(10**8) + F.col("l_partkey")
-    cause = line.where(F.col("l_returnflag") == "A").select(
-        lpart.alias("subject"), F.lit("May_Cause").alias("predicate"), supplier.alias("object"), none.alias("lang"), place.alias("ord")
-    )
-    caused = line.where(F.col("l_returnflag") == "N").select(
-        supplier.alias("subject"), F.lit("May_Be_Caused_By").alias("predicate"), lpart.alias("object"), none.alias("lang"), (place + F.lit(10**13)).alias("ord")
-    )
-    back = line.where(F.col("l_returnflag") == "R").select(
-        lpart.alias("subject"), F.lit("May_Be_Caused_By").alias("predicate"), supplier.alias("object"), none.alias("lang"), (place + F.lit(2 * 10**13)).alias("ord")
+    # A: the part may cause the supplier; N: the supplier may be caused by the part; R: the other way round.
+    caused = F.col("l_returnflag") == "N"
+    shift = F.when(caused, F.lit(10**13)).when(F.col("l_returnflag") == "R", F.lit(2 * 10**13)).otherwise(F.lit(0))
+    relations = line.where(F.col("l_returnflag").isin("A", "N", "R")).select(
+        F.when(caused, supplier).otherwise(lpart).alias("subject"),
+        F.when(F.col("l_returnflag") == "A", "May_Cause").otherwise("May_Be_Caused_By").alias("predicate"),
+        F.when(caused, lpart).otherwise(supplier).alias("object"),
+        none.alias("lang"),
+        (place + shift).alias("ord"),
     )
     out = labels
-    for more in (french, isa, brand, cause, caused, back):
+    for more in (french, isa, brand, relations):
         out = out.unionByName(more)
     return out
 
 
+def _index(spark, d, always_local=False):
+    """An index needs the first position of every class, which repeated triples don't change."""
+    return G.label_index(ontology(spark, d, repeats=True), always_local=always_local)
+
+
+def _stored_index(spark, d):
+    """The index with every local name, written once, for queries that use it several times."""
+    return materialize(_index(spark, d, always_local=True), "index")
+
+
 def label_index(spark, d):
-    return G.label_index(ontology(spark, d))
+    return _index(spark, d)
 
 
 def label_index_local(spark, d):
-    return G.label_index(ontology(spark, d), always_local=True)
+    return _index(spark, d, always_local=True)
 
 
 def onto_neighbors(spark, d):
-    triples = ontology(spark, d)
-    out = G.ontology_neighbors(triples, G.label_index(triples, always_local=True))
+    out = G.ontology_neighbors(ontology(spark, d), _stored_index(spark, d))
     return out.select("node_name", "edge", "neighbor", F.col("rank").cast("long").alias("rank"))
 
 
@@ -228,15 +243,20 @@ def relation_counts(spark, d):
 def coverage(spark, d):
     part = fx.table(spark, d, "part")
     seeds = part.select(F.col("p_brand").alias("grp"), F.col("p_name").alias("name"))
-    return G.coverage(seeds, G.label_index(ontology(spark, d)))
+    return G.coverage(seeds, _index(spark, d))
 
 
 def onto_chains(spark, d):
     """Both ends of a triplet are looked up; names are ontology labels."""
-    triples = ontology(spark, d)
-    index = G.label_index(triples, always_local=True)
+    index = _stored_index(spark, d)
     links = index.select(F.col("key").alias("entity"), "canonical")
-    near = G.ontology_neighbors(triples, index)
+
+    def near(names):
+        keys = materialize(index.join(names, index.key == names.node_name, "left_semi"), "keys")
+        wanted = keys.select(F.col("cls").alias("subject")).distinct()
+        triples = ontology(spark, d, repeats=True).join(wanted, "subject", "left_semi").distinct()
+        return G.ontology_neighbors(triples, index, keys=keys)
+
     out = G.chains(_chain_rows(spark, d), links, near, use_subject=True, sentence=G.ontology_sentence, fold_node_case=True)
     return out.select("img_id", F.array_join("chains", "|").alias("chains"), F.size("chains").cast("long").alias("n"))
 
