@@ -71,15 +71,15 @@ def by_study(lines: DataFrame) -> DataFrame:
     return lines.withColumn("subject_id", (F.col("o_custkey") + 10000).cast("string")).withColumn("study_id", _s("l_orderkey")).repartition("subject_id", "study_id")
 
 
-def lines_by_image(spark: SparkSession, folder: str) -> DataFrame:
-    """``order_lines`` with the lines of an order in one partition, by the ``img_id`` of the chains."""
+def lines_by_order(spark: SparkSession, folder: str) -> DataFrame:
+    """``order_lines`` that have a part, with the lines of an order in one partition."""
     part = table(spark, folder, "part").select("p_partkey", "p_name", "p_type")
-    orders = table(spark, folder, "orders").select(concat("s", _s("o_orderkey")).alias("img_id"), "o_custkey")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     line = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity"
     )
-    near = line.join(part, line.l_partkey == part.p_partkey).withColumn("img_id", concat("s", _s("l_orderkey")))
-    return near.repartition("img_id").join(orders, "img_id")
+    known = line.join(part, line.l_partkey == part.p_partkey).repartition("l_orderkey")
+    return known.join(orders, known.l_orderkey == orders.o_orderkey)
 
 
 def rows_nle(spark: SparkSession, folder: str, lines: DataFrame | None = None, keep: Sequence[Column] = ()) -> DataFrame:

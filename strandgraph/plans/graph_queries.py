@@ -133,8 +133,9 @@ def kg_neighbors(spark, d):
 
 def _chain_rows(spark, d):
     """One row per order: its triplets in line order."""
-    rows = fx.rows_nle(spark, d, fx.lines_by_image(spark, d), [F.col("img_id")])
-    return T.merge_in_order(rows, ["img_id"], "triplet", "ord", "triplets", single=True)
+    rows = fx.rows_nle(spark, d, fx.lines_by_order(spark, d))
+    merged = T.merge_in_order(rows, ["l_orderkey"], "triplet", "ord", "triplets", single=True)
+    return merged.select(t.concat("s", F.col("l_orderkey").cast("string")).alias("img_id"), "triplets")
 
 
 def entity_links(spark, d):
