@@ -3,9 +3,9 @@
 Words are encoded by one dictionary for the whole corpus, in two steps. A pass over
 the texts cuts them into shards of bounded bytes; each shard is a block of the matrix
 in CSR form whose columns are numbered by the shard's own list of distinct words.
-Only these lists are brought together by word and numbered for the whole corpus, so a
-word costs a row per shard and not per occurrence; then the shard's column numbers are
-replaced by the global ones. Row sums of the matrix are words, numbers of nonzero
+Only these lists are brought together, in buckets by a digest of the word, and numbered
+for the whole corpus, so a word moves once per shard and not per occurrence, packed with
+the others of its bucket; then the shard's column numbers are replaced by the global ones. Row sums of the matrix are words, numbers of nonzero
 entries are distinct words.
 
 A document's failed filters make a mask; what any order of the filters does to it
@@ -15,7 +15,7 @@ follows from the mask alone, so counts per part and mask are all that is needed.
 from __future__ import annotations
 
 import itertools
-from collections import Counter
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -27,133 +27,162 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from strandgraph.llm.common import batch_rows, bounded_batches
+from strandgraph.llm.common import batch_rows, bounded_batches, give_back
 from strandgraph.session import materialize
 
-#: Bytes of text after which a shard is closed; a longer text makes a shard of its own.
-SHARD_BYTES = 4 << 20
-#: Words whose numbers a task holds before it passes them on.
-HELD = 1 << 20
+#: Bytes of text after which a shard is closed (a longer text makes a shard of its own), and what a row adds to them.
+SHARD_BYTES, ROW_BYTES = 4 << 20, 100
+#: Lists of words that an Arrow batch holds.
+HELD = 8
+#: Least number of buckets of the dictionary, and words of shards' lists that a bucket is made for.
+BUCKETS, BUCKET_WORDS = 256, 1 << 20
+#: Packed columns: a list of words or a bucket's part of it, the part's numbers, and a shard's entries, each code as its gap to the one before.
+WORDS = pa.schema([("word", pa.string())])
+PLACES = pa.schema([("place", pa.int32())])
+ENTRIES = pa.schema([("gap", pa.int32()), ("count", pa.int32())])
+PACKING = pa.ipc.IpcWriteOptions(compression="zstd")
+
+
+def pack(schema: pa.Schema, *columns: pa.Array) -> bytes:
+    """Columns of equal length as one compressed Arrow message, which moves and is stored as a single value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema, options=PACKING) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(list(columns), schema=schema))
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(packed: bytes) -> list[pa.Array]:
+    return pa.ipc.open_stream(packed).read_next_batch().columns
+
+
+def digests(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words.cast(pa.binary()).to_pylist()), np.int64, len(words))
 
 
 def shards(documents: DataFrame, text: str, keep: Sequence[str], flags: dict[str, Callable[[bytes], bool]]) -> DataFrame:
-    """CSR blocks with numbers of their own: shard, rows (kept columns and flags), words, indptr, codes, counts.
+    """CSR blocks with numbers of their own: shard, rows (kept columns and flags), n_words, words, indptr, entries.
 
     Words are runs of anything but ASCII white space; null texts count as empty. The
-    flags are what has to be read off the UTF-8 text itself. Store the result before
-    use: its shards are numbered by task.
+    flags are what has to be read off the UTF-8 text itself. ``words`` packs the
+    shard's list in the order of the words' digests, ``entries`` the codes, which are
+    places in that list, and the counts. Store the result before use: its shards are
+    numbered by task.
     """
     row = T.StructType([documents.schema[c] for c in keep] + [T.StructField(name, T.BooleanType()) for name in flags])
-    ints = T.ArrayType(T.IntegerType())
-    fields = {"shard": T.LongType(), "rows": T.ArrayType(row), "words": T.ArrayType(T.StringType()), "indptr": ints, "codes": ints, "counts": ints}
+    fields = {"shard": T.LongType(), "rows": T.ArrayType(row), "n_words": T.LongType(), "words": T.BinaryType(), "indptr": T.ArrayType(T.IntegerType()), "entries": T.BinaryType()}
     schema = T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-    def block(shard: int, batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        known: dict[bytes, int] = {}
-        indptr, codes, counts = [0], [], []
-        for value in texts:
-            seen = Counter(value.split())  # of bytes: ASCII white space only
-            codes += [known.setdefault(word, len(known)) for word in seen]
-            counts += seen.values()
-            indptr.append(len(codes))
-        told = [pa.array([flag(value) for value in texts], pa.bool_()) for flag in flags.values()]
+    def block(shard: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        (batch,) = pa.Table.from_batches(held).combine_chunks().to_batches()
+        texts = pc.fill_null(batch.column(text), "")
+        parts = pc.ascii_split_whitespace(texts)
+        occurring, of_row = parts.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        filled = pc.binary_length(occurring).to_numpy(zero_copy_only=False) > 0  # white space at an end of a text leaves an empty word
+        if not filled.all():
+            occurring, of_row = occurring.filter(pa.array(filled)), of_row[filled]
+        encoded = occurring.dictionary_encode()
+        order = np.argsort(digests(encoded.dictionary), kind="stable")
+        code = np.empty(len(order), np.int64)
+        code[order] = np.arange(len(order))
+        places = of_row << 32 | code[encoded.indices.to_numpy(zero_copy_only=False)]
+        places.sort()
+        first = np.flatnonzero(np.diff(places, prepend=-1))
+        codes, counts = places[first] & 0xFFFFFFFF, np.diff(first, append=len(places))
+        indptr = np.searchsorted(places[first] >> 32, np.arange(len(texts) + 1))
+        values = texts.cast(pa.binary()).to_pylist()
+        told = [pa.array([flag(value) for value in values], pa.bool_()) for flag in flags.values()]
         rows = pa.StructArray.from_arrays([*(batch.column(c) for c in keep), *told], names=row.names)
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        words = pa.array(list(known), pa.binary()).cast(pa.string())
-        columns = [pa.array([shard], pa.int64()), one(rows), one(words), *(one(pa.array(x, pa.int32())) for x in (indptr, codes, counts))]
-        return pa.RecordBatch.from_arrays(columns, names=list(fields))
+        words = encoded.dictionary.take(pa.array(order)).cast(pa.string())
+        entries = pack(ENTRIES, *(pa.array(x.astype(np.int32)) for x in (np.diff(codes, prepend=0), counts)))
+        columns = [pa.array([shard], pa.int64()), one(rows), pa.array([len(words)], pa.int64()), pa.array([pack(WORDS, words)], pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, one(pa.array(indptr.astype(np.int32))), pa.array([entries], pa.binary())], names=list(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() << 33
+        shard, held, size = TaskContext.get().partitionId() << 33, [], 0
         for batch in batches:
-            texts = [value or b"" for value in batch.column(text).cast(pa.binary()).to_pylist()]
-            start = size = 0
-            for at, value in enumerate(texts):
-                size += len(value)
-                if size >= SHARD_BYTES or at == len(texts) - 1:
-                    yield block(shard, batch.slice(start, at + 1 - start), texts[start : at + 1])
-                    start, size, shard = at + 1, 0, shard + 1
+            sizes = ROW_BYTES + pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            start = 0
+            while start < batch.num_rows:
+                upto = size + np.cumsum(sizes[start:])
+                n = min(int(np.searchsorted(upto, SHARD_BYTES)) + 1, len(upto))
+                held.append(batch.slice(start, n))
+                start, size = start + n, int(upto[n - 1])
+                if size >= SHARD_BYTES:
+                    yield block(shard, held)
+                    held, size, shard = [], 0, shard + 1
+        if held:
+            yield block(shard, held)
+        give_back()
 
     return bounded_batches(documents.select(*keep, text)).mapInArrow(run, schema)
 
 
 def number_words(stored: DataFrame) -> DataFrame:
-    """(shard, codes, terms): the places of words of a shard's list in the dictionary of the corpus, from 0 without gaps.
-
-    Equal words meet in one task, at most one per shard each; a task numbers the
-    distinct words in its partition, and the partitions' sizes are added up. The
-    numbers leave the task in lists, one per shard and ``HELD`` words.
+    """(shard, start, offset, places): the words of a shard's list in the dictionary of the corpus, from 0 without gaps.
+
+    A bucket is a range of digests, so it holds a run of every shard's list, from code
+    ``start`` on, and a shard and a bucket have one row, whatever the number of words.
+    Equal words meet in their bucket, at most one per shard each, and are numbered
+    there; there are as many buckets as keep one to about ``BUCKET_WORDS`` words.
+    ``places`` packs the run's numbers in the bucket, ``offset`` is what the earlier
+    buckets hold.
     """
-    schema = pa.schema([("shard", pa.int64()), ("codes", pa.list_(pa.int32())), ("part", pa.int32()), ("places", pa.list_(pa.int64()))])
-
-    def lists(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], part: int) -> pa.RecordBatch:
-        shard, code, place = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(shard, kind="stable")
-        shard = shard[order]
-        starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-        ends = pa.array(np.append(starts, len(shard)).astype(np.int32))
-        columns = [pa.array(shard[starts]), pa.ListArray.from_arrays(ends, pa.array(code[order])), pa.array(np.full(len(starts), part, np.int32))]
-        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(place[order]))], schema=schema)
+    spark = stored.sparkSession
+    total = stored.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(BUCKETS, -(-total // BUCKET_WORDS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, place = TaskContext.get().partitionId(), None, -1
-        held, size = [], 0
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column("word")
-            if not len(words):
-                continue
-            changes = np.ones(len(words), dtype=np.int64)
-            changes[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
-            changes[0] = words[0].as_py() != last
-            places = place + np.cumsum(changes)
-            last, place = words[-1].as_py(), int(places[-1])
-            held.append((batch.column("shard").to_numpy(), batch.column("code").to_numpy(), places))
-            size += len(words)
-            if size >= HELD:
-                yield lists(held, part)
-                held, size = [], 0
-        if held:
-            yield lists(held, part)
-
-    words = stored.select("shard", F.posexplode("words").alias("code", "word"))
-    dealt = words.repartition("word").sortWithinPartitions("word")
-    with batch_rows(stored.sparkSession, 20_000):  # of a few bytes each
-        numbered = materialize(dealt.mapInArrow(run, "shard long, codes array<int>, part int, places array<long>"), "words")
-    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
-    sizes = numbered.groupBy("part").agg((F.max(F.array_max("places")) + 1).alias("size"))
-    offsets = sizes.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
-    return numbered.join(F.broadcast(offsets), "part").select("shard", "codes", F.transform("places", lambda p: p + F.col("offset")).alias("terms"))
+            for shard, packed in zip(batch.column("shard").to_pylist(), batch.column("words").to_pylist()):
+                (words,) = unpack(packed)
+                bucket = digests(words) * buckets >> 32
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                runs = [pack(WORDS, words.slice(at, n)) for at, n in zip(starts, np.diff(starts, append=len(bucket)))]
+                columns = [pa.array(bucket[starts]), pa.array(np.full(len(starts), shard, np.int64)), pa.array(starts.astype(np.int32)), pa.array(runs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "shard", "start", "words"])
+
+    def number(group: pa.Table) -> pa.Table:
+        runs = [unpack(packed)[0] for packed in group.column("words").to_pylist()]
+        encoded = pa.concat_arrays(runs).dictionary_encode()
+        starts = np.cumsum([0] + [len(words) for words in runs])
+        places = [pack(PLACES, encoded.indices.slice(at, len(words))) for at, words in zip(starts, runs)]
+        size = pa.array(np.full(len(runs), len(encoded.dictionary), np.int64))
+        columns = [group.column("bucket"), size, group.column("shard"), group.column("start"), pa.array(places, pa.binary())]
+        return pa.table(columns, names=["bucket", "size", "shard", "start", "places"])
+
+    dealt = stored.select("shard", "words").mapInArrow(deal, "bucket long, shard long, start int, words binary")
+    with batch_rows(spark, HELD):
+        numbered = materialize(dealt.groupBy("bucket").applyInArrow(number, "bucket long, size long, shard long, start int, places binary"), "words")
+    earlier = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # one row per bucket
+    sizes = numbered.groupBy("bucket").agg(F.max("size").alias("size"))
+    offsets = sizes.select("bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
+    return numbered.join(F.broadcast(offsets), "bucket").select("shard", "start", "offset", "places")
 
 
 def encode(stored: DataFrame, numbers: DataFrame) -> DataFrame:
-    """CSR blocks with global numbers: shard, rows, indptr, terms (ascending in each row), counts.
+    """CSR blocks with global numbers: shard, rows, indptr, terms, counts.
 
-    A shard's list of words is bounded by its bytes, so its numbers are gathered in one place.
+    A shard's list of words is bounded by its bytes, so its numbers are gathered in one
+    place. The terms of a row are distinct and stand in the order of the shard's codes.
     """
-    lists = numbers.groupBy("shard").agg(F.collect_list(F.struct("codes", "terms")).alias("lists"))
-    joined = stored.drop("words").join(lists.select("shard", F.flatten("lists.codes").alias("words"), F.flatten("lists.terms").alias("numbers")), "shard", "left")
-    kept = joined.schema
-    schema = T.StructType([kept["shard"], kept["rows"], kept["indptr"], T.StructField("terms", T.ArrayType(T.LongType())), kept["counts"]])
+    lists = numbers.groupBy("shard").agg(F.collect_list(F.struct("start", "offset", "places")).alias("lists"))
+    joined = stored.drop("words").join(lists, "shard", "left")
+    schema = T.StructType([*(joined.schema[c] for c in ("shard", "rows", "indptr")), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                values = {c: one.column(c)[0].values for c in ("indptr", "codes", "counts")}
-                indptr, codes, counts = (values[c].to_numpy(zero_copy_only=False) for c in ("indptr", "codes", "counts"))
-                found = np.zeros(0, np.int64)
-                if len(codes):
-                    place, number = (one.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("words", "numbers"))
-                    table = np.empty(len(number), np.int64)
-                    table[place] = number
-                    found = table[codes]
-                of_row = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-                order = np.lexsort((found, of_row))
-                list_of = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
-                yield pa.RecordBatch.from_arrays(
-                    [one.column("shard"), one.column("rows"), one.column("indptr"), list_of(found[order], pa.int64()), list_of(counts[order], pa.int32())],
-                    names=schema.names,
-                )
+                gaps, counts = unpack(one.column("entries")[0].as_py())
+                table = np.empty(one.column("n_words")[0].as_py(), np.int64)
+                for found in one.column("lists")[0].as_py() or ():
+                    (places,) = unpack(found["places"])
+                    table[found["start"] : found["start"] + len(places)] = found["offset"] + places.to_numpy().astype(np.int64)
+                list_of = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                columns = [*(one.column(c) for c in ("shard", "rows", "indptr")), list_of(pa.array(table[np.cumsum(gaps.to_numpy())])), list_of(counts)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        give_back()
 
     return bounded_batches(joined).mapInArrow(run, schema)
 
@@ -260,7 +289,9 @@ def audit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("")).alias("part"), F.unhex(F.sha2(whole, 256)).alias("digest"), F.col(text).alias("text"))
     stored = materialize(shards(rows, "text", ["key", "part", "digest"], {"c": many_capitals, "d": has_symbol}), "shards")
-    facts = materialize(row_totals(encode(stored, number_words(stored))), "facts")
+    matrix = encode(stored, number_words(stored))
+    with batch_rows(documents.sparkSession, 1):  # a row is a shard
+        facts = materialize(row_totals(matrix), "facts")
     first = first_copies(facts.where("key IS NOT NULL"), "digest", "key").withColumn("is_first", F.lit(True))
     marks = labels.groupBy(F.col(key).alias("key")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     flagged = facts.join(first, ["digest", "key"], "left").join(marks, "key", "left")
