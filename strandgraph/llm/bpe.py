@@ -3,7 +3,8 @@
 Greedy longest pieces are taken from the left. Two pieces may stand side by side
 only if merging their joined characters again, best score first, gives back the
 two: a sequence all of whose neighbours agree is the one that the merges make of
-the whole text. Where no shorter piece agrees either, the position has failed,
+the whole text. Where scores fall from merge to merge, as in trained models, that is
+read off the merges of either piece alone. Where no shorter piece agrees either, the position has failed,
 which is noted in a bitfield, and the last piece is taken back.
 """
 
@@ -22,15 +23,17 @@ from strandgraph.llm.common import bounded_batches, give_back
 from strandgraph.llm.pieces import SPACE, Pieces
 
 #: Encoded segments in each of the two generations that a task keeps, compared pairs, and the longest segment kept.
-KEPT, KEPT_PAIRS, KEPT_LENGTH = 75_000, 300_000, 48
+KEPT, KEPT_PAIRS, KEPT_LENGTH = 200_000, 300_000, 48
 #: Texts whose ids are held at a time.
 ROWS = 256
-#: Bits of a code; there are fewer pieces and characters than 2 ** 21.
-CODE_BITS = 21
 #: The score of two parts that are no piece together.
 NONE = float("-inf")
 
 
+#: Whether the scores of a piece's merges fall, and its first and its last part: what each is, after the score that makes it longer.
+Spine = tuple[bool, list[tuple[float, str]], list[tuple[float, str]]]
+
+
 class Encoder:
     """Encodes segments of texts and keeps what it has seen; for one task.
 
@@ -42,25 +45,31 @@ class Encoder:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.names = ["", *pieces.ids]
-        self.known = len(self.names)
+        self.known, self.reach = len(self.names), pieces.longest
         self.sizes = [len(name) for name in self.names]
         self.numbers = ["", *map(str, pieces.ids.values())]
         self.texts = [name.replace(SPACE, " ") for name in self.names]
         self.code = {name: code for code, name in enumerate(self.names)}
+        self.follow: list[dict[int, int]] = [{} for _ in self.names]
         self.shorter = [0] * self.known
         for code in range(1, self.known):
             self.shorter[code] = self._shorter(self.names[code])
         self.automaton = ahocorasick.Automaton()
         for name, code in self.code.items():
-            if len(name) > 1:  # a single character needs no search
-                self.automaton.add_word(name, (len(name) - 1, code))
+            if name:
+                self.automaton.add_word(name, code)
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}
-        self.seen: dict[str, tuple[str, int, str]] = {}
-        self.before: dict[str, tuple[str, int, str]] = {}
+        self.followed = 0
+        self.spines: dict[int, Spine | None] = {}
+        self.seen: dict[str, str] = {}
+        self.before: dict[str, str] = {}
+        self.changed: dict[str, str] = {}
+
+    def merge(self, text: str, steps: list[tuple[float, int, list[str]]] | None = None) -> list[str]:
+        """Merge neighbours into the piece of the best score, the leftmost of equals first, until none can be.
 
-    def merge(self, text: str) -> list[str]:
-        """Merge neighbours into the piece of the best score, the leftmost of equals first, until none can be."""
+        ``steps`` takes the score and place of every merge and the parts after it.
+        """
         parts, score = list(text), self.pieces.scores.get
         gains = [score(a + b, NONE) for a, b in zip(parts, parts[1:])]
         while gains:
@@ -74,18 +83,75 @@ class Encoder:
                 gains[at] = score(parts[at] + parts[at + 1], NONE)
             if at:
                 gains[at - 1] = score(parts[at - 1] + parts[at], NONE)
+            if steps is not None:
+                steps.append((best, at, list(parts)))
         return parts
 
+    def spine(self, code: int) -> Spine | None:
+        """How the first and the last part of a piece grow while it is merged; None if its characters do not make it."""
+        if code not in self.spines:
+            name, steps = self.names[code], []
+            made = self.merge(name, steps) == [name]
+            scores = [score for score, _, _ in steps]
+            first, last = [(NONE, name[0])], [(NONE, name[-1])]  # what the part is, and the score that makes it longer
+            for score, at, parts in steps:
+                if at == 0:
+                    first[-1:] = [(score, first[-1][1]), (NONE, parts[0])]
+                if at == len(parts) - 1:
+                    last[-1:] = [(score, last[-1][1]), (NONE, parts[-1])]
+            falling = all(a > b for a, b in zip(scores, scores[1:]))
+            self.spines[code] = (falling, first, last) if made else None
+        return self.spines[code]
+
     def agree(self, left: int, right: int) -> bool:
-        """Whether the piece ``right`` may follow ``left`` (or start a segment, if left is 0)."""
-        key = left << CODE_BITS | right
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            before, behind = self.names[left], self.names[right]
-            known = self.pairs[key] = self.merge(before + behind) == ([before, behind] if left else [behind])
-        return known
+        """Whether the piece ``right`` may follow ``left`` (or start a segment, if left is 0).
+
+        It may if both are made of their characters before any merge across their
+        border is due. While scores fall from merge to merge, a merge across is due
+        when its score is above those that next change the parts at the border;
+        where scores do not fall, or are equal, the two are merged again.
+        """
+        behind = self.spine(right)
+        if not left or behind is None:
+            return behind is not None
+        before = self.spine(left)
+        if before is None:
+            return False
+        if before[0] and behind[0]:
+            lasts, firsts, score = before[2], behind[1], self.pieces.scores.get
+            i = j = 0
+            while True:
+                (next_left, a), (next_right, b) = lasts[i], firsts[j]
+                across, ahead = score(a + b, NONE), max(next_left, next_right)
+                if across > ahead:
+                    return False
+                if ahead == NONE:
+                    return True
+                if across == ahead or next_left == next_right:
+                    break
+                if next_left > next_right:
+                    i += 1
+                else:
+                    j += 1
+        names = [self.names[left], self.names[right]]
+        return self.merge("".join(names)) == names
+
+    def fitting(self, left: int, right: int) -> int:
+        """The longest of ``right`` and its shorter pieces that may follow ``left``; 0 if none may."""
+        passed, fit, known = [], right, self.follow[left]
+        while fit and fit not in known:
+            passed.append(fit)
+            if self.agree(left, fit):
+                break
+            fit = self.shorter[fit]
+        fit = known.get(fit, fit)
+        self.followed += len(passed)
+        if self.followed > KEPT_PAIRS:
+            for kept in self.follow:
+                kept.clear()
+            self.followed = len(passed)
+        known.update(dict.fromkeys(passed, fit))
+        return fit
 
     def _shorter(self, name: str) -> int:
         """Code of the next shorter piece (or single character) that a piece begins with; 0 for a character."""
@@ -103,37 +169,53 @@ class Encoder:
             self.names.append(char)
             self.sizes.append(1)
             self.shorter.append(0)
+            self.follow.append({})
         return code
 
+    def longest(self, segment: str, at: int) -> int:
+        """Code of the longest piece that the rest of a segment begins with; of the character, if none does."""
+        for end, code in self.automaton.iter_long(segment, at, min(len(segment), at + self.reach)):
+            if end + 1 - self.sizes[code] == at:
+                return code
+            break
+        return self._character(segment[at])
+
     def split(self, segment: str) -> list[int]:
         """Codes of the pieces of a segment; characters without a piece stand alone."""
-        n, codes = len(segment), self.code
-        longest = [codes.get(char) or self._character(char) for char in segment]
-        for end, (back, code) in self.automaton.iter(segment):
-            longest[end - back] = code  # of the pieces from one place on the longest ends last
-        failed = bytearray((n >> 3) + 1)
+        n, sizes = len(segment), self.sizes
+        failed = None  # the bitfield, once a position has failed
         out: list[int] = []
-        at, last, code = 0, 0, longest[0]
-        pairs, shorter, sizes = self.pairs, self.shorter, self.sizes
+        at, last, code = 0, 0, self.longest(segment, 0)
+        follow, shorter = self.follow, self.shorter
         while True:
-            end = at + sizes[code]
-            fits = False
-            if not failed[end >> 3] >> (end & 7) & 1:
-                fits = pairs.get(last << CODE_BITS | code)
-                if fits is None:
-                    fits = self.agree(last, code)
-            if fits:
-                out.append(code)
-                if end == n:
-                    return out
-                at, last, code = end, code, longest[end]
-                continue
-            code = shorter[code]
+            fit = follow[last].get(code)
+            if fit is None:
+                fit = self.fitting(last, code)
+            if fit:
+                end = at + sizes[fit]
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    out.append(fit)
+                    if end == n:
+                        return out
+                    at, last, code = end, fit, self.longest(segment, end)
+                    continue
+                code = shorter[fit]
+            else:
+                code = 0
             if not code:
+                if failed is None:
+                    failed = bytearray((n >> 3) + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 code = out.pop()
                 at -= sizes[code]
                 last = out[-1] if out else 0
+                code = shorter[code]
+                while not code:  # a character was taken back: its place has failed too
+                    failed[at >> 3] |= 1 << (at & 7)
+                    code = out.pop()
+                    at -= sizes[code]
+                    last = out[-1] if out else 0
+                    code = shorter[code]
 
     def ids(self, segment: str) -> list[int]:
         """Ids of a segment: unknown characters become their bytes, or the unknown id without byte pieces."""
@@ -147,26 +229,29 @@ class Encoder:
                 out.append(self.pieces.unknown)
         return out
 
-    def entry(self, segment: str) -> tuple[str, int, str]:
-        """(ids as text, their number, decoded text) of a segment."""
+    def entry(self, segment: str) -> str:
+        """Ids as text of a segment whose spaces are plain ones. If it decodes to another text, that is in ``changed``."""
         got = self.seen.get(segment)
         if got is None:
             got = self.before.get(segment)
             if got is not None:
                 self._keep(segment, got)
         if got is None:
-            codes = self.split(segment)
+            marked = segment.replace(" ", SPACE)
+            codes = self.split(marked)
             if max(codes) < self.known:
                 numbers, texts = self.numbers, self.texts
-                got = (",".join([numbers[c] for c in codes]), len(codes), "".join([texts[c] for c in codes]))
+                got, back = ",".join([numbers[c] for c in codes]), "".join([texts[c] for c in codes])
             else:
-                ids = self.ids(segment)
-                got = (",".join(map(str, ids)), len(ids), decode(ids, self.pieces, first=False))
-            if len(segment) <= KEPT_LENGTH:
+                ids = self.ids(marked)
+                got, back = ",".join(map(str, ids)), decode(ids, self.pieces, first=False)
+            if back != segment:
+                self.changed[segment] = back
+            elif len(segment) <= KEPT_LENGTH:
                 self._keep(segment, got)
         return got
 
-    def _keep(self, segment: str, entry: tuple[str, int, str]) -> None:
+    def _keep(self, segment: str, entry: str) -> None:
         """A full generation takes the place of the one before it; what is met again moves to the new one."""
         if len(self.seen) >= KEPT:
             self.seen, self.before = {}, self.seen
@@ -174,7 +259,7 @@ class Encoder:
 
     def forget(self) -> None:
         """Drop the segments; the compared pairs stay."""
-        self.seen, self.before = {}, {}
+        self.seen, self.before, self.changed = {}, {}, {}
 
     def encode(self, text: str) -> list[int]:
         return [i for segment in self.pieces.segments(text) for i in self.ids(segment)]
@@ -226,10 +311,13 @@ def with_tokens(df: DataFrame, text: str, pieces: Pieces, decoded: bool = False,
             results: list[list] = [[] for _ in added]
             for value in batch.column(text):
                 seen = encoder.seen.get  # a generation may have ended
-                entries = [seen(s) or miss(s) for s in pieces.segments(value.as_py() or "")]
-                listed = ",".join([e[0] for e in entries])
-                back = "".join([e[2] for e in entries])[1:]  # every text begins with the space put in front
-                row = [sum([e[1] for e in entries]), _sha(listed), _sha(back)]
+                segments = pieces.segments(value.as_py() or "", " ")
+                listed = ",".join([seen(s) or miss(s) for s in segments])
+                if encoder.changed:
+                    segments = [encoder.changed.get(s, s) for s in segments]
+                    encoder.changed.clear()
+                back = "".join(segments)[1:]  # every text begins with the space put in front
+                row = [listed.count(",") + 1 if listed else 0, _sha(listed), _sha(back)]
                 if ids:
                     row.append(np.array(listed.split(",") if listed else [], dtype=np.int32))
                 if decoded:

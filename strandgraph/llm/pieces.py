@@ -22,9 +22,12 @@ class Pieces:
     longest: int
     cut: str
 
-    def segments(self, text: str) -> list[str]:
+    def segments(self, text: str, mark: str = SPACE) -> list[str]:
         """Parts of a text, spaces marked and one put in front, that no piece crosses; none for the empty text."""
-        return re.findall(self.cut, SPACE + text.replace(" ", SPACE)) if text else []
+        if not text:
+            return []
+        other = " " if mark == SPACE else SPACE
+        return re.findall(self.cut.replace(SPACE, mark), mark + text.replace(other, mark))
 
 
 def load(path: str) -> Pieces:

@@ -1,11 +1,20 @@
-"""Words of the audit's matrix move packed, by shard and bucket, and keep one number each."""
+"""What makes the audit's matrix and the encoder cheap changes none of their results."""
+
+import dataclasses
+import hashlib
+import itertools
+import random
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from strandgraph.llm import audit
+from strandgraph.llm import audit, bpe, pieces
+from strandgraph.llm.pieces import SPACE
 from strandgraph.session import materialize
 
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
 TEXTS = ["", " ", "a", "\ta  b\r\n", "a b a\x0bb\x0cc", "é\x85é \x1cé é é", "한 a " * 40, "x" * 5000, None] + [f"w{i} w{i % 7}\n" for i in range(2500)]
 
 
@@ -40,3 +49,45 @@ def test_words_keep_their_numbers_over_shards_and_buckets(spark, monkeypatch):
                 assert number.setdefault(words.copy().pop(), min(terms)) == min(terms)
     seen = np.unique(np.concatenate([shard["terms"] for shard in shards]))
     assert seen.tolist() == list(range(len({w for text in TEXTS for w in (text or "").encode().split()})))
+
+
+# --- pieces ------------------------------------------------------------------
+
+
+def test_neighbours_are_read_off_their_own_merges(monkeypatch):
+    model = pieces.load(MODEL)
+    encoder = bpe.Encoder(model)
+    names = random.Random(4).sample(range(1, encoder.known), 400) + [encoder.code[x] for x in ("a", "aa", "aaaa", SPACE, SPACE * 2, SPACE * 4)]
+    for left, right in itertools.product(names[-60:], names):
+        both = [encoder.names[left], encoder.names[right]]
+        assert encoder.agree(left, right) == (encoder.merge("".join(both)) == both)
+    merged = []
+    monkeypatch.setattr(bpe.Encoder, "merge", lambda self, text, *more, merge=bpe.Encoder.merge: merged.append(text) or merge(self, text, *more))
+    encoder, words = bpe.Encoder(model), "".join(random.Random(5).choices("aeinrst ", k=20_000))
+    encoder.encode(words)
+    assert len(merged) < encoder.followed / 3  # before: one for every pair
+
+
+def test_equal_scores_are_merged_again():
+    made = {x: i for i, x in enumerate([SPACE, "a", "b", "ab", "ba", "aa", "aba", "bab", SPACE + "a"])}
+    for scores in ([0, 0, 0, -1, -1, -1, -1, -1, -1], [0, 0, 0, -5, -4, -3, -1, -2, -2], [0, 0, 0, -1, -2, -2, -3, -3, -4]):
+        encoder = bpe.Encoder(pieces.Pieces(made, dict(zip(made, map(float, scores))), (), 9, (*made, ""), 3, rf"{SPACE}*[^{SPACE}]+|{SPACE}+"))
+        for size in range(1, 9):
+            for text in map("".join, itertools.product("ab", repeat=size)):
+                assert [encoder.names[c] for c in encoder.split(text)] == encoder.merge(text) or not whole(encoder, text)
+
+
+def whole(encoder, text):
+    """Whether every part that the merges leave is made of its own characters, as pieces of trained models are."""
+    return all(encoder.merge(part) == [part] for part in encoder.merge(text))
+
+
+def test_texts_that_decode_to_others(spark):
+    model = dataclasses.replace(pieces.load(MODEL), bytes_=())  # without byte pieces unknown characters are lost
+    rows = [(0, "a 日本 b"), (1, "▁plain  text\n"), (2, "日本"), (3, "x" * 100 + "本"), (4, None), (5, "日本 b 日本")]
+    encoder = bpe.Encoder(model)
+    for row in bpe.with_tokens(spark.createDataFrame(rows, "id long, text string").coalesce(1), "text", model, decoded=True, ids=True).collect():
+        text = rows[row["id"]][1] or ""
+        assert row["token_ids"] == encoder.encode(text) and row["n_tokens"] == len(row["token_ids"])
+        assert row["decoded_text"] == bpe.decode(row["token_ids"], model)
+        assert row["decoded_sha256"] == hashlib.sha256(row["decoded_text"].encode()).hexdigest()
