@@ -180,15 +180,46 @@ def predict(df: DataFrame, text: str, model: Model, names: tuple[str, str, str]
     return bounded_batches(df).select(*kept, *([] if keep else [text])).mapInArrow(run, schema)
 
 
-def clean_limit(documents: DataFrame, labels: DataFrame, model: Model, share: float = 0.995, key: str = "doc_id", text: str = "text", toxic: str = "toxic", texts: int = TRAIN_TEXTS) -> float:
-    """The severity that ``share`` of the clean labelled texts do not exceed, on about ``texts`` of them; infinite if there are none or nothing was learned."""
-    clean = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(toxic).alias("toxic")).where("toxic = 0")
-    n = clean.count()
-    if not n or not model.cuts:
+def clean_limit(documents: DataFrame, labels: DataFrame, model: Model, share: float = 0.995, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> float:
+    """The severity that ``share`` of all clean labelled texts do not exceed; infinite if there are none or nothing was learned.
+
+    Texts are scored where they stand; only keys and severities move.
+    """
+    if not model.cuts:
         return float("inf")
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(SEED + 1)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    chosen = clean.where(draw < min(1.0, texts / n)).select(key)
-    chosen = F.broadcast(chosen) if texts <= BROADCAST_ROWS // 2 else chosen  # the draw bounds it
-    scored = predict(documents.select(F.col(key), F.col(text).alias("text")).join(chosen, key).select("text"), "text", model)
-    limit = scored.agg(F.percentile("severity", share)).first()[0]
+    clean = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(toxic).alias("toxic")).where("toxic = 0").select(key)
+    scored = predict(documents.where(F.col(key).isNotNull()).select(F.col(key), F.col(text).alias("text")), "text", model).select(key, "severity")
+    limit = exact_percentile(scored.join(clean, key, "left_semi").select("severity"), share)
     return float("inf") if limit is None else limit
+
+
+#: Ranges that a pass of ``exact_percentile`` counts.
+RANGES = 1_024
+
+
+def exact_percentile(values: DataFrame, share: float) -> float | None:
+    """As the function ``percentile`` of a column of doubles; None without values.
+
+    Its place is found in ever finer ranges of the stored values, so no task holds all that differ.
+    """
+    name = values.columns[0]
+    stored = materialize(values.where(F.col(name).isNotNull()), "values")
+    n, least, most = stored.agg(F.count(F.lit(1)), F.min(name), F.max(name)).first()
+    if not n:
+        return None
+
+    def ranked(rank: int) -> float:
+        low, high = least, most
+        while low < high:
+            place = F.least(F.floor((F.col(name) - low) / ((high - low) / RANGES)), F.lit(RANGES - 1))
+            within = stored.where(F.col(name).between(low, high)).groupBy(place.alias("place"))
+            for _, rows, low, high in sorted(within.agg(F.count(F.lit(1)), F.min(name), F.max(name)).collect()):
+                if rank < rows:
+                    break
+                rank -= rows
+        return low
+
+    at = (n - 1) * share
+    below = int(at)
+    low = ranked(below)
+    return low if at == below else (below + 1 - at) * low + (at - below) * ranked(below + 1)
