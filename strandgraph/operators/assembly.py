@@ -70,11 +70,16 @@ def with_images(rows: DataFrame, images: DataFrame) -> DataFrame:
     return keyed.join(images, STUDY).drop(*STUDY)
 
 
-def study_images(metadata: DataFrame, files: DataFrame, split: DataFrame, default_split: str = "train") -> DataFrame:
-    """subject_id, study_id, img_id, rel_path, split: the image of every study that has one."""
-    listed = metadata.withColumn("rel_path", image_path("subject_id", "study_id", "dicom_id")).join(
-        files.select("rel_path").distinct(), "rel_path", "left_semi"
-    )
+def study_images(metadata: DataFrame, files: DataFrame, split: DataFrame, default_split: str = "train", within: Sequence[str] = ()) -> DataFrame:
+    """subject_id, study_id, img_id, rel_path, split: the image of every study that has one.
+
+    ``within`` is given as the columns of the study where the files have them too. Tables that lie together by them are not moved again.
+    """
+    paths = metadata.withColumn("rel_path", image_path("subject_id", "study_id", "dicom_id"))
+    if within:
+        listed = _looked_up(paths, files.select(*within, "rel_path").distinct(), "rel_path", within, "left_semi")
+    else:
+        listed = paths.join(files.select("rel_path").distinct(), "rel_path", "left_semi")
     chosen = listed.groupBy("subject_id", "study_id").agg(F.min(F.struct("dicom_id", "rel_path")).alias("_i"))
     images = chosen.select(
         "subject_id", "study_id", F.col("_i.dicom_id").alias("img_id"), F.col("_i.rel_path").alias("rel_path")
@@ -82,7 +87,8 @@ def study_images(metadata: DataFrame, files: DataFrame, split: DataFrame, defaul
     splits = split.select("subject_id", "study_id", F.col("dicom_id").alias("img_id"), "split")
     unique = splits.groupBy("subject_id", "study_id", "img_id").agg(F.max("split").alias("split"))
     # Images get their split before they meet the (larger) rows.
-    return images.join(unique, [*STUDY, "img_id"], "left").withColumn("split", F.coalesce("split", F.lit(default_split)))
+    found = _looked_up(images, unique, "img_id", within) if within else images.join(unique, [*STUDY, "img_id"], "left")
+    return found.withColumn("split", F.coalesce("split", F.lit(default_split)))
 
 
 # --- conversations -----------------------------------------------------------
@@ -123,19 +129,19 @@ def _placed(df: DataFrame, within: Sequence[str]) -> DataFrame:
     return df.repartition(*within) if within else df
 
 
-def _looked_up(rows: DataFrame, side: DataFrame, key: str, within: Sequence[str]) -> DataFrame:
+def _looked_up(rows: DataFrame, side: DataFrame, key: str, within: Sequence[str], how: str = "left") -> DataFrame:
     """rows with the columns of the row of ``side`` that has the same ``key``, if there is one.
 
     Spark moves both sides by all columns that a join finds equal, so with ``within``
     the key is compared by its order, inside the few rows that lie together.
     """
     if not within:
-        return rows.join(side, key, "left")
+        return rows.join(side, key, how)
     theirs = side.withColumnsRenamed({c: f"_at_{c}" for c in [*within, key]})
     match = (F.col(key) >= F.col(f"_at_{key}")) & (F.col(key) <= F.col(f"_at_{key}"))
     for c in within:
         match &= F.col(c) == F.col(f"_at_{c}")
-    return rows.join(theirs, match, "left").drop(*[f"_at_{c}" for c in [*within, key]])
+    return rows.join(theirs, match, how).drop(*[f"_at_{c}" for c in [*within, key]])
 
 
 def with_triplet_source(rows: DataFrame, retrieved: DataFrame, order: str | None = None, within: Sequence[str] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandgraph.functions.text import concat
-from strandgraph.session import materialize
+from strandgraph.session import materialize_by
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,13 +62,12 @@ def order_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stored_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """``order_lines`` written once, for queries that look at them several times."""
-    return materialize(order_lines(spark, folder).drop("o_orderkey"), "lines")
+    """``order_lines`` with their study, written once, the lines of a study together, for queries that look at them several times.
 
-
-def by_study(lines: DataFrame) -> DataFrame:
-    """The lines of a study together, before the long texts are made from them."""
-    return lines.withColumn("subject_id", (F.col("o_custkey") + 10000).cast("string")).withColumn("study_id", _s("l_orderkey")).repartition("subject_id", "study_id")
+    They are moved before the long texts are made from them, and not again.
+    """
+    lines = order_lines(spark, folder).drop("o_orderkey")
+    return materialize_by(lines, {"subject_id": (F.col("o_custkey") + 10000).cast("string"), "study_id": _s("l_orderkey")}, "lines")
 
 
 def lines_by_order(spark: SparkSession, folder: str) -> DataFrame:
@@ -282,25 +281,31 @@ IMAGE_URL = "https://images.example.org/files/"
 def image_metadata(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
     """Every order line is an image of its order's study; returnflag and linestatus ride along."""
     if lines is not None:
-        return lines.select(*_image_keys(), "l_returnflag", "l_linestatus")
+        return lines.select(*_line_keys(), "l_returnflag", "l_linestatus")
     line = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     return line.join(orders, line.l_orderkey == orders.o_orderkey).select(*_image_keys(), "l_returnflag", "l_linestatus")
 
 
+def _dicom() -> Column:
+    return F.concat_ws("-", _s("l_partkey"), _s("l_suppkey"), _s("l_linenumber"), _s("l_orderkey")).alias("dicom_id")
+
+
 def _image_keys() -> list[Column]:
-    return [
-        (F.col("o_custkey") + 10000).cast("string").alias("subject_id"),
-        _s("l_orderkey").alias("study_id"),
-        F.concat_ws("-", _s("l_partkey"), _s("l_suppkey"), _s("l_linenumber"), _s("l_orderkey")).alias("dicom_id"),
-    ]
+    return [(F.col("o_custkey") + 10000).cast("string").alias("subject_id"), _s("l_orderkey").alias("study_id"), _dicom()]
+
+
+def _line_keys() -> list[Column]:
+    """The same of stored lines, which have their study and lie by it."""
+    return [F.col("subject_id"), F.col("study_id"), _dicom()]
 
 
 def image_files(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
-    from strandgraph.operators.assembly import image_path
+    """Images of ``lines`` come with their study."""
+    from strandgraph.operators.assembly import STUDY, image_path
 
     return image_metadata(spark, folder, lines).where(F.col("l_returnflag") != "R").select(
-        image_path("subject_id", "study_id", "dicom_id").alias("rel_path")
+        *([] if lines is None else STUDY), image_path("subject_id", "study_id", "dicom_id").alias("rel_path")
     )
 
 
@@ -308,7 +313,7 @@ def image_split(spark: SparkSession, folder: str, lines: DataFrame | None = None
     """Images of the orders with an urgent or high priority have a split; the others fall back."""
     if lines is not None:
         split = F.when(F.col("l_linestatus") == "O", "val").otherwise("test").alias("split")
-        return lines.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(*_image_keys(), split)
+        return lines.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(*_line_keys(), split)
     meta = image_metadata(spark, folder)
     orders = table(spark, folder, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(_s("o_orderkey").alias("study_id"))
     return meta.join(orders, "study_id", "left_semi").select(
@@ -319,7 +324,7 @@ def image_split(spark: SparkSession, folder: str, lines: DataFrame | None = None
 def label_rows(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
     """Explanation rows with ten label triples taken from base-4 digits of the line's ordinal.
 
-    Rows made from ``lines`` of ``by_study`` keep its keys.
+    Rows made from ``stored_lines`` keep their study.
     """
     keys = [] if lines is None else ["subject_id", "study_id"]
     rows = rows_nle(spark, folder, lines, [F.col(k).alias(f"_{k}") for k in keys])

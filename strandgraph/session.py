@@ -77,6 +77,22 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, keys: dict[str, Column], name: str = "table") -> DataFrame:
+    """As ``materialize``, with the columns ``keys`` added and the rows of equal ones in one bucket.
+
+    Joins and groups by the keys, and groups by them and more columns, then read their
+    buckets and move nothing, however often the table is used. Only a table of the session's
+    catalog keeps its buckets, so it gets a name of its own there; the files are in the shared folder.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartition(parts, *keys.values()).withColumns(keys)  # the keys are made after the rows have moved
+    placed.write.format("parquet").option("compression", "zstd").bucketBy(parts, *keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through the file system that holds it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
