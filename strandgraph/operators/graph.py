@@ -74,7 +74,7 @@ def drop_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     The edges are stored once and stay where they are: only their distinct ends move, to find
     those that no node has. Few such ends are broadcast; adaptive execution decides.
     """
-    stored = materialize(edges.where("start_id IS NOT NULL AND end_id IS NOT NULL"), "edges")
+    stored = materialize(edges.where("start_id IS NOT NULL AND end_id IS NOT NULL"), "edges", "zstd")
     ends = stored.select(F.explode(F.array("start_id", "end_id")).alias("_end")).distinct()
     known = nodes.select(F.col("node_index").alias("_end"))
     unknown = materialize(ends.join(known, "_end", "left_anti"), "unknown")
@@ -279,7 +279,7 @@ def subgraph_within(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops:
     so one visited set of all seeds together is enough.
     """
     start = nodes.where(F.col("label") == seed_label).join(seeds.select("node_index").distinct(), "node_index", "left_semi").select("node_index")
-    both = undirected(edges).select("src", "dst").where("src <> dst").distinct()
+    both = undirected(edges).select("src", "dst").where("src <> dst")  # a repeated pair is dropped with the nodes that it finds
     seen = frontier = materialize(start.distinct(), "seeds")
     for _ in range(hops - 1):
         step = frontier.join(both, F.col("node_index") == F.col("src")).select(F.col("dst").alias("node_index")).distinct()
@@ -287,12 +287,14 @@ def subgraph_within(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops:
         if not frontier.limit(1).count():
             break
         seen = seen.union(frontier)
-    near = materialize(seen, "near")
-    touched = [edges.join(near, F.col(end) == F.col("node_index"), "left_semi").select("edge_id") for end in ("start_id", "end_id")]
-    kept = edges.join(touched[0].union(touched[1]).distinct(), "edge_id", "left_semi")
-    named = lambda side: nodes.select(*[F.col(c).alias(f"{side}_{short}") for c, short in (("node_index", "index"), ("node_name", "name"), ("label", "label"))])
+    near = materialize(seen, "near").withColumn("_near", F.lit(True))
+    told = nodes.select("node_index", "node_name", "label").join(near, "node_index", "left")
+    # The nodes bring whether they are near along with their names, so an edge moves once to each of its ends.
+    named = lambda side: told.select(*[F.col(c).alias(f"{side}_{short}") for c, short in (("node_index", "index"), ("node_name", "name"), ("label", "label"), ("_near", "near"))])
+    kept = edges.where(F.col("edge_id").isNotNull()).select("edge_id", "rel_type", "start_id", "end_id")
     out = kept.join(named("src"), F.col("start_id") == F.col("src_index")).join(named("dst"), F.col("end_id") == F.col("dst_index"))
-    return out.select("edge_id", "src_index", "src_name", "src_label", "rel_type", "dst_index", "dst_name", "dst_label")
+    touched = out.where(F.coalesce("src_near", "dst_near"))
+    return touched.select("edge_id", "src_index", "src_name", "src_label", "rel_type", "dst_index", "dst_name", "dst_label")
 
 
 def pairs(nodes: DataFrame, edges: DataFrame, rel_type: str, label_a: str, label_b: str, contains: str, n: int = 20) -> DataFrame:
@@ -373,21 +375,21 @@ def neighbors(
     """node_name, edge, neighbor, rank: up to ``k`` neighbours of every node name.
 
     One hop over the allowed types, without neighbours of ``max_degree`` or more
-    relationships, ordered by (edge, neighbour name, neighbour id). ``names``
-    (node_name) restricts the start nodes.
+    relationships, ordered by (edge, neighbour name); neighbours of one name give equal rows.
+    ``names`` (node_name) restricts the start nodes.
     """
     start = nodes.select(F.col("node_index").alias("src"), "node_name")
     if names is not None:
         start = start.join(names.select("node_name").distinct(), "node_name", "left_semi")
     low = degree(edges).where(F.col("degree") < max_degree).select(F.col("node_index").alias("dst"))
     ends = nodes.select(F.col("node_index").alias("dst"), F.col("node_name").alias("neighbor")).join(low, "dst", "left_semi")
-    step = undirected(edges, ["edge_id"]).where(F.col("rel_type").isin(list(allowed)))
-    # Hubs are cut from the far side before the near side is joined.
-    found = step.join(ends, "dst").join(start, "src").select(
-        "node_name", F.col("rel_type").alias("edge"), "neighbor", "dst", "edge_id"
-    )
-    order = ["edge", "neighbor", "dst", "edge_id"]
-    return top_per_group(found, ["node_name"], order, k, rank="rank").select("node_name", "edge", "neighbor", "rank")
+    types = F.array(*[F.lit(x) for x in sorted(set(allowed))])
+    # A type moves as its number.
+    step = undirected(edges.where(F.col("rel_type").isin(list(allowed)))).select("src", "dst", F.array_position(types, F.col("rel_type")).cast("int").alias("_type"))
+    # Hubs are cut from the far side before the near side is joined, unless the near side is cut itself.
+    joined = step.join(ends, "dst").join(start, "src") if names is None else step.join(start, "src").drop("src").join(ends, "dst")
+    found = joined.select("node_name", F.element_at(types, F.col("_type")).alias("edge"), "neighbor")
+    return top_per_group(found, ["node_name"], ["edge", "neighbor"], k, rank="rank").select("node_name", "edge", "neighbor", "rank")
 
 
 def phrase(edge: Column) -> Column:
@@ -441,13 +443,13 @@ def chains(
         "worded",
     )
 
-    digest = F.md5(F.to_json(F.struct("img_id", "triplets")))
+    digest = F.unhex(F.md5(F.to_json(F.struct("img_id", "triplets"))))
     alike = stored.withColumn("_row", digest).repartition("_row").groupBy("_row", "img_id", "triplets").agg(F.count(F.lit(1)).alias("_times"))
     # The first item of a row carries its triplets and stays also without a text; it has a key of its own then that matches nothing.
     items = alike.select("img_id", "_row", "_times", "triplets", F.posexplode_outer("triplets").alias("_i", "_t")).withColumn("_first", F.coalesce("_i", F.lit(0)) == 0)
     spread = items.where(F.col("_first") | F.col("_t").isNotNull()).select(
         "img_id", "_row", "_times", "_i", "_first", F.when(F.col("_first"), F.col("triplets")).alias("triplets"),
-        F.coalesce("_t", F.concat(F.lit("\u0000"), "_row")).alias("_t"),
+        F.coalesce("_t", F.concat(F.lit("\u0000"), F.hex("_row"))).alias("_t"),
     )
     joined = spread.join(worded, "_t", "left").where(F.col("_first") | F.col("_told").isNotNull()).groupBy("_row", "img_id").agg(
         F.max("_times").alias("_times"),

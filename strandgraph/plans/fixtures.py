@@ -70,15 +70,19 @@ def stored_lines(spark: SparkSession, folder: str) -> DataFrame:
     return materialize_by(lines, {"subject_id": (F.col("o_custkey") + 10000).cast("string"), "study_id": _s("l_orderkey")}, "lines")
 
 
-def lines_by_order(spark: SparkSession, folder: str) -> DataFrame:
-    """``order_lines`` that have a part, with the lines of an order in one partition."""
+def rows_by_order(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """l_orderkey and the given columns of ``rows_nle``, with the rows of an order in one partition.
+
+    Only these columns are moved there; what needs the order's other columns is not among them.
+    """
     part = table(spark, folder, "part").select("p_partkey", "p_name", "p_type")
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    orders = table(spark, folder, "orders").select("o_orderkey")
     line = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity"
     )
-    known = line.join(part, line.l_partkey == part.p_partkey).repartition("l_orderkey")
-    return known.join(orders, known.l_orderkey == orders.o_orderkey)
+    known = line.join(part, line.l_partkey == part.p_partkey).withColumn("o_custkey", F.lit(None).cast("long"))
+    rows = rows_nle(spark, folder, known).select("l_orderkey", *columns).repartition("l_orderkey")
+    return rows.join(orders, rows.l_orderkey == orders.o_orderkey).drop("o_orderkey")
 
 
 def rows_nle(spark: SparkSession, folder: str, lines: DataFrame | None = None, keep: Sequence[Column] = ()) -> DataFrame:

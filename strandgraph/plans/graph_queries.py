@@ -10,7 +10,7 @@ from strandgraph.operators import linking as L
 from strandgraph.operators import triplets as T
 from strandgraph.plans import fixtures as fx
 from strandgraph.plans.fixtures import add_view, with_views
-from strandgraph.session import materialize
+from strandgraph.session import materialize, materialize_by
 
 _EDGE_COLUMNS = ["rel_type", "display_relation", "start_id", "end_id", "edge_id"]
 
@@ -133,23 +133,24 @@ def kg_neighbors(spark, d):
 
 def _chain_rows(spark, d):
     """One row per order: its triplets in line order."""
-    rows = fx.rows_nle(spark, d, fx.lines_by_order(spark, d))
+    rows = fx.rows_by_order(spark, d, "triplet", "ord")
     merged = T.merge_in_order(rows, ["l_orderkey"], "triplet", "ord", "triplets", single=True)
     return merged.select(t.concat("s", F.col("l_orderkey").cast("string")).alias("img_id"), "triplets")
 
 
-def entity_links(spark, d):
-    """The vocabulary linked to node names: a few manual entries, then exact names."""
-    rows = fx.rows_nle(spark, d).select(F.array("triplet").alias("triplets"))
+def entity_links(spark, d, rows=None):
+    """The vocabulary (of ``rows``, which have all triplets) linked to node names: a few manual entries, then exact names."""
+    rows = fx.rows_nle(spark, d).select(F.array("triplet").alias("triplets")) if rows is None else rows
     manual = L.manual_stage(spark, fx.MANUAL)
     return L.link(T.vocabulary(rows), [("manual", manual), ("exact", L.exact_stage(G.clean_nodes(fx.kg_nodes(spark, d))))])
 
 
 def _chain_table(spark, d):
     nodes, edges = stored_graph(spark, d)
-    links = entity_links(spark, d)
+    rows = materialize(_chain_rows(spark, d), "orders")
+    links = materialize(entity_links(spark, d, rows), "links")
     names = links.where(F.col("canonical").isNotNull()).select(F.col("canonical").alias("node_name"))
-    return G.chains(_chain_rows(spark, d), links, G.neighbors(nodes, edges, names))
+    return G.chains(rows, links, G.neighbors(nodes, edges, names))
 
 
 def kg_chains(spark, d):
@@ -264,12 +265,14 @@ def onto_chains(spark, d):
 
 def chain_coverage(spark, d):
     """Coverage of node names of the chains in the order's explanation text."""
-    rows = fx.rows_nle(spark, d)
-    texts = rows.groupBy(F.col("study_id").alias("img_id")).agg(F.max_by("nle", "ord").alias("text"))
+    # A study is an order; its rows are stored together and stay there.
+    rows = materialize_by(fx.rows_by_order(spark, d, "nle", "triplet", "ord"), {"img_id": F.col("l_orderkey")}, "rows")
+    texts = rows.groupBy("img_id").agg(F.max_by("nle", "ord").alias("text"))
     nodes, edges = stored_graph(spark, d)
     # Chains as entity lists of two and three: the neighbours of the order's triplet objects.
-    ends = rows.select(F.col("study_id").alias("img_id"), t.parse_triplet("triplet")["obj"].alias("obj")).where("obj IS NOT NULL").distinct()
-    near = G.neighbors(nodes, edges, ends.select(F.col("obj").alias("node_name")), k=10)
+    ends = rows.select("img_id", t.parse_triplet("triplet")["obj"].alias("obj")).where("obj IS NOT NULL").distinct()
+    # Stored, so that its size is known before the ends would move to meet it.
+    near = materialize(G.neighbors(nodes, edges, ends.select(F.col("obj").alias("node_name")), k=10), "near")
     hits = ends.join(near, ends.obj == near.node_name).select("img_id", F.when(F.col("rank") % 2 == 0, F.array("node_name", "neighbor", "edge")).otherwise(F.array("node_name", "neighbor")).alias("entities"))
     made = hits.groupBy("img_id").agg(F.collect_list(F.struct("entities")).alias("chains"))
     return G.chain_coverage(texts, made)

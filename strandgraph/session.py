@@ -65,7 +65,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/strandgraph/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back without its lineage.
 
     Parquet keeps column pruning and filter pushdown for what reads it. The files
@@ -73,7 +73,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
